@@ -1,4 +1,7 @@
-"""Number rules: tolerance, safe coercion, canonical digits and number texts."""
+"""Number rules: tolerance, safe coercion, canonical digits and number texts.
+
+Functions ending in ``_sql`` return SQL text for use inside larger expressions.
+"""
 
 from __future__ import annotations
 
@@ -28,39 +31,54 @@ def clamp(value: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.when(value.isNotNull(), F.greatest(F.lit(low), F.least(value, F.lit(high))))
 
 
-def close(a: Column, b: Column, tolerance: float = fixed.TOLERANCE) -> Column:
-    """True when both are null, or both present and within relative or absolute tolerance."""
-    a, b = a.cast("double"), b.cast("double")
-    allowed = F.greatest(F.greatest(F.abs(a), F.abs(b)) * tolerance, F.lit(tolerance))
-    # Equal infinities match; an infinity never matches a finite number.
-    near = (F.abs(a - b) <= allowed) & (F.abs(a) < float("inf")) & (F.abs(b) < float("inf"))
-    return a.eqNullSafe(b) | F.coalesce(near, F.lit(False))
+def close_sql(a: str, b: str, tolerance: float = fixed.TOLERANCE) -> str:
+    """True when both are null, or both present and within relative or absolute tolerance.
+
+    Equal infinities match; an infinity never matches a finite number.
+    """
+    x, y, limit = f"cast({a} as double)", f"cast({b} as double)", f"{tolerance!r}D"
+    near = (
+        f"abs({x} - {y}) <= greatest(greatest(abs({x}), abs({y})) * {limit}, {limit}) "
+        f"and abs({x}) < double('Infinity') and abs({y}) < double('Infinity')"
+    )
+    return f"({x} <=> {y} or coalesce({near}, false))"
 
 
-def canonical(value: Column) -> Column:
+def canonical_sql(value: str) -> str:
     """Keep 12 significant digits, dropping binary representation noise."""
-    rounded = F.format_string("%.11e", value).try_cast("double")
-    return F.when(F.abs(value) < float("inf"), rounded).otherwise(value)
+    return (
+        f"(case when abs({value}) < double('Infinity') "
+        f"then try_cast(format_string('%.11e', {value}) as double) else {value} end)"
+    )
+
 
+def canonical(value: str) -> Column:
+    return F.expr(canonical_sql(value))
 
-def number_text(value: Column) -> Column:
+
+def number_text_sql(value: str) -> str:
     """Shortest text of a canonical double: fixed notation between 1e-4 and 1e16, else exponent."""
-    size = F.abs(value)
-    plain = F.rtrim(value.try_cast("decimal(38,18)").cast("string"), F.lit("0"))
-    plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
-    scientific = F.format_string("%.11e", value)
-    mantissa = F.rtrim(F.rtrim(F.regexp_extract(scientific, r"^([^e]+)e", 1), F.lit("0")), F.lit("."))
-    exponent = F.regexp_extract(scientific, r"(e.+)$", 1)
+    plain = f"rtrim('0', cast(try_cast({value} as decimal(38,18)) as string))"
+    scientific = f"format_string('%.11e', {value})"
+    mantissa = f"rtrim('.', rtrim('0', split_part({scientific}, 'e', 1)))"
     return (
-        F.when(value == 0, F.lit("0.0"))
-        .when((size >= 1e-4) & (size < 1e16), plain)
-        .when(size < float("inf"), F.concat(mantissa, exponent))
-        .otherwise(F.when(value > 0, F.lit("inf")).when(value < 0, F.lit("-inf")).otherwise(F.lit("nan")))
+        f"(case when {value} = 0 then '0.0' "
+        f"when abs({value}) >= 1e-4D and abs({value}) < 1e16D then "
+        f"if(endswith({plain}, '.'), {plain} || '0', {plain}) "
+        f"when abs({value}) < double('Infinity') then {mantissa} || 'e' || split_part({scientific}, 'e', 2) "
+        f"when {value} > 0 then 'inf' when {value} < 0 then '-inf' end)"
     )
 
 
-def numbers_in(text: Column) -> Column:
+def number_text(value: str) -> Column:
+    return F.expr(number_text_sql(value))
+
+
+def numbers_in_sql(text: str) -> str:
     """Every number in a text as array<double>; leading ``1.`` list markers are not numbers."""
-    body = F.regexp_replace(text, fixed.LIST_MARKER_PATTERN, "")
-    found = F.regexp_extract_all(body, F.lit(f"({fixed.NUMBER_PATTERN})"), F.lit(1))
-    return F.transform(found, lambda s: s.try_cast("double"))
+    body = f"regexp_replace({text}, r'{fixed.LIST_MARKER_PATTERN}', '')"
+    return f"transform(regexp_extract_all({body}, r'({fixed.NUMBER_PATTERN})', 1), s -> try_cast(s as double))"
+
+
+def numbers_in(text: str) -> Column:
+    return F.expr(numbers_in_sql(text))

@@ -1,145 +1,132 @@
-"""p-values as Column expressions.
+"""p-values as SQL expressions.
 
 The regularised incomplete beta function is evaluated with its continued
 fraction (modified Lentz form) folded over a ``sequence``.  It is meant for
 result tables with one row per test, never for input rows.
+
+Expressions are built as SQL text: one parse instead of hundreds of column
+objects.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TINY = 1e-300
+_TINY = "1e-300D"
 _SHIFT = 16
 
 
-def _stirling_tail(z: Column) -> Column:
+def _stirling_tail(z: str) -> str:
     """Correction of Stirling's formula, for z >= 16."""
-    w = F.lit(1.0) / (z * z)
-    return (F.lit(1 / 12) - w * (F.lit(1 / 360) - w * (F.lit(1 / 1260) - w * F.lit(1 / 1680)))) / z
+    return f"((1D/12 - (1D/360 - (1D/1260 - 1D/1680/({z}*{z}))/({z}*{z}))/({z}*{z}))/{z})"
 
 
-def _stirling(z: Column) -> Column:
-    return (z - 0.5) * F.ln(z) - z + F.lit(0.5 * math.log(2 * math.pi)) + _stirling_tail(z)
+def _stirling(z: str) -> str:
+    half_log = 0.5 * math.log(2 * math.pi)
+    return f"(({z} - 0.5D) * ln({z}) - {z} + {half_log!r}D + {_stirling_tail(z)})"
 
 
-def log_gamma(z: Column) -> Column:
+def log_gamma(z: str) -> str:
     """ln Gamma(z) for z > 0."""
-    raised = F.lit(1.0)
-    for step in range(_SHIFT):
-        raised = raised * (z + float(step))
-    return F.when(z >= _SHIFT, _stirling(z)).otherwise(_stirling(z + float(_SHIFT)) - F.ln(raised))
+    raised = " * ".join(f"({z} + {step}D)" for step in range(_SHIFT))
+    return (
+        f"(case when {z} >= {_SHIFT} then {_stirling(z)} "
+        f"else {_stirling(f'({z} + {_SHIFT}D)')} - ln({raised}) end)"
+    )
 
 
-def log_beta(a: Column, b: Column) -> Column:
+def log_beta(a: str, b: str) -> str:
     """ln B(a, b) without cancelling two huge log-gammas when one side is large."""
-    big, small = F.greatest(a, b), F.least(a, b)
-    total = big + small
+    big, small, total = f"greatest({a}, {b})", f"least({a}, {b})", f"({a} + {b})"
     growth = (
-        (big - 0.5) * F.log1p(small / big)
-        + small * F.ln(total)
-        - small
-        + _stirling_tail(total)
-        - _stirling_tail(big)
+        f"(({big} - 0.5D) * log1p({small} / {big}) + {small} * ln({total}) - {small} "
+        f"+ {_stirling_tail(total)} - {_stirling_tail(big)})"
     )
-    return F.when(big >= _SHIFT, log_gamma(small) - growth).otherwise(
-        log_gamma(a) + log_gamma(b) - log_gamma(total)
+    return (
+        f"(case when {big} >= {_SHIFT} then {log_gamma(small)} - {growth} "
+        f"else {log_gamma(a)} + {log_gamma(b)} - {log_gamma(total)} end)"
     )
 
 
-def _log(x: Column, complement: Column) -> Column:
-    return F.when(x > 0.5, F.log1p(-complement)).otherwise(F.ln(x))
+def _log(x: str, complement: str) -> str:
+    return f"(case when {x} > 0.5D then log1p(-{complement}) else ln({x}) end)"
 
 
-def _continued_fraction(a: Column, b: Column, x: Column, steps: Column) -> Column:
-    def away_from_zero(v: Column) -> Column:
-        return F.when(F.abs(v) < _TINY, F.lit(_TINY)).otherwise(v)
+def _away_from_zero(v: str) -> str:
+    return f"(case when abs({v}) < {_TINY} then {_TINY} else {v} end)"
 
-    def advance(state: Column, term: Column) -> Column:
-        c = away_from_zero(1.0 + term / state["c"])
-        d = 1.0 / away_from_zero(1.0 + term * state["d"])
-        return F.struct(c.alias("c"), d.alias("d"), (state["h"] * c * d).alias("h"))
 
-    def step(state: Column, m: Column) -> Column:
-        two_m = m * 2.0
-        even = m * (b - m) * x / ((a + two_m - 1.0) * (a + two_m))
-        odd = -(a + m) * (a + b + m) * x / ((a + two_m) * (a + two_m + 1.0))
-        # One-element transform binds the even half-step so that it is evaluated once.
-        halfway = F.transform(F.array(advance(state, even)), lambda s: advance(s, odd))
-        return F.element_at(halfway, 1)
+def _continued_fraction(a: str, b: str, x: str, steps: str) -> str:
+    def advance(state: str, term: str) -> str:
+        c = _away_from_zero(f"(1D + {term} / {state}.c)")
+        d = f"(1D / {_away_from_zero(f'(1D + {term} * {state}.d)')})"
+        return f"named_struct('c', {c}, 'd', {d}, 'h', {state}.h * {c} * {d})"
 
-    d0 = 1.0 / away_from_zero(1.0 - (a + b) * x / (a + 1.0))
-    start = F.struct(F.lit(1.0).alias("c"), d0.alias("d"), d0.alias("h"))
-    counter = F.transform(F.sequence(F.lit(1), steps), lambda i: i.cast("double"))
-    return F.aggregate(counter, start, step, lambda state: state["h"])
+    even = f"(m * ({b} - m) * {x} / (({a} + 2D*m - 1D) * ({a} + 2D*m)))"
+    odd = f"(-({a} + m) * ({a} + {b} + m) * {x} / (({a} + 2D*m) * ({a} + 2D*m + 1D)))"
+    d0 = f"(1D / {_away_from_zero(f'(1D - ({a} + {b}) * {x} / ({a} + 1D))')})"
+    # The one-element transform binds the even half-step so that it is evaluated once.
+    step = f"transform(array({advance('s', even)}), t -> {advance('t', odd)})[0]"
+    return (
+        f"aggregate(transform(sequence(1, {steps}), i -> cast(i as double)), "
+        f"named_struct('c', 1D, 'd', {d0}, 'h', {d0}), (s, m) -> {step}, s -> s.h)"
+    )
 
 
-def with_beta_tail(df: DataFrame, name: str, a: Column, b: Column, x: Column, y: Column) -> DataFrame:
+def with_beta_tail(df: DataFrame, name: str, a: str, b: str, x: str, y: str) -> DataFrame:
     """Add ``name`` = I_x(a, b), with ``y`` = 1 - x given separately for accuracy.
 
-    Null where any input is null.  Written as a chain of projections so that
-    each intermediate is computed once.
+    All arguments are SQL texts; the result is null where any of them is null.
+    A chain of projections, so that each intermediate is computed once.
     """
-    parts = df.withColumn("_in", F.struct(
-        a.cast("double").alias("a"), b.cast("double").alias("b"),
-        x.cast("double").alias("x"), y.cast("double").alias("y"),
-    ))
-    i = F.col("_in")
-    parts = parts.withColumn("_swap", i["x"] > (i["a"] + 1.0) / (i["a"] + i["b"] + 2.0))
-
-    def side(when_swapped: str, otherwise: str) -> Column:
-        return F.when(F.col("_swap"), i[when_swapped]).otherwise(i[otherwise])
-
-    parts = parts.withColumn("_t", F.struct(
-        side("b", "a").alias("a"), side("a", "b").alias("b"),
-        side("y", "x").alias("x"), side("x", "y").alias("y"),
-    ))
-    t = F.col("_t")
-    parts = parts.withColumn("_steps", F.least(
-        F.lit(20000), F.lit(300) + F.ceil(5.0 * F.sqrt(F.least(t["a"], t["b"])))).cast("int"))
-    parts = parts.withColumn(
-        "_front",
-        F.exp(t["a"] * _log(t["x"], t["y"]) + t["b"] * _log(t["y"], t["x"]) - log_beta(t["a"], t["b"])) / t["a"],
-    )
-    parts = parts.withColumn(
-        "_tail",
-        F.when(t["x"] <= 0, F.lit(0.0)).when(
-            t["x"].isNotNull() & t["a"].isNotNull() & t["b"].isNotNull(),
-            F.col("_front") * _continued_fraction(t["a"], t["b"], t["x"], F.col("_steps")),
-        ),
+    parts = df.selectExpr("*", f"""named_struct(
+        'a', cast({a} as double), 'b', cast({b} as double),
+        'x', cast({x} as double), 'y', cast({y} as double)) as _in""")
+    # The fraction converges fast on one side of the mean only.
+    parts = parts.selectExpr("*", """case when _in.x > (_in.a + 1D) / (_in.a + _in.b + 2D)
+        then named_struct('swap', true, 'a', _in.b, 'b', _in.a, 'x', _in.y, 'y', _in.x)
+        else named_struct('swap', false, 'a', _in.a, 'b', _in.b, 'x', _in.x, 'y', _in.y) end as _t""")
+    front = (
+        f"exp(_t.a * {_log('_t.x', '_t.y')} + _t.b * {_log('_t.y', '_t.x')} - {log_beta('_t.a', '_t.b')}) / _t.a"
     )
-    value = F.when(F.col("_swap"), 1.0 - F.col("_tail")).otherwise(F.col("_tail"))
-    return parts.withColumn(name, F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))).drop(
-        "_in", "_swap", "_t", "_steps", "_front", "_tail"
-    )
-
-
-def with_pearson_p(df: DataFrame, name: str, r: Column, n: Column) -> DataFrame:
-    """Add the two-sided p-value of a Pearson correlation ``r`` over ``n`` pairs."""
-    squared = r * r
-    usable = (n > 2) & (F.abs(r) < 1)
+    parts = parts.selectExpr(
+        "*", f"{front} as _front",
+        "cast(least(20000, 300 + ceil(5D * sqrt(least(_t.a, _t.b)))) as int) as _steps")
+    fraction = _continued_fraction("_t.a", "_t.b", "_t.x", "_steps")
+    parts = parts.selectExpr("*", f"""case when _t.x <= 0 then 0D
+        when _t.x is not null and _t.a is not null and _t.b is not null then _front * {fraction} end as _tail""")
+    value = "case when _t.swap then 1D - _tail else _tail end"
+    # Comparison by case keeps a null; least and greatest would drop it.
+    return parts.withColumn(name, F.expr(
+        f"case when _tail is not null then greatest(0D, least(1D, {value})) end"
+    )).drop("_in", "_t", "_front", "_steps", "_tail")
+
+
+def with_pearson_p(df: DataFrame, name: str, r: str, n: str) -> DataFrame:
+    """Add the two-sided p-value of the Pearson correlation in column ``r`` over ``n`` pairs."""
+    usable = f"{n} > 2 and abs({r}) < 1"
     tail = with_beta_tail(
         df, "_p",
-        F.when(usable, n / 2.0 - 1.0), F.when(usable, F.lit(0.5)),
-        F.when(usable, 1.0 - squared), F.when(usable, squared),
+        f"case when {usable} then {n} / 2D - 1D end", f"case when {usable} then 0.5D end",
+        f"case when {usable} then 1D - {r} * {r} end", f"case when {usable} then {r} * {r} end",
     )
     # Two points always lie on a line, so they carry no evidence at all.
-    return tail.withColumn(
-        name, F.when(n == 2, F.lit(1.0)).when(F.abs(r) >= 1, F.lit(0.0)).otherwise(F.col("_p"))
-    ).drop("_p")
+    return tail.withColumn(name, F.expr(
+        f"case when {r} is null then null when {n} = 2 then 1D when abs({r}) >= 1 then 0D else _p end"
+    )).drop("_p")
 
 
-def with_f_tail(df: DataFrame, name: str, f: Column, d1: Column, d2: Column) -> DataFrame:
-    """Add the upper tail probability of an F statistic."""
-    infinite = f == float("inf")
-    weight = d1 * f
-    usable = ~infinite & (d1 > 0) & (d2 > 0)
+def with_f_tail(df: DataFrame, name: str, f: str, d1: str, d2: str) -> DataFrame:
+    """Add the upper tail probability of the F statistic in column ``f``."""
+    infinite = f"{f} = double('Infinity')"
+    usable = f"not ({infinite}) and {d1} > 0 and {d2} > 0"
     tail = with_beta_tail(
         df, "_p",
-        F.when(usable, d2 / 2.0), F.when(usable, d1 / 2.0),
-        F.when(usable, d2 / (d2 + weight)), F.when(usable, weight / (d2 + weight)),
+        f"case when {usable} then {d2} / 2D end", f"case when {usable} then {d1} / 2D end",
+        f"case when {usable} then {d2} / ({d2} + {d1} * {f}) end",
+        f"case when {usable} then {d1} * {f} / ({d2} + {d1} * {f}) end",
     )
-    return tail.withColumn(name, F.when(infinite, F.lit(0.0)).otherwise(F.col("_p"))).drop("_p")
+    return tail.withColumn(name, F.expr(f"case when {infinite} then 0D else _p end")).drop("_p")

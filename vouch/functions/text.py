@@ -45,13 +45,13 @@ def redact(text: Column, secrets: Iterable[str] = ()) -> Column:
     return F.regexp_replace(out, fixed.BEARER_PATTERN, fixed.BEARER_REPLACEMENT)
 
 
-def template(pattern: str, fields: dict[str, Column]) -> Column:
-    """Fill ``{field}`` places; null when a named field is null."""
-    parts: list[Column] = []
+def template_sql(pattern: str, fields: dict[str, str]) -> str:
+    """SQL text filling the ``{field}`` places of a sentence; null when a named field is null."""
+    parts: list[str] = []
     for index, piece in enumerate(_split(pattern)):
         if piece:
-            parts.append(fields[piece] if index % 2 else F.lit(piece))
-    return F.concat(*parts)
+            parts.append(fields[piece] if index % 2 else f"'{piece}'")
+    return f"concat({', '.join(parts)})"
 
 
 def _split(pattern: str) -> list[str]:

@@ -78,7 +78,7 @@ def correlations(
     scale = F.sqrt("_vx") * F.sqrt("_vy")
     usable = (size >= 2) & F.col("_varies") & (scale > 0)
     r = F.when(usable, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("_cxy") / scale)))
-    tested = with_pearson_p(moments.withColumn("correlation", r), "p_value", F.col("correlation"), size)
+    tested = with_pearson_p(moments.withColumn("correlation", r), "p_value", "correlation", "sample_size")
     status = (
         F.when(size < 2, F.lit("insufficient_data"))
         .when(~usable, F.lit("insufficient_variation"))

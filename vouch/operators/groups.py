@@ -100,7 +100,7 @@ def anova(groups: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     statistic = F.when(tested, F.when(F.col("_ssw") > 0, (F.col("_ssb") / d1) / (F.col("_ssw") / d2)).when(
         F.col("_differ"), F.lit(float("inf"))))
     with_f = joined.select("*", statistic.alias("statistic"), d1.alias("_d1"), d2.alias("_d2"))
-    result = with_f_tail(with_f, "p_value", F.col("statistic"), F.col("_d1"), F.col("_d2"))
+    result = with_f_tail(with_f, "p_value", "statistic", "_d1", "_d2")
     status = F.when(~enough, F.lit("insufficient_data")).when(tested, F.lit("completed")).otherwise(F.lit("no_test"))
     return result.select(
         *keys, "groups", "group_count", "sample_size", "minimum_group_size", "smallest_count",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vouch.functions import fixed
-from vouch.functions.numbers import clamp, divide, finite, number_text, percent_change
+from vouch.functions.numbers import clamp, divide, finite, percent_change
 from vouch.functions.scores import trend_label
 from vouch.operators.ordering import positions, row_fingerprint, sample_positions
 from vouch.sources.tables import column
@@ -24,7 +24,7 @@ def date_label(value: Column, data_type: T.DataType) -> Column:
         return F.when(whole, F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(
             F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
     if isinstance(data_type, (T.FloatType, T.DoubleType)):
-        return number_text(value.cast("double"))
+        return value.cast("double").cast("string")
     return value.cast("string")
 
 
