@@ -94,7 +94,7 @@ def with_beta_tail(df: DataFrame, name: str, a: str, b: str, x: str, y: str) ->
     )
     parts = parts.selectExpr(
         "*", f"{front} as _front",
-        "cast(least(20000, 300 + ceil(5D * sqrt(least(_t.a, _t.b)))) as int) as _steps")
+        "cast(60 + ceil(1.5D * sqrt(least(_t.a, _t.b))) as int) as _steps")
     fraction = _continued_fraction("_t.a", "_t.b", "_t.x", "_steps")
     parts = parts.selectExpr("*", f"""case when _t.x <= 0 then 0D
         when _t.x is not null and _t.a is not null and _t.b is not null then _front * {fraction} end as _tail""")

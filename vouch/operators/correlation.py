@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from vouch.functions import fixed
 from vouch.functions.special import with_pearson_p
+from vouch.session import spread_out
 from vouch.sources.tables import column
 
 # Pairs per aggregate: more would make the generated code too large to compile.
@@ -78,7 +79,8 @@ def correlations(
     scale = F.sqrt("_vx") * F.sqrt("_vy")
     usable = (size >= 2) & F.col("_varies") & (scale > 0)
     r = F.when(usable, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("_cxy") / scale)))
-    tested = with_pearson_p(moments.withColumn("correlation", r), "p_value", "correlation", "sample_size")
+    tested = with_pearson_p(
+        spread_out(moments.withColumn("correlation", r), by), "p_value", "correlation", "sample_size")
     status = (
         F.when(size < 2, F.lit("insufficient_data"))
         .when(~usable, F.lit("insufficient_variation"))

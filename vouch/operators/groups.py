@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vouch.functions import fixed
+from vouch.functions.numbers import canonical
 from vouch.functions.special import with_f_tail
 from vouch.operators.quantiles import DIRECT_CELLS, null_safe, order_statistics
+from vouch.session import spread_out
 from vouch.sources.tables import column
 
 
@@ -99,7 +101,8 @@ def anova(groups: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     d2 = (F.col("sample_size") - F.col("group_count")).cast("double")
     statistic = F.when(tested, F.when(F.col("_ssw") > 0, (F.col("_ssb") / d1) / (F.col("_ssw") / d2)).when(
         F.col("_differ"), F.lit(float("inf"))))
-    with_f = joined.select("*", statistic.alias("statistic"), d1.alias("_d1"), d2.alias("_d2"))
+    with_f = spread_out(
+        joined.select("*", statistic.alias("statistic"), d1.alias("_d1"), d2.alias("_d2")), by)
     result = with_f_tail(with_f, "p_value", "statistic", "_d1", "_d2")
     status = F.when(~enough, F.lit("insufficient_data")).when(tested, F.lit("completed")).otherwise(F.lit("no_test"))
     return result.select(
@@ -112,15 +115,19 @@ def anova(groups: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def extremes(groups: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """(by..., measure, dimension, highest/lowest group and value); groups without values are ignored."""
-    present = groups.filter(F.col("mean").isNotNull())
+    """(by..., measure, dimension, highest/lowest group and value); groups without values are ignored.
+
+    Means are compared in canonical digits, so that equal means tie (and the
+    first key wins) whatever order their values were added up in.
+    """
+    present = groups.filter(F.col("mean").isNotNull()).withColumn("_m", canonical("mean"))
     return present.groupBy(*by, "measure", "dimension").agg(
-        F.min(F.struct((-F.col("mean")).alias("m"), "key")).alias("_high"),
-        F.min(F.struct(F.col("mean").alias("m"), "key")).alias("_low"),
+        F.min(F.struct((-F.col("_m")).alias("m"), "key", "mean")).alias("_high"),
+        F.min(F.struct(F.col("_m").alias("m"), "key", "mean")).alias("_low"),
     ).select(
         *by, "measure", "dimension",
-        F.col("_high.key").alias("highest_group"), (-F.col("_high.m")).alias("highest_value"),
-        F.col("_low.key").alias("lowest_group"), F.col("_low.m").alias("lowest_value"),
+        F.col("_high.key").alias("highest_group"), F.col("_high.mean").alias("highest_value"),
+        F.col("_low.key").alias("lowest_group"), F.col("_low.mean").alias("lowest_value"),
     )
 
 
@@ -132,13 +139,13 @@ def bar_groups(groups: DataFrame, by: Sequence[str] = (), limit: int = fixed.BAR
     """
     keys = [*by, "measure", "dimension"]
     top, bottom = limit // 2, limit - limit // 2
-    present = groups.filter(F.col("mean").isNotNull())
+    present = groups.filter(F.col("mean").isNotNull()).withColumn("_m", canonical("mean"))
     totals = present.groupBy(*keys).agg(F.count(F.lit(1)).alias("total_groups"))
     part = Window.partitionBy(*keys)
     # Both rankings keep at most ``limit`` rows per task before their shuffle.
-    best = present.withColumn("_r", F.row_number().over(part.orderBy(F.desc("mean"), "key"))).filter(
+    best = present.withColumn("_r", F.row_number().over(part.orderBy(F.desc("_m"), "key"))).filter(
         F.col("_r") <= limit)
-    worst = present.withColumn("_r", F.row_number().over(part.orderBy("mean", F.desc("key")))).filter(
+    worst = present.withColumn("_r", F.row_number().over(part.orderBy("_m", F.desc("key")))).filter(
         F.col("_r") <= bottom)
     best = null_safe(best, totals, keys).filter((F.col("total_groups") <= limit) | (F.col("_r") <= top))
     worst = null_safe(worst, totals, keys).filter(F.col("total_groups") > limit).withColumn(

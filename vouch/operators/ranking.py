@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vouch.functions import fixed
-from vouch.functions.numbers import clamp
+from vouch.functions.numbers import canonical, clamp
 from vouch.functions.scores import (
     confidence_level,
     outlier_magnitude,
@@ -64,6 +64,11 @@ def _rounded(weights: dict[str, float], parts: dict[str, Column]) -> Column:
         item for name in weights for item in (F.lit(name), F.bround(parts[name].cast("double"), 4))])
 
 
+def four_places(value: str) -> Column:
+    """Round to 4 places, half to even, in canonical digits so that rounding noise cannot tip a tie."""
+    return F.bround(canonical(value), 4)
+
+
 def _percent_size(field: str, full: float) -> Column:
     """Absolute percentage as a share of ``full``, at most 1; a missing one counts 0."""
     return F.coalesce(clamp(F.abs(F.col(f"evidence.{field}")) / full), F.lit(0.0))
@@ -117,16 +122,17 @@ def with_confidence(insights: DataFrame) -> DataFrame:
     refused = F.col("verification.status").isin("failed", "insufficient_data")
     score, factors = F.when(refused, F.lit(0.0)), F.when(refused, F.lit(None).cast("map<string,double>"))
     for name, weights in CONFIDENCE_WEIGHTS.items():
-        score = score.when(kind == name, F.bround(clamp(_weighted(weights, parts[name])), 4))
+        score = score.when(kind == name, clamp(_weighted(weights, parts[name])))
         factors = factors.when(kind == name, _rounded(weights, parts[name]))
     reason = F.when(refused, F.col("verification.status")).when(
         ~kind.isin(*CONFIDENCE_WEIGHTS), F.lit(fixed.REASONS["unsupported_type"]))
     return (
-        insights.withColumn("_score", score.otherwise(F.lit(0.0)))
+        insights.withColumn("_raw", score.otherwise(F.lit(0.0)))
+        .withColumn("_score", four_places("_raw"))
         .withColumn("confidence", F.struct(
             factors.alias("factors"), confidence_level(F.col("_score")).alias("level"),
             reason.alias("reason"), F.col("_score").alias("score")))
-        .drop("_score")
+        .drop("_raw", "_score")
     )
 
 
@@ -153,10 +159,15 @@ def with_score(insights: DataFrame) -> DataFrame:
     score, components = F, F
     for name, weights in SCORE_WEIGHTS.items():
         here = F.col("insight_type") == name
-        score = score.when(here, F.bround(_weighted(weights, parts[name]), 4))
+        score = score.when(here, _weighted(weights, parts[name]))
         components = components.when(here, _rounded(weights, parts[name]))
-    return insights.withColumn("score", score.otherwise(F.lit(0.0))).withColumn(
-        "score_components", components.otherwise(F.create_map().cast("map<string,double>")))
+    empty = F.create_map().cast("map<string,double>")
+    return (
+        insights.withColumn("_raw", score.otherwise(F.lit(0.0)))
+        .withColumn("score", four_places("_raw"))
+        .withColumn("score_components", components.otherwise(empty))
+        .drop("_raw")
+    )
 
 
 def deduplicate(insights: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -98,6 +98,9 @@ def trend_metrics(points: DataFrame, date_name: str, by: Sequence[str] = ()) ->
     size = F.col("sample_size")
     sxx = size * (size.cast("double") * size - 1) / 12
     enough = size >= fixed.MIN_TREND_POINTS
+    explained = clamp(divide(F.col("_sxy") * F.col("_sxy"), sxx * F.col("_syy")))
+    # A slope whose share of the variation is below rounding noise is no slope.
+    slope = F.when(explained > 1e-24, divide(F.col("_sxy"), sxx)).otherwise(F.lit(0.0))
     base = sums.select(
         *by, "measure", F.lit(date_name).alias("date"),
         F.when(enough, F.lit("completed")).otherwise(F.lit("insufficient_data")).alias("status"),
@@ -112,9 +115,9 @@ def trend_metrics(points: DataFrame, date_name: str, by: Sequence[str] = ()) ->
         date_label(F.col("_trough.date"), date_type).alias("trough_date"),
         F.col("_trough.value").alias("trough_value"),
         (F.col("_recent") / window).alias("latest_moving_average"),
-        F.coalesce(divide(F.col("_sxy"), sxx), F.lit(0.0)).alias("slope_per_observation"),
+        slope.alias("slope_per_observation"),
         F.when(F.col("_trough.value") == -F.col("_peak._minus"), F.lit(1.0))
-        .otherwise(clamp(divide(F.col("_sxy") * F.col("_sxy"), sxx * F.col("_syy")))).alias("r_squared"),
+        .otherwise(explained).alias("r_squared"),
     )
     change = F.col("last_value") - F.col("first_value")
     latest = F.col("last_value") - F.col("_previous")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,18 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread_out(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Spread the rows of a small but costly step over all shuffle partitions.
+
+    One result row per test is few bytes, which adaptive execution would put into
+    one task, while a p-value takes far longer than a row.  Without groups there
+    are too few rows to bother.
+    """
+    if not by:
+        return df
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Mark ``df`` for broadcast when it has at most ``limit`` rows.
 
