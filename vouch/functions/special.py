@@ -1,7 +1,7 @@
 """p-values as SQL expressions.
 
 The regularised incomplete beta function is evaluated with its continued
-fraction (modified Lentz form) folded over a ``sequence``.  It is meant for
+fraction, folded over a ``sequence``.  It is meant for
 result tables with one row per test, never for input rows.
 
 Expressions are built as SQL text: one parse instead of hundreds of column
@@ -15,7 +15,6 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TINY = "1e-300D"
 _SHIFT = 16
 
 
@@ -55,24 +54,14 @@ def _log(x: str, complement: str) -> str:
     return f"(case when {x} > 0.5D then log1p(-{complement}) else ln({x}) end)"
 
 
-def _away_from_zero(v: str) -> str:
-    return f"(case when abs({v}) < {_TINY} then {_TINY} else {v} end)"
-
-
 def _continued_fraction(a: str, b: str, x: str, steps: str) -> str:
-    def advance(state: str, term: str) -> str:
-        c = _away_from_zero(f"(1D + {term} / {state}.c)")
-        d = f"(1D / {_away_from_zero(f'(1D + {term} * {state}.d)')})"
-        return f"named_struct('c', {c}, 'd', {d}, 'h', {state}.h * {c} * {d})"
-
+    """1 / (1 + d1 / (1 + d2 / (1 + ...))), folded from the innermost term outwards."""
     even = f"(m * ({b} - m) * {x} / (({a} + 2D*m - 1D) * ({a} + 2D*m)))"
     odd = f"(-({a} + m) * ({a} + {b} + m) * {x} / (({a} + 2D*m) * ({a} + 2D*m + 1D)))"
-    d0 = f"(1D / {_away_from_zero(f'(1D - ({a} + {b}) * {x} / ({a} + 1D))')})"
-    # The one-element transform binds the even half-step so that it is evaluated once.
-    step = f"transform(array({advance('s', even)}), t -> {advance('t', odd)})[0]"
     return (
-        f"aggregate(transform(sequence(1, {steps}), i -> cast(i as double)), "
-        f"named_struct('c', 1D, 'd', {d0}, 'h', {d0}), (s, m) -> {step}, s -> s.h)"
+        f"(1D / aggregate(cast(sequence({steps}, 1, -1) as array<double>), 1D, "
+        f"(f, m) -> 1D + try_divide({even}, 1D + try_divide({odd}, f)), "
+        f"f -> 1D - try_divide(({a} + {b}) * {x} / ({a} + 1D), f)))"
     )
 
 
@@ -97,6 +86,8 @@ def with_beta_tail(df: DataFrame, name: str, a: str, b: str, x: str, y: str) ->
         "cast(60 + ceil(1.5D * sqrt(least(_t.a, _t.b))) as int) as _steps")
     fraction = _continued_fraction("_t.a", "_t.b", "_t.x", "_steps")
     parts = parts.selectExpr("*", f"""case when _t.x <= 0 then 0D
+        when _t.b = 1D then exp(_t.a * {_log('_t.x', '_t.y')})
+        when _t.a = 1D then 1D - exp(_t.b * {_log('_t.y', '_t.x')})
         when _t.x is not null and _t.a is not null and _t.b is not null then _front * {fraction} end as _tail""")
     value = "case when _t.swap then 1D - _tail else _tail end"
     # Comparison by case keeps a null; least and greatest would drop it.

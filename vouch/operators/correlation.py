@@ -3,78 +3,54 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import islice
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vouch.functions import fixed
 from vouch.functions.special import with_pearson_p
+from vouch.operators.quantiles import null_safe
 from vouch.session import spread_out
 from vouch.sources.tables import column
 
-# Pairs per aggregate: more would make the generated code too large to compile.
-PAIRS_PER_PASS = 60
-
-
-def _statistics(
-    df: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequence[str], complete: frozenset[str]
-) -> DataFrame:
-    """(by..., first, second, sample_size, _vx, _vy, _cxy, _varies), incrementally updated moments."""
-    totals: dict[str, Column] = {}
-
-    def total(key: str, expression: Column) -> Column:
-        totals.setdefault(key, expression.alias(key))
-        return F.col(key)
-
-    cells = []
-    used = list(dict.fromkeys(c for pair in pairs for c in pair))
-    place = {name: i for i, name in enumerate(used)}
-    for first, second in pairs:
-        i, j = place[first], place[second]
-        x, y = column(first).cast("double"), column(second).cast("double")
-
-        def side(own: Column, own_id: int, other: Column, other_id: int, other_name: str) -> tuple[Column, Column]:
-            # A column without nulls does not restrict its partner, so the partner's
-            # moments are shared by all such pairs.
-            masked = own if other_name in complete else F.when(other.isNotNull(), own)
-            tag = f"{own_id}" if other_name in complete else f"{own_id}_{other_id}"
-            spread = total(f"v{tag}", F.var_pop(masked))
-            varies = total(f"l{tag}", F.min(masked)) < total(f"h{tag}", F.max(masked))
-            return spread, varies
-
-        vx, x_varies = side(x, i, y, j, second)
-        vy, y_varies = side(y, j, x, i, first)
-        if first in complete and second in complete:
-            size = total("n", F.count(F.lit(1)))
-        else:
-            size = total(f"n{i}_{j}", F.count(F.when(x.isNotNull() & y.isNotNull(), 1)))
-        cells.append(F.struct(
-            F.lit(first).alias("first"), F.lit(second).alias("second"), size.alias("sample_size"),
-            vx.alias("_vx"), vy.alias("_vy"), total(f"c{i}_{j}", F.covar_pop(x, y)).alias("_cxy"),
-            (x_varies & y_varies).alias("_varies"),
-        ))
-    return df.groupBy(*by).agg(*totals.values()).select(*by, F.inline(F.array(*cells)))
-
-
-def correlations(
-    df: DataFrame,
-    pairs: Sequence[tuple[str, str]],
-    by: Sequence[str] = (),
-    complete: Sequence[str] = (),
-) -> DataFrame:
+
+def pair_rows(df: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequence[str] = ()) -> DataFrame:
+    """(by..., first, second, x, y): one row per row and pair in which both columns are present."""
+    cells = [
+        F.struct(
+            F.lit(i).alias("_pair"), column(a).cast("double").alias("x"), column(b).cast("double").alias("y"))
+        for i, (a, b) in enumerate(pairs)
+    ]
+    return df.select(*by, F.inline(F.array(*cells))).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+
+
+def _moments(df: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequence[str]) -> DataFrame:
+    """Incrementally updated moments of every pair, (by..., first, second, ...), pairs without rows included.
+
+    Rows are expanded per pair instead of widening the aggregate: eight aggregates
+    compile well, hundreds do not.  The expanded rows are folded map-side.
+    """
+    totals = pair_rows(df, pairs, by).groupBy(*by, "_pair").agg(
+        F.count(F.lit(1)).alias("sample_size"), F.var_pop("x").alias("_vx"), F.var_pop("y").alias("_vy"),
+        F.covar_pop("x", "y").alias("_cxy"),
+        ((F.min("x") < F.max("x")) & (F.min("y") < F.max("y"))).alias("_varies"),
+    )
+    names = F.array(*[F.struct(
+        F.lit(i).alias("_pair"), F.lit(a).alias("first"), F.lit(b).alias("second"),
+    ) for i, (a, b) in enumerate(pairs)])
+    # Groups times pairs: the shape of the result.
+    groups = df.select(*by).distinct() if by else df.sparkSession.range(1).select()
+    every = groups.select(*by, F.inline(names))
+    return null_safe(every, totals, [*by, "_pair"], "left").drop("_pair").withColumn(
+        "sample_size", F.coalesce("sample_size", F.lit(0)))
+
+
+def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequence[str] = ()) -> DataFrame:
     """(by..., first, second, correlation, p_value, sample_size, status, reason).
 
-    Each pair uses the rows where both columns are present.  ``complete`` names
-    columns known to have no nulls; it only saves work.
+    Each pair uses the rows where both columns are present.
     """
-    batches = iter(pairs)
-    parts = []
-    while batch := list(islice(batches, PAIRS_PER_PASS)):
-        parts.append(_statistics(df, batch, by, frozenset(complete)))
-    moments = parts[0]
-    for part in parts[1:]:
-        moments = moments.unionByName(part)
+    moments = _moments(df, pairs, by)
     size = F.col("sample_size")
     scale = F.sqrt("_vx") * F.sqrt("_vy")
     usable = (size >= 2) & F.col("_varies") & (scale > 0)

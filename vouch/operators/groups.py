@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from vouch.functions import fixed
 from vouch.functions.numbers import canonical
 from vouch.functions.special import with_f_tail
-from vouch.operators.quantiles import DIRECT_CELLS, null_safe, order_statistics
+from vouch.operators import quantiles
+from vouch.operators.quantiles import DIRECT_CELLS, null_safe
 from vouch.session import spread_out
 from vouch.sources.tables import column
 
@@ -32,12 +33,14 @@ def group_statistics(
     by: Sequence[str] = (),
     *,
     rows: int | None = None,
+    medians: bool = True,
     direct_cells: int = DIRECT_CELLS,
 ) -> DataFrame:
     """(by..., measure, dimension, key, count, mean, median, min, max, variance).
 
     Every measure by every dimension.  Groups are pre-aggregated before the
     shuffle, so a dominant key costs one row per task.  A null key is a group.
+    The analysis of variance needs no ``medians``; without them the median is null.
     """
     long = by_dimension(df, measures, dimensions, by)
     keys = [*by, "dimension", "key"]
@@ -58,14 +61,14 @@ def group_statistics(
         for i, name in enumerate(measures)
     ]
     basics = totals.select(*keys, F.inline(F.array(*cells)))
+    shape = [*by, "measure", "dimension", "key", "count", "mean", "median", "min", "max", "variance"]
+    if not medians:
+        return basics.withColumn("median", F.lit(None).cast("double")).select(*shape)
     cells_rows = None if rows is None else rows * len(dimensions)
     if cells_rows is None:
         cells_rows = df.count() * len(dimensions)
-    medians = order_statistics(
-        long, measures, keys, rows=cells_rows, direct_cells=direct_cells
-    ).select(*keys, "measure", "median")
-    return null_safe(basics, medians, [*keys, "measure"], "left").select(
-        *by, "measure", "dimension", "key", "count", "mean", "median", "min", "max", "variance")
+    middle = quantiles.medians(long, measures, keys, rows=cells_rows, direct_cells=direct_cells)
+    return null_safe(basics, middle, [*keys, "measure"], "left").select(*shape)
 
 
 def anova(groups: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -1,7 +1,7 @@
 """Exact row positions in a global order, and samples taken at fixed positions.
 
-A global ``row_number`` would sort the whole table in one task.  Here the rows
-are range-partitioned and sorted by Spark's own sort, numbered inside each
+A global ``row_number`` would sort the whole table in one task.  Here, once a
+group is too large for a window of its own, the rows are range-partitioned and sorted by Spark's own sort, numbered inside each
 partition while they are written to the shared folder, and shifted by the
 number of rows in the partitions before.  The written table keeps partition
 numbers and contents in agreement for every later use.
@@ -19,6 +19,8 @@ from vouch.operators.quantiles import null_safe
 from vouch.session import broadcast_if_small, materialise
 from vouch.sources.tables import column
 
+# Rows of the largest group up to which one window per group is used.
+DIRECT_ROWS = 1_000_000
 _BUCKET_BITS = 33  # layout of monotonically_increasing_id
 
 
@@ -30,19 +32,20 @@ def row_fingerprint(df: DataFrame) -> Column:
 def positions(
     df: DataFrame,
     order: Sequence[Column],
-    marks: Mapping[str, tuple[Column, Column | None]],
     keep: Mapping[str, Column],
+    marks: Mapping[str, tuple[Column, Column | None]],
     by: Sequence[str] = (),
     *,
     unique: bool = False,
+    direct_rows: int = DIRECT_ROWS,
 ) -> DataFrame:
     """Position of every row among the rows that satisfy each mark.
 
     ``order``   sort columns; ties are broken by the kept columns, and rows equal
                 in all of these are exchangeable.
-    ``marks``   name -> (condition, value or None).  Rows are counted separately
-                per condition.
     ``keep``    columns of the result.
+    ``marks``   name -> (condition, value or None) over the kept columns.  Rows
+                are counted separately per condition.
     ``by``      groups; positions start at 0 in each.
     ``unique``  promise that ``order`` identifies a row.  Otherwise equal rows are
                 first folded into one with a number of ``copies``, so that a row
@@ -51,34 +54,71 @@ def positions(
     Returns by..., keep..., copies and for each mark: ``pos_<mark>`` (position of
     the first copy, null where the condition fails), ``n_<mark>`` (rows in the
     group) and ``mean_<mark>`` (mean of the mark's value over the group).
+
+    When no group has more than ``direct_rows`` rows a window per group does it.
     """
     sort_names = [f"_o{i}" for i in range(len(order))]
     narrow = df.select(
-        *by,
-        *[c.alias(n) for c, n in zip(order, sort_names)],
-        *[c.alias(n) for n, c in keep.items()],
-        *[F.coalesce(condition, F.lit(False)).alias(f"_is_{m}") for m, (condition, _) in marks.items()],
-        *[value.cast("double").alias(f"_v_{m}") for m, (_, value) in marks.items() if value is not None],
-    )
-    if unique:
-        narrow = narrow.withColumn("copies", F.lit(1).cast("long"))
-    else:
-        narrow = narrow.groupBy(*narrow.columns).agg(F.count(F.lit(1)).alias("copies"))
-    numbered = narrow.orderBy(*by, *sort_names, *keep).withColumn("_id", F.monotonically_increasing_id())
-    table = materialise(numbered.drop(*sort_names), "ordered").withColumn(
-        "_bucket", F.shiftright("_id", _BUCKET_BITS))
+        *by, *[c.alias(n) for c, n in zip(order, sort_names)], *[c.alias(n) for n, c in keep.items()])
+    largest = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    single = narrow.withColumn("copies", F.lit(1).cast("long"))
+    if largest <= direct_rows:
+        return _placed_by_window(single, [*sort_names, *keep], keep, marks, by)
+    folded = single if unique else narrow.groupBy(*narrow.columns).agg(F.count(F.lit(1)).alias("copies"))
+    return _placed_by_sort(folded, sort_names, keep, marks, by)
+
+
+def _counted(mark: tuple[Column, Column | None]) -> Column:
+    """Copies of the row that count for the mark."""
+    return F.when(mark[0], F.col("copies")).otherwise(F.lit(0))
+
 
-    def counted(mark: str) -> Column:
-        return F.when(F.col(f"_is_{mark}"), F.col("copies")).otherwise(F.lit(0))
+def _weighted(mark: tuple[Column, Column | None]) -> Column:
+    """Sum of the mark's value over the copies of the row."""
+    if mark[1] is None:
+        return F.lit(None).cast("double")
+    return F.when(mark[0], F.col("copies") * mark[1].cast("double"))
+
+
+def _finish(out: DataFrame, keep: Mapping[str, Column], marks: Mapping, by: Sequence[str]) -> DataFrame:
+    return out.select(*by, *keep, "copies", *[
+        c
+        for m in marks
+        for c in (
+            (F.col(f"_at_{m}") - F.col(f"_first_{m}")).alias(f"pos_{m}"),
+            F.col(f"n_{m}"),
+            F.when(F.col(f"n_{m}") > 0, F.col(f"_s_{m}") / F.col(f"n_{m}")).alias(f"mean_{m}"),
+        )
+    ])
 
-    def weighted(mark: str) -> Column:
-        if marks[mark][1] is None:
-            return F.lit(None).cast("double")
-        return F.when(F.col(f"_is_{mark}"), F.col("copies") * F.col(f"_v_{mark}"))
 
+def _placed_by_window(
+    narrow: DataFrame, order: Sequence[str], keep: Mapping[str, Column], marks: Mapping, by: Sequence[str]
+) -> DataFrame:
+    group = Window.partitionBy(*[F.col(c) for c in by])
+    before = group.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = narrow.select("*", *[
+        c
+        for m, mark in marks.items()
+        for c in (
+            F.when(mark[0], F.coalesce(F.sum(_counted(mark)).over(before), F.lit(0))).alias(f"_at_{m}"),
+            F.lit(0).alias(f"_first_{m}"),
+            F.sum(_counted(mark)).over(group).alias(f"n_{m}"),
+            F.sum(_weighted(mark)).over(group).alias(f"_s_{m}"),
+        )
+    ])
+    return _finish(placed, keep, marks, by)
+
+
+def _placed_by_sort(
+    narrow: DataFrame, sort_names: Sequence[str], keep: Mapping[str, Column], marks: Mapping, by: Sequence[str]
+) -> DataFrame:
+    numbered = narrow.orderBy(*by, *sort_names, *keep).withColumn("_id", F.monotonically_increasing_id())
+    table = materialise(numbered.drop(*sort_names), "ordered").withColumn(
+        "_bucket", F.shiftright("_id", _BUCKET_BITS))
     totals = table.groupBy("_bucket").agg(
-        *[F.sum(counted(m)).alias(f"_n_{m}") for m in marks],
-        *[F.sum(weighted(m)).alias(f"_s_{m}") for m in marks],
+        *[F.sum(_counted(mark)).alias(f"_n_{m}") for m, mark in marks.items()],
+        *[F.sum(_weighted(mark)).alias(f"_s_{m}") for m, mark in marks.items()],
     )
     # One row per sort partition: this window and broadcast stay at the size of
     # the shuffle partition count.
@@ -90,16 +130,15 @@ def positions(
     placed = table.join(F.broadcast(offsets), "_bucket")
     placed = placed.select("*", *[
         F.when(
-            F.col(f"_is_{m}"),
-            F.col(f"_off_{m}") + F.coalesce(F.sum(counted(m)).over(inside), F.lit(0)),
+            mark[0], F.col(f"_off_{m}") + F.coalesce(F.sum(_counted(mark)).over(inside), F.lit(0)),
         ).alias(f"_at_{m}")
-        for m in marks
+        for m, mark in marks.items()
     ])
     if by:
         firsts = placed.groupBy(*by).agg(
             *[F.min(f"_at_{m}").alias(f"_first_{m}") for m in marks],
-            *[F.sum(counted(m)).alias(f"n_{m}") for m in marks],
-            *[F.sum(weighted(m)).alias(f"_s_{m}") for m in marks],
+            *[F.sum(_counted(mark)).alias(f"n_{m}") for m, mark in marks.items()],
+            *[F.sum(_weighted(mark)).alias(f"_s_{m}") for m, mark in marks.items()],
         )
         out = null_safe(placed, broadcast_if_small(materialise(firsts, "group-starts")), by)
     else:
@@ -109,15 +148,7 @@ def positions(
             *[F.sum(f"_s_{m}").alias(f"_s_{m}") for m in marks],
         )
         out = placed.crossJoin(F.broadcast(whole))  # one row
-    return out.select(*by, *keep, "copies", *[
-        c
-        for m in marks
-        for c in (
-            (F.col(f"_at_{m}") - F.col(f"_first_{m}")).alias(f"pos_{m}"),
-            F.col(f"n_{m}"),
-            F.when(F.col(f"n_{m}") > 0, F.col(f"_s_{m}") / F.col(f"n_{m}")).alias(f"mean_{m}"),
-        )
-    ])
+    return _finish(out, keep, marks, by)
 
 
 def sample_positions(
@@ -155,6 +186,7 @@ def scatter_sample(
     *,
     unique: bool = False,
     k: int = fixed.SCATTER_POINTS,
+    direct_rows: int = DIRECT_ROWS,
 ) -> DataFrame:
     """(by..., first, second, sample_index, x, y, total_points, displayed_points, sampled).
 
@@ -163,15 +195,17 @@ def scatter_sample(
     """
     order = [column(c) for c in order_by] if order_by else [row_fingerprint(df)]
     used = list(dict.fromkeys(c for pair in pairs for c in pair))
+    at = {c: f"_c{i}" for i, c in enumerate(used)}
     marks = {
-        str(i): (column(a).isNotNull() & column(b).isNotNull(), None) for i, (a, b) in enumerate(pairs)
+        str(i): (F.col(at[a]).isNotNull() & F.col(at[b]).isNotNull(), None) for i, (a, b) in enumerate(pairs)
     }
     placed = positions(
-        df, order, marks, {f"_c{i}": column(c).cast("double") for i, c in enumerate(used)}, by, unique=unique)
+        df, order, {at[c]: column(c).cast("double") for c in used}, marks, by,
+        unique=unique, direct_rows=direct_rows)
     cells = [
         F.struct(
-            F.lit(a).alias("first"), F.lit(b).alias("second"), F.col(f"_c{used.index(a)}").alias("x"),
-            F.col(f"_c{used.index(b)}").alias("y"), F.col(f"pos_{i}").alias("pos"), F.col(f"n_{i}").alias("n"),
+            F.lit(a).alias("first"), F.lit(b).alias("second"), F.col(at[a]).alias("x"),
+            F.col(at[b]).alias("y"), F.col(f"pos_{i}").alias("pos"), F.col(f"n_{i}").alias("n"),
         )
         for i, (a, b) in enumerate(pairs)
     ]

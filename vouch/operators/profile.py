@@ -110,14 +110,13 @@ def numeric_columns(df: DataFrame) -> list[str]:
 def profile_numeric(df: DataFrame) -> DataFrame:
     """(column, min, max, mean, median, std) of numeric columns; all-null columns are left out."""
     from vouch.operators.describe import basic_statistics
-    from vouch.operators.quantiles import order_statistics
+    from vouch.operators.quantiles import medians
 
     names = numeric_columns(df)
     basics = basic_statistics(df, names)
-    medians = order_statistics(df, names).select("measure", "median")
     return (
         basics.filter(F.col("count") > 0)
-        .join(F.broadcast(medians), "measure", "left")
+        .join(F.broadcast(medians(df, names)), "measure", "left")
         .select(
             F.col("measure").alias("column"), "min", "max",
             F.bround("mean", 4).alias("mean"), "median", F.bround("std", 4).alias("std"),

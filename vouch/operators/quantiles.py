@@ -3,8 +3,7 @@
 A quartile here is the value at 0-based rank floor((n-1)q + 0.5); the median is
 the mean of the two middle values.
 
-Small inputs: count each distinct value, take a running sum in value order and
-pick the first value past each rank.
+Small inputs: number the values of each group in order and pick the ranks.
 
 Large inputs: sorting a column would shuffle all of it, so its candidates are
 narrowed first.
@@ -14,7 +13,7 @@ narrowed first.
      of each bucket; running sums over these counts say which bucket really
      holds the rank.  This step is exact whatever the sketch said;
   3. one pass counts the distinct values of the chosen buckets only and picks
-     the value as in the small case.
+     the first value whose running count passes the rank.
 Passes 1 and 2 combine on the map side to a bounded number of rows per group.
 """
 
@@ -61,15 +60,15 @@ def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return left.join(renamed, condition, how).drop(*[f"_r_{key}" for key in keys])
 
 
-def _pick(frequencies: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """First value past each rank, from (keys, value, n) with the whole group present."""
+def _pick(long: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The values at the target ranks, by sorting each group."""
     part = Window.partitionBy(*keys)
-    order = part.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = frequencies.withColumn("_past", F.sum("n").over(order)).withColumn("_total", F.sum("n").over(part))
-    found = running.groupBy(*keys).agg(
+    placed = long.withColumn("_at", F.row_number().over(part.orderBy("value")) - 1).withColumn(
+        "_total", F.count(F.lit(1)).over(part))
+    found = placed.groupBy(*keys).agg(
         F.max("_total").alias("n"),
         *[
-            F.min(F.when(F.col("_past") > rank, F.col("value"))).alias(name)
+            F.max(F.when(F.col("_at") == rank, F.col("value"))).alias(name)
             for name, rank in ranks(F.col("_total")).items()
         ],
     )
@@ -82,6 +81,29 @@ def _finish(found: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def medians(
+    df: DataFrame,
+    columns: Sequence[str],
+    by: Sequence[str] = (),
+    *,
+    rows: int | None = None,
+    direct_cells: int = DIRECT_CELLS,
+) -> DataFrame:
+    """(by..., measure, median), exact.
+
+    Small inputs use the built-in exact median, whose state holds the distinct
+    values of a group; larger ones the narrowing form.
+    """
+    if rows is None:
+        rows = df.count()
+    if rows * len(columns) > direct_cells:
+        return order_statistics(df, columns, by, rows=rows, direct_cells=direct_cells).select(*by, "measure", "median")
+    middle = df.groupBy(*by).agg(*[
+        F.median(column(c).cast("double")).alias(f"m{i}") for i, c in enumerate(columns)])
+    return middle.select(*by, F.inline(F.array(*[
+        F.struct(F.lit(c).alias("measure"), F.col(f"m{i}").alias("median")) for i, c in enumerate(columns)])))
+
+
 def order_statistics(
     df: DataFrame,
     columns: Sequence[str],
@@ -102,7 +124,7 @@ def order_statistics(
     if rows is None:
         rows = df.count()
     if rows * len(columns) <= direct_cells:
-        return _pick(long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n")), keys)
+        return _pick(long, keys)
 
     margin = 4.0 / accuracy
     wanted = [min(1.0, max(0.0, q + side * margin)) for q in _QUARTILES for side in (-1, 1)]

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from vouch.functions import fixed
 from vouch.functions.numbers import clamp, divide, finite, percent_change
 from vouch.functions.scores import trend_label
-from vouch.operators.ordering import positions, row_fingerprint, sample_positions
+from vouch.operators.ordering import DIRECT_ROWS, positions, row_fingerprint, sample_positions
 from vouch.sources.tables import column
 
 
@@ -36,6 +36,7 @@ def series_points(
     by: Sequence[str] = (),
     *,
     unique: bool = False,
+    direct_rows: int = DIRECT_ROWS,
 ) -> DataFrame:
     """(by..., measure, pos, date, value, copies, n, mean): points in date order, one sort for all measures.
 
@@ -45,12 +46,10 @@ def series_points(
     """
     order = [column(date), *([column(c) for c in order_by] if order_by else [row_fingerprint(df)])]
     values = {f"_y{i}": finite(column(m)) for i, m in enumerate(measures)}
-    marks = {
-        str(i): (column(date).isNotNull() & values[f"_y{i}"].isNotNull(), values[f"_y{i}"])
-        for i in range(len(measures))
-    }
+    marks = {str(i): (F.col(f"_y{i}").isNotNull(), F.col(f"_y{i}")) for i in range(len(measures))}
     present = df.filter(column(date).isNotNull())
-    placed = positions(present, order, marks, {"_date": column(date), **values}, by, unique=unique)
+    placed = positions(
+        present, order, {"_date": column(date), **values}, marks, by, unique=unique, direct_rows=direct_rows)
     cells = [
         F.struct(
             F.lit(m).alias("measure"), F.col(f"pos_{i}").alias("pos"), F.col("_date").alias("date"),

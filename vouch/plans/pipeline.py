@@ -118,7 +118,6 @@ def analyse(
         catalogue = keep("catalogue", tagged(roles.with_roles(profile.profile_columns(safe))))
         plan = keep("plan", tagged(planner.build_plan(catalogue)))
         planned = _planned(plan)
-        complete = [r["column"] for r in catalogue.filter("missing_count = 0").collect()]
 
         results: dict[str, DataFrame] = {}
         outcomes = []
@@ -174,7 +173,7 @@ def analyse(
 
         def run_correlations() -> None:
             results["correlation"] = keep("correlation", tagged(
-                correlation.correlations(safe, planned["correlation"], complete=complete)))
+                correlation.correlations(safe, planned["correlation"])))
 
         attempt("descriptive_statistics", ["measure"], run_describe)
         attempt("group_comparison", ["measure", "dimension"], run_groups)

@@ -36,7 +36,7 @@ def results(spark: SparkSession, folder: str, period: str = "all") -> dict[str,
     def build(name: str) -> DataFrame:
         df = runs(spark, folder, period)
         if name == "correlations":
-            return correlation.correlations(df, PAIRS, BY, complete=MEASURES)
+            return correlation.correlations(df, PAIRS, BY)
         if name == "trends":
             points = series.series_points(df, MEASURES, "l_shipdate", LINE_ORDER, BY)
             return series.trend_metrics(points, "l_shipdate", BY)
@@ -46,7 +46,8 @@ def results(spark: SparkSession, folder: str, period: str = "all") -> dict[str,
             statistics = shared(spark, folder, f"statistics-{period}", lambda: build("statistics"))
             values = describe.outlier_values(df, statistics, MEASURES, BY)
             return insights.outlier_result(statistics, describe.outlier_summary(values, BY), BY)
-        table_ = materialise(groups.group_statistics(df, MEASURES, ["l_returnflag"], BY), "run-groups")
+        table_ = materialise(groups.group_statistics(
+            df, MEASURES, ["l_returnflag"], BY, medians=False), "run-groups")
         return insights.group_result(groups.extremes(table_, BY), groups.anova(table_, BY), BY)
 
     return {

@@ -159,7 +159,8 @@ tested AS (SELECT f.*, p FROM f LEFT JOIN beta USING (id))"""
 SELECT measure, dimension, groups, smallest AS minimum_group_size,
        CASE WHEN smallest < 3 THEN 'insufficient_data' WHEN k >= 2 THEN 'completed' ELSE 'no_test' END AS status FROM sums""")
 def group_gate(spark: SparkSession, folder: str) -> DataFrame:
-    table_ = groups.group_statistics(gappy(spark, folder), MEASURES, ["l_returnflag", "l_linestatus", "l_linenumber"])
+    table_ = groups.group_statistics(gappy(spark, folder), MEASURES, ["l_returnflag", "l_linestatus", "l_linenumber"],
+        medians=False)
     return groups.anova(table_).select("measure", "dimension", "groups", "minimum_group_size", "status")
 
 
@@ -172,7 +173,8 @@ SELECT measure, dimension, k AS group_count, cast(nn AS bigint) AS sample_size,
 def anova(spark: SparkSession, folder: str) -> DataFrame:
     lines, parts = table(spark, folder, "lineitem"), table(spark, folder, "part")
     priced = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
-    statistics = groups.group_statistics(priced, MEASURES, ["l_returnflag", "l_linestatus", "p_brand", "p_type"])
+    statistics = groups.group_statistics(priced, MEASURES, ["l_returnflag", "l_linestatus", "p_brand", "p_type"],
+        medians=False)
     return rounded(groups.anova(statistics).select(
         "measure", "dimension", "group_count", "sample_size", "statistic", "p_value", "p_value_underflow",
     ), {"statistic": 6, "p_value": 7})
@@ -237,7 +239,7 @@ FROM placed p JOIN wanted w ON p.pos = w.pos""")
 def scatter_sample(spark: SparkSession, folder: str) -> DataFrame:
     view = table(spark, folder, "orders").selectExpr(
         "o_orderkey", "o_custkey", "case when o_orderstatus <> 'P' then o_totalprice end as o_totalprice")
-    return ordering.scatter_sample(view, [("o_custkey", "o_totalprice")], ["o_orderkey"], unique=True)
+    return ordering.scatter_sample(view, [("o_custkey", "o_totalprice")], ["o_orderkey"], unique=True, direct_rows=0)
 
 
 # --- scalar rules over columns ------------------------------------------------------

@@ -69,7 +69,7 @@ FROM orders WHERE o_orderdate IS NOT NULL AND o_orderstatus <> 'P'""")
 def ts_points(spark: SparkSession, folder: str) -> DataFrame:
     view = table(spark, folder, "orders").withColumn(
         "o_totalprice", F.expr("case when o_orderstatus <> 'P' then o_totalprice end"))
-    points = series.series_points(view, ["o_totalprice"], "o_orderdate", ["o_orderkey"], unique=True)
+    points = series.series_points(view, ["o_totalprice"], "o_orderdate", ["o_orderkey"], unique=True, direct_rows=0)
     return points.select(series.date_label(F.col("date"), points.schema["date"].dataType).alias("date"), "value", "pos")
 
 
@@ -86,7 +86,8 @@ SELECT l_suppkey, sample_size, {r('slope', 6, 'slope_per_observation')}, {r('int
 def ts_trend(spark: SparkSession, folder: str) -> DataFrame:
     # Rows repeat in full here, so they are folded before they are ordered.
     points = series.series_points(
-        table(spark, folder, "lineitem"), ["l_extendedprice"], "l_shipdate", ["l_partkey", *LINE_ORDER], ["l_suppkey"])
+        table(spark, folder, "lineitem"), ["l_extendedprice"], "l_shipdate", ["l_partkey", *LINE_ORDER], ["l_suppkey"],
+        direct_rows=0)  # the form for large groups
     return rounded(series.trend_metrics(points, "l_shipdate", ["l_suppkey"]).filter("status = 'completed'").select(
         "l_suppkey", "sample_size", "slope_per_observation", "intercept", "r_squared",
     ), {"slope_per_observation": 6, "intercept": 3, "r_squared": 8})
