@@ -95,7 +95,7 @@ def analyse(
         if store is None:
             return materialise(table, stage)
         store.write_stage(stage, table)
-        return store.read_stage(stage, run_id)
+        return store.read_stage(stage, run_id, table.schema)
 
     def finish(status: str) -> None:
         if store is not None:

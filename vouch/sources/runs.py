@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 STATUS_STAGE = "status"
 
@@ -63,9 +64,17 @@ class RunStore:
         """Append the rows of one stage; ``df`` carries ``run_id``."""
         df.write.mode("append").partitionBy("run_id").parquet(self._table(stage))
 
-    def read_stage(self, stage: str, run_id: str | None = None) -> DataFrame:
-        """All runs of a stage, or one run read from its own partition."""
-        df = self.spark.read.option("mergeSchema", True).parquet(self._table(stage))
+    def read_stage(
+        self, stage: str, run_id: str | None = None, schema: T.StructType | None = None
+    ) -> DataFrame:
+        """All runs of a stage, or one run read from its own partition.
+
+        A stage without any rows has no files; it is read with a given ``schema``.
+        """
+        reader = self.spark.read.option("mergeSchema", True)
+        if schema is not None:
+            reader = reader.schema(schema)
+        df = reader.parquet(self._table(stage))
         df = df.withColumn("run_id", F.col("run_id").cast("string"))
         return df if run_id is None else df.filter(F.col("run_id") == run_id)
 

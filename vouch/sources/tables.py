@@ -52,7 +52,9 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None)
     tests = []
     for index, value in enumerate(present.values()):
         tests += [
-            F.bool_and(value.rlike(_INTEGER_TEXT) & value.try_cast("bigint").isNotNull()).alias(f"i{index}"),
+            F.bool_and(F.when(
+                value.isNotNull(), value.rlike(_INTEGER_TEXT) & value.try_cast("bigint").isNotNull(),
+            )).alias(f"i{index}"),
             F.bool_and(value.rlike(_NUMBER_TEXT)).alias(f"d{index}"),
             F.bool_and(value.rlike(_BOOLEAN_TEXT)).alias(f"b{index}"),
             F.count(value).alias(f"n{index}"),
