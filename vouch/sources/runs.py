@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vouch.operators.ordering import positions
+from vouch.operators.quantiles import null_safe
+
 STATUS_STAGE = "status"
 
 
 def version_numbers(versions: DataFrame) -> DataFrame:
-    """Number the versions of each dataset 1, 2, ... in creation order."""
-    order = Window.partitionBy("dataset_id").orderBy("created_at", "version_id")
-    return versions.withColumn("version_number", F.row_number().over(order))
+    """Number the versions of each dataset 1, 2, ... in creation order; ``version_id`` is unique.
+
+    One dataset may hold most versions: positions are found without a task per dataset.
+    """
+    order = [F.col("created_at"), F.col("version_id")]
+    others = {c: F.col(c) for c in versions.columns if c != "dataset_id"}
+    placed = positions(versions, order, others, {"all": (F.lit(True), None)}, ["dataset_id"], unique=True)
+    return placed.select(*versions.columns, (F.col("pos_all") + 1).alias("version_number"))
 
 
 def duplicate_versions(versions: DataFrame) -> DataFrame:
@@ -32,9 +40,9 @@ def run_history(runs: DataFrame, version_id: str | None = None) -> DataFrame:
     """Runs newest first with the number of runs of their dataset version."""
     if version_id is not None:
         runs = runs.filter(F.col("version_id") == version_id)
-    per_version = Window.partitionBy("version_id")
-    return runs.select(
-        "version_id", F.count(F.lit(1)).over(per_version).alias("run_count"), "run_id", "status", "created_at"
+    counts = runs.groupBy("version_id").agg(F.count(F.lit(1)).alias("run_count"))
+    return null_safe(runs, counts, ["version_id"]).select(
+        "version_id", "run_count", "run_id", "status", "created_at",
     ).orderBy("version_id", F.desc("created_at"), F.desc("run_id"))
 
 
