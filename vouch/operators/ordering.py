@@ -20,7 +20,7 @@ from vouch.session import broadcast_if_small, materialise
 from vouch.sources.tables import column
 
 # Rows of the largest group up to which one window per group is used.
-DIRECT_ROWS = 1_000_000
+DIRECT_ROWS = 200_000
 _BUCKET_BITS = 33  # layout of monotonically_increasing_id
 
 
