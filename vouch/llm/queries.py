@@ -1,3 +1,5 @@
 """Importing this module registers the queries of the subpackage."""
 
 import vouch.llm.exact_dedup  # noqa: F401
+import vouch.llm.licenses  # noqa: F401
+import vouch.llm.simhash  # noqa: F401
