@@ -3,3 +3,4 @@
 import vouch.llm.exact_dedup  # noqa: F401
 import vouch.llm.licenses  # noqa: F401
 import vouch.llm.simhash  # noqa: F401
+import vouch.llm.bpe  # noqa: F401
