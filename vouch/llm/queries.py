@@ -5,3 +5,4 @@ import vouch.llm.licenses  # noqa: F401
 import vouch.llm.simhash  # noqa: F401
 import vouch.llm.bpe  # noqa: F401
 import vouch.llm.packing  # noqa: F401
+import vouch.llm.language  # noqa: F401
