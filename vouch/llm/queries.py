@@ -7,3 +7,4 @@ import vouch.llm.bpe  # noqa: F401
 import vouch.llm.packing  # noqa: F401
 import vouch.llm.language  # noqa: F401
 import vouch.llm.quality  # noqa: F401
+import vouch.llm.pseudo_likelihood  # noqa: F401
