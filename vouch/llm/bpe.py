@@ -8,6 +8,7 @@ both sides agree.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
@@ -26,7 +27,7 @@ VOCABULARY = "word_bpe_49k.json"
 # Pre-tokens of more characters are encoded as a tree, with leaves of at most LEAF.
 LONG, LEAF = 256, 128
 # Distinct pieces kept per task, an upper bound on memory and no limit on the text.
-KEPT = 300_000
+KEPT = 600_000
 
 # Below U+0250 the letters, numbers and case pairs are the same in every Unicode version
 # and no combining mark occurs, so pre-tokens can be found without the library.  U+0130
@@ -69,6 +70,7 @@ class Encoder:
         self.names = [""] * (max(tokens.values()) + 1)
         for token, i in tokens.items():
             self.names[i] = token
+        self.closes = np.array([n.endswith(self.suffix) for n in self.names])  # tokens that end a piece
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -81,16 +83,16 @@ class Encoder:
             self.words.clear()
         if len(self.pieces) > KEPT:
             self.pieces.clear()
-        new: set[str] = set()
-        for words in texts:
-            new.update(words)
-        new.difference_update(self.words)
+        new = set().union(*texts).difference(self.words)
         taken = {word: self.pre_tokens(word) for word in new}
         missing = {p for parts in taken.values() for p in parts if isinstance(p, str)}.difference(self.pieces)
         self.encode_pieces(missing)
         pieces = self.pieces
         for word, parts in taken.items():
-            self.words[word] = b"".join([pieces[p] if isinstance(p, str) else np.uint32(p).tobytes() for p in parts])
+            if len(parts) == 1 and isinstance(parts[0], str):
+                self.words[word] = pieces[parts[0]]
+            else:
+                self.words[word] = b"".join([pieces[p] if isinstance(p, str) else np.uint32(p).tobytes() for p in parts])
 
     def pre_tokens(self, word: str) -> list[str | int]:
         """Pre-tokens of a word in byte symbols, and ids of special tokens written out in it."""
@@ -112,9 +114,12 @@ class Encoder:
     def encode_pieces(self, missing: set[str]) -> None:
         short = [p for p in missing if len(p) <= LONG]
         if short:
-            found = self.bare.encode(" ".join(short), add_special_tokens=False)
-            ids = np.array(found.ids, np.uint32)
-            cuts = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(short) + 1))
+            joined = " ".join(short)
+            ids = np.array(self.bare.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+            cuts = np.concatenate(([0], np.flatnonzero(self.closes[ids]) + 1))
+            if len(cuts) != len(short) + 1:  # a piece without a closing token: ask which word each token is of
+                found = self.bare.encode(joined, add_special_tokens=False)
+                cuts = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(short) + 1))
             data = ids.tobytes()
             for piece, start, end in zip(short, cuts[:-1].tolist(), cuts[1:].tolist()):
                 self.pieces[piece] = data[4 * start:4 * end]
@@ -171,10 +176,14 @@ class Encoder:
         """Ids of a text whose words were learned, as little-endian unsigned 32-bit integers."""
         return b"".join(map(self.words.__getitem__, words))
 
-    def encode_texts(self, texts: Iterable[str]) -> Iterator[bytes]:
-        split = [self.split(t) for t in texts]
-        self.learn(split)
-        return map(self.encode, split)
+    def encode_texts(self, texts: Iterable[str]) -> list[bytes]:
+        gc.disable()  # many small objects and no cycles: collections would only walk them again and again
+        try:
+            split = [self.split(t) for t in texts]
+            self.learn(split)
+            return [self.encode(words) for words in split]
+        finally:
+            gc.enable()
 
     def decode(self, ids: bytes) -> str:
         """Token strings joined by one space: this vocabulary has no decoder of its own."""
@@ -197,7 +206,7 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         if not kept:
             kept.append(Encoder(vocabulary_path(vocabulary)))
-        ids = list(kept[0].encode_texts(batch.column("text").to_pylist()))
+        ids = kept[0].encode_texts(batch.column("text").to_pylist())
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array([kept[0].decode(i) for i in ids], pa.string())],
             ["doc_id", "ids", "decoded"])
@@ -211,7 +220,7 @@ def encoded_digests(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         if not kept:
             kept.append(Encoder(vocabulary_path(vocabulary)))
-        ids = list(kept[0].encode_texts(batch.column("text").to_pylist()))
+        ids = kept[0].encode_texts(batch.column("text").to_pylist())
         yield pa.RecordBatch.from_arrays([
             batch.column("doc_id"), pa.array([len(i) // 4 for i in ids], pa.int64()),
             pa.array([hashlib.sha256(i).hexdigest() for i in ids]),
