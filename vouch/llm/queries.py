@@ -9,3 +9,4 @@ import vouch.llm.language  # noqa: F401
 import vouch.llm.quality  # noqa: F401
 import vouch.llm.pseudo_likelihood  # noqa: F401
 import vouch.llm.pii  # noqa: F401
+import vouch.llm.substring_dedup  # noqa: F401
