@@ -7,10 +7,11 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from vouch.session import materialise
 
-__all__ = ["documents", "fresh", "id_text", "keyed", "map_batches", "materialise", "partitions", "text_or_empty"]
+__all__ = ["documents", "fresh", "id_text", "keyed", "map_batches", "materialise", "partitions", "row_key", "text_or_empty"]
 
 # Bytes of text a Python worker turns into arrays at a time.
 BATCH_BYTES = 4 << 20
@@ -29,15 +30,14 @@ def id_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``id_text`` with ``row_key``, equal for rows that agree in id and text and for no others.
+def row_key() -> Column:
+    """A key that is equal for rows that agree in id and text and for no others."""
+    return F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null")), text_or_empty()))
+
 
-    Repeated rows get the same answers, so joining on a key that they share is right
-    as long as the other side holds each key once.
-    """
-    return id_text(docs).withColumn(
-        "row_key", F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text"))),
-    )
+def keyed(docs: DataFrame) -> DataFrame:
+    """``id_text`` with ``row_key``: repeated rows get the same answers, so they may share a key."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), row_key().alias("row_key"))
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -52,7 +52,7 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | None], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | None], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` over slices of about ``BATCH_BYTES``: a batch of long texts is worked off in parts."""
     limit = BATCH_BYTES
 

@@ -242,6 +242,25 @@ def label_spans(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFr
     return map_batches(rows, work, "doc_id long, lang_pred string, score double, spans array<struct<start:long,end:long,lang:string>>")
 
 
+def keep_identified(docs: DataFrame, model: Model, least: float = 0.3, switch: float = SWITCH) -> DataFrame:
+    """The documents with a language: not ``und``, and ``least`` of their letters in it or more; all columns stay."""
+    at = docs.columns.index("text")
+
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if not kept:
+            kept.append(Alphabet())
+        w = words_of([t or "" for t in batch.column(at).to_pylist()], kept[0])
+        if len(w.text) and model.languages:
+            letters = np.zeros((batch.num_rows, len(model.languages)))
+            np.add.at(letters, (w.text, label_words(w, model, switch)), w.letters)
+            total = letters.sum(axis=1)
+            yield batch.filter(pa.array((total > 0) & (letters.max(axis=1) >= least * total)))
+
+    kept: list[Alphabet] = []
+    rows = docs.withColumn("text", F.col("text").cast("string"))
+    return map_batches(rows, work, rows.schema)
+
+
 def held_out():
     """Whether a document is kept from training, by its id alone; a null id counts as the empty string."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1

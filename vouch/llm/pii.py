@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vouch.llm.common import documents, id_text, map_batches, text_or_empty
+from vouch.llm.common import documents, id_text, map_batches
 from workload.registry import query
 
 KINDS = ("email", "ip", "card", "phone")
@@ -399,16 +399,15 @@ def redacted_text(text: str, spans: list[Span]) -> str:
 
 def redact(docs: DataFrame, model: Tagger) -> DataFrame:
     """``docs`` with the spans in ``text`` replaced; null stays null, all columns stay."""
-    @F.pandas_udf("string")
-    def clean(texts):
-        import pandas as pd
+    at = docs.columns.index("text")
 
-        given = [t if isinstance(t, str) else "" for t in texts]
-        made = [redacted_text(t, spans) for t, (_, spans) in zip(given, find_spans(model, given))]
-        return pd.Series([m if isinstance(t, str) else None for t, m in zip(texts, made)], dtype=object)
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        texts = batch.column(at).to_pylist()
+        made = [t if t is None else redacted_text(t, spans) for t, (_, spans) in zip(texts, find_spans(model, [t or "" for t in texts]))]
+        yield batch.set_column(at, "text", pa.array(made, pa.string()))
 
-    text = F.col("text").cast("string")
-    return docs.withColumn("text", F.when(text_or_empty().rlike("[0-9@]"), clean(text)).otherwise(text))
+    rows = docs.withColumn("text", F.col("text").cast("string"))
+    return map_batches(rows, work, rows.schema)
 
 
 @query("op2_pii")
