@@ -60,13 +60,13 @@ def price(values: np.ndarray, capacity: int) -> np.ndarray:
     return best
 
 
-def configuration_program(demand: np.ndarray, rounds: int = 40, epsilon: float = 0.01, step: float = 0.5) -> dict[tuple[int, ...], float]:
+def configuration_program(demand: np.ndarray, rounds: int = 60, epsilon: float = 0.02, step: float = 0.5) -> dict[tuple[int, ...], float]:
     """A fractional solution of: cover ``demand[l]`` pieces of each length l by as few configurations as possible.
 
     Multiplicative weights: a length's weight falls with the share of its demand that is
     covered so far; each round prices configurations by the weights with the knapsack and
-    adds, for each length, one within ``1 - epsilon`` of the best, at most one of them
-    per length.  ``demand`` has index 0 to the capacity.
+    adds such as reach ``1 - epsilon`` of the best and share no length, the largest
+    length first: those have the fewest partners.  ``demand`` has index 0 to the capacity.
     """
     capacity = len(demand) - 1
     lengths = np.flatnonzero(demand)
@@ -80,7 +80,7 @@ def configuration_program(demand: np.ndarray, rounds: int = 40, epsilon: float =
         values[lengths] = lengths * np.exp(-share)
         best = price(values, capacity)
         open_values = values.copy()  # of lengths that no configuration of this round has
-        for length in lengths[np.argsort(share, kind="stable")].tolist():
+        for length in lengths[np.lexsort((-lengths, share > 0.999))].tolist():
             if open_values[length] < 0:
                 continue
             config, left, worth = [length], capacity - length, values[length]
@@ -142,6 +142,12 @@ def rounded(demand: np.ndarray, solution: dict[tuple[int, ...], float]) -> list[
     return out
 
 
+def best_packing(demand: np.ndarray, rounds: int = 60) -> list[tuple[tuple[int, ...], int]]:
+    """The rounded program, or the rounding that uses none of it if that takes fewer sequences."""
+    both = [rounded(demand, configuration_program(demand, rounds)), rounded(demand, {})]
+    return min(both, key=lambda packed: sum(n for _, n in packed))
+
+
 def slots(packed: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:
     """For each length, rows (first rank, first sequence, offset): where the pieces of that length go, by rank."""
     found: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
@@ -157,7 +163,7 @@ def slots(packed: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:
     return {length: np.array(rows, np.int64) for length, rows in found.items()}
 
 
-def pack(docs: DataFrame, capacity: int = SEQUENCE, vocabulary: str = VOCABULARY, end_id: int = 0, rounds: int = 40) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = SEQUENCE, vocabulary: str = VOCABULARY, end_id: int = 0, rounds: int = 60) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its token ids and ``end_id``; only documents longer than ``capacity``
@@ -170,12 +176,12 @@ def pack(docs: DataFrame, capacity: int = SEQUENCE, vocabulary: str = VOCABULARY
     return place(made, capacity, rounds)
 
 
-def place(made: DataFrame, capacity: int = SEQUENCE, rounds: int = 40) -> DataFrame:
+def place(made: DataFrame, capacity: int = SEQUENCE, rounds: int = 60) -> DataFrame:
     """Pieces with their sequence and offset; any table with doc_id, piece and a length from 1 to ``capacity``."""
     demand = np.zeros(capacity + 1, np.int64)
     for row in made.groupBy("length").count().collect():
         demand[row["length"]] = row["count"]
-    where = slots(rounded(demand, configuration_program(demand, rounds)))
+    where = slots(best_packing(demand, rounds))
     buckets = max(1, int(demand.sum()) // BUCKET_ROWS)
     # ranks within a length: counts by bucket, then row numbers inside a bucket
     dealt = made.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
