@@ -5,7 +5,9 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from vouch.functions import fixed
 from vouch.operators import privacy, profile, roles
+from vouch.operators.series import series_points
 from vouch.plans import planner
 from vouch.plans.pipeline import analyse
 from vouch.sources import reports, uploads
@@ -139,3 +141,74 @@ def test_failed_analysis_is_recorded(spark, people):
     failed = run.outcomes.filter("status = 'failed'").collect()
     assert [(r["type"], r["measure"]) for r in failed] == [("descriptive_statistics", "Cost")]
     assert run.ranked.count() >= 1
+
+
+def test_run_ids_stay_text(spark, tmp_path):
+    store = RunStore(spark, str(tmp_path))
+    for run_id in ("001", "1e3", "1"):
+        store.set_status(run_id, "v", None, "completed")
+    assert {r["run_id"] for r in store.runs().collect()} == {"001", "1e3", "1"}
+    assert store.run("001").count() == 1
+
+
+def test_report_of_a_run_without_insights(spark, people):
+    rows = analyse(people.limit(0), run_id="none").report()
+    assert rows.count() == 0 and rows.columns == ["run_id", *fixed.REPORT_COLUMNS]
+
+
+def test_falsified_results_are_found(spark, people, monkeypatch):
+    """A result table that differs from the data makes its insight fail."""
+    from vouch.operators import series
+
+    dated = people.withColumn("JoiningDate", F.expr("date_add(date'2020-01-01', cast(EmployeeID as int))"))
+    honest = analyse(dated, run_id="honest").insights.filter("insight_type = 'time_series_trend'")
+    assert {r["verification"]["status"] for r in honest.collect()} == {"verified"}
+    right = series.trend_metrics
+
+    def wrong(points, date, by=(), *, raw_moments=False):
+        made = right(points, date, by, raw_moments=raw_moments)
+        return made if raw_moments else made.withColumn("last_value", F.col("last_value") + 1000)
+
+    monkeypatch.setattr(series, "trend_metrics", wrong)
+    found = analyse(dated, run_id="wrong").insights.filter("insight_type = 'time_series_trend'").collect()
+    assert found and {r["verification"]["status"] for r in found} == {"failed"}
+
+
+def test_one_failing_pair_fails_alone(spark, people, monkeypatch):
+    from pyspark.errors import ArithmeticException
+
+    from vouch.operators import correlation
+
+    three = people.withColumn("Bonus", F.col("Salary") * 2 + F.col("Age") % 3)
+    right = correlation.correlations
+
+    def broken(df, pairs, by=()):
+        if ("Age", "Bonus") in pairs:
+            raise ArithmeticException("overflow")
+        return right(df, pairs, by)
+
+    monkeypatch.setattr(correlation, "correlations", broken)
+    run = analyse(three, run_id="one")
+    status = {(r["first"], r["second"]): (r["status"], r["error"]) for r in run.outcomes.filter("type = 'correlation'").collect()}
+    assert status.pop(("Age", "Bonus")) == ("failed", "overflow")
+    assert status and set(status.values()) == {("completed", None)}
+
+
+def test_csv_with_line_breaks_in_quotes(spark, tmp_path):
+    path = tmp_path / "lines.csv"
+    path.write_text('a,b\n1,"x\ny"\n2,z\n')
+    with pytest.raises(ValueError, match="line break"):
+        read_table(spark, str(path))
+    assert sorted(r["b"] for r in read_table(spark, str(path), multi_line=True).collect()) == ["x\ny", "z"]
+
+
+def test_profiles_without_columns_of_a_kind(spark):
+    numbers, texts = spark.range(3).toDF("n"), spark.createDataFrame([("a",)], "t string")
+    assert profile.top_values(numbers).count() == 0 and profile.profile_numeric(texts).count() == 0
+
+
+def test_points_are_the_same_at_every_size(spark):
+    rows = [("2020-01-01", 5.0)] * 5 + [("2020-01-02", 7.0), ("2020-01-03", None)]
+    df = spark.createDataFrame(rows, "d string, v double")
+    forms = [sorted(map(tuple, series_points(df, ["v"], "d", direct_rows=n).collect())) for n in (0, 10**6)]
+    assert forms[0] == forms[1] and len(forms[0]) == 2 and forms[0][0][4] == 5

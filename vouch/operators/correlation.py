@@ -70,6 +70,22 @@ def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequence[s
     )
 
 
+def recomputed(df: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequence[str] = ()) -> DataFrame:
+    """``correlations`` from the regression of y on x, a second formulation for verification."""
+    names = F.array(*[F.struct(F.lit(a).alias("first"), F.lit(b).alias("second")) for a, b in pairs])
+    sums = pair_rows(df, pairs, by).groupBy(*by, "_pair").agg(
+        F.count(F.lit(1)).alias("sample_size"), F.regr_r2("y", "x").alias("_r2"), F.regr_slope("y", "x").alias("_slope"),
+        ((F.min("x") < F.max("x")) & (F.min("y") < F.max("y"))).alias("_varies"),
+    )
+    r = F.when(F.col("_varies") & (F.col("sample_size") >= 2), F.signum("_slope") * F.sqrt(F.least("_r2", F.lit(1.0))))
+    tested = with_pearson_p(sums.withColumn("correlation", r), "p_value", "correlation", "sample_size")
+    pair = F.element_at(names, F.col("_pair") + 1)
+    return tested.select(
+        *by, pair["first"].alias("first"), pair["second"].alias("second"), "correlation", "p_value", "sample_size",
+        F.when(F.col("correlation").isNull(), F.lit("insufficient_variation")).otherwise(F.lit("completed")).alias("status"),
+        F.lit(None).cast("string").alias("reason"))
+
+
 def complete_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequence[str] = ()) -> DataFrame:
     """(by..., first, second, total_points): rows in which both columns are present."""
     totals = df.groupBy(*by).agg(*[

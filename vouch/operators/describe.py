@@ -76,6 +76,17 @@ def outlier_values(
     )
 
 
+def outlier_recount(
+    df: DataFrame, statistics: DataFrame, measures: Sequence[str], by: Sequence[str] = ()
+) -> DataFrame:
+    """``outlier_summary`` from the rows themselves instead of the folded values, for verification."""
+    keys = [*by, "measure"]
+    fences = statistics.select(*keys, "lower_bound", "upper_bound")
+    rows = null_safe(long_form(df, measures, by), broadcast_if_small(fences), keys)
+    rows = rows.filter(~F.col("value").between(F.col("lower_bound"), F.col("upper_bound")))
+    return outlier_summary(rows.withColumn("n", F.lit(1).cast("long")), by)
+
+
 def outlier_summary(values: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by..., measure, outlier_count, outlier_digest): digest is equal only for equal value lists."""
     # Sum of 64-bit hashes cut to 48 bits: independent of row order and free of overflow.

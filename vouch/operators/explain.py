@@ -151,11 +151,12 @@ def check_candidates(
     """Verdict on a supplied text for each insight: (by..., key, status, reason, explanation, unsupported_numbers).
 
     ``candidates`` holds by..., insight_type, source_columns and text.  An insight
-    that is not verified is rejected, one without a candidate is unavailable.
+    that is not verified is rejected, one without a candidate is unavailable.  Of
+    several candidates for one insight the first in text order counts.
     """
     boundary = evidence_boundary(insights, by)
     keys = [*by, *KEY]
-    offered = candidates.select(*keys, "text", F.lit(True).alias("_offered"))
+    offered = candidates.groupBy(*keys).agg(F.min("text").alias("text"), F.lit(True).alias("_offered"))
     joined = null_safe(boundary, offered, keys, "left")
     judged = guard(joined, F.col("text"), by, outlier_values).select(
         *keys,

@@ -195,7 +195,8 @@ def discover(
         kinds = F.array(*[F.lit(k) for k in ("outlier", "group_difference", "time_series_trend", "correlation")])
         found = found.withColumn("ord", F.concat_ws(
             "|", F.array_position(kinds, F.col("insight_type")).cast("string"), F.array_join("source_columns", "|")))
-    return found.filter(contract_holds()).select(
+    # An insight that breaks the contract is an error, not a row less.
+    return found.filter(F.assert_true(contract_holds(), F.lit("an insight must name its type, title and method")).isNull()).select(
         *by, "ord", "insight_type", "title", "source_columns", "method", "evidence", "calculation", "limitations")
 
 

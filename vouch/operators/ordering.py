@@ -48,23 +48,26 @@ def positions(
                 are counted separately per condition.
     ``by``      groups; positions start at 0 in each.
     ``unique``  promise that ``order`` identifies a row.  Otherwise equal rows are
-                first folded into one with a number of ``copies``, so that a row
-                repeated many times stays one row.
+                first folded into one with a number of ``copies``, at every size, so
+                that a row repeated many times stays one row.
 
     Returns by..., keep..., copies and for each mark: ``pos_<mark>`` (position of
     the first copy, null where the condition fails), ``n_<mark>`` (rows in the
     group) and ``mean_<mark>`` (mean of the mark's value over the group).
 
-    When no group has more than ``direct_rows`` rows a window per group does it.
+    When no group has more than ``direct_rows`` rows a window per group does it; the
+    rows are the same either way.
     """
     sort_names = [f"_o{i}" for i in range(len(order))]
     narrow = df.select(
         *by, *[c.alias(n) for c, n in zip(order, sort_names)], *[c.alias(n) for n, c in keep.items()])
     largest = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    single = narrow.withColumn("copies", F.lit(1).cast("long"))
+    if unique:
+        folded = narrow.withColumn("copies", F.lit(1).cast("long"))
+    else:
+        folded = narrow.groupBy(*narrow.columns).agg(F.count(F.lit(1)).alias("copies"))
     if largest <= direct_rows:
-        return _placed_by_window(single, [*sort_names, *keep], keep, marks, by)
-    folded = single if unique else narrow.groupBy(*narrow.columns).agg(F.count(F.lit(1)).alias("copies"))
+        return _placed_by_window(folded, [*sort_names, *keep], keep, marks, by)
     return _placed_by_sort(folded, sort_names, keep, marks, by)
 
 

@@ -86,8 +86,3 @@ def detect(df: DataFrame, catalogue: DataFrame) -> DataFrame:
     return named.join(valued, ["ord", "column"], "full_outer").select(
         "ord", "column", F.coalesce("by_name", "by_value").alias("category"), "by_name", "by_value"
     )
-
-
-def safe_columns(catalogue: DataFrame, protected: DataFrame) -> DataFrame:
-    """Catalogue rows of columns that are not protected."""
-    return catalogue.join(F.broadcast(protected.select("column")), "column", "left_anti")

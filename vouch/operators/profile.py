@@ -82,25 +82,43 @@ def value_frequencies(df: DataFrame, family: str | None = None) -> dict[str, Dat
     return out
 
 
-def distinct_counts(df: DataFrame) -> DataFrame:
-    """(ord, unique_count), exact, nulls left out."""
-    parts = [f.groupBy("ord").agg(F.count(F.lit(1)).alias("unique_count")) for f in value_frequencies(df).values()]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+def hashed_counts(df: DataFrame) -> DataFrame:
+    """(ord, non_null, unique_count) of every column and, at ord -1, the number of rows, in one scan.
+
+    Values go by two 64-bit hashes, so that long texts are not shuffled to be counted.
+    """
+    cells = [F.struct(F.lit(-1).alias("ord"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))]
+    for i, field in enumerate(df.schema.fields):
+        family = _family(field.dataType)
+        value = column(field.name).cast(family) if family != "text" else _as_text(field)
+        if family == "double":
+            value = value + F.lit(0.0)  # -0.0 is 0.0
+        cells.append(F.when(value.isNotNull(), F.struct(
+            F.lit(i).alias("ord"), F.xxhash64(value).alias("a"), F.xxhash64(F.lit(1), value).alias("b"))))
+    values = df.select(F.explode(F.array(*cells)).alias("v")).filter("v is not null").select("v.*")
+    return values.groupBy("ord", "a", "b").agg(F.count(F.lit(1)).alias("n")).groupBy("ord").agg(
+        F.sum("n").alias("non_null"), F.count(F.lit(1)).alias("unique_count"))
 
 
 def profile_columns(df: DataFrame) -> DataFrame:
     """Catalogue: ord, column, dtype, row_count, missing_count, missing_percentage, unique_count."""
+    # One row per column of the schema from here on.
+    found = hashed_counts(df).agg(F.map_from_entries(F.collect_list(
+        F.struct("ord", F.struct("non_null", "unique_count")))).alias("m"))
+
+    def counted(i: int, part: str) -> Column:
+        return F.coalesce(F.col("m")[F.lit(i)][part], F.lit(0).cast("long"))
+
+    rows = _rows_of([
+        F.struct(
+            F.lit(i).alias("ord"), F.lit(f.name).alias("column"), F.lit(dtype_name(f.dataType)).alias("dtype"),
+            counted(-1, "non_null").alias("row_count"), (counted(-1, "non_null") - counted(i, "non_null")).alias("missing_count"),
+            counted(i, "unique_count").alias("unique_count"))
+        for i, f in enumerate(df.schema.fields)
+    ], found)
     share = F.when(F.col("row_count") > 0, F.col("missing_count") / F.col("row_count") * 100)
-    # Both sides hold one row per column of the schema.
-    return (
-        column_counts(df)
-        .withColumn("missing_percentage", F.bround(share, 2))
-        .join(F.broadcast(distinct_counts(df)), "ord", "left")
-        .withColumn("unique_count", F.coalesce("unique_count", F.lit(0)))
-    )
+    return rows.select(
+        "ord", "column", "dtype", "row_count", "missing_count", F.bround(share, 2).alias("missing_percentage"), "unique_count")
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -113,6 +131,8 @@ def profile_numeric(df: DataFrame) -> DataFrame:
     from vouch.operators.quantiles import medians
 
     names = numeric_columns(df)
+    if not names:
+        return df.sparkSession.createDataFrame([], "column string, min double, max double, mean double, median double, std double")
     basics = basic_statistics(df, names)
     return (
         basics.filter(F.col("count") > 0)
@@ -127,6 +147,8 @@ def profile_numeric(df: DataFrame) -> DataFrame:
 def top_values(df: DataFrame, k: int = fixed.TOP_VALUES) -> DataFrame:
     """(column, rank, value, n): the k most frequent values of each text column, ties by value."""
     texts = df.select(*[column(f.name) for f in df.schema.fields if isinstance(f.dataType, T.StringType)])
+    if not texts.columns:
+        return df.sparkSession.createDataFrame([], "column string, rank int, value string, n long")
     names = F.array(*[F.lit(c) for c in texts.columns])
     order = Window.partitionBy("ord").orderBy(F.desc("n"), F.asc("value"))
     # Spark keeps k rows per column and task before the shuffle (window group limit).

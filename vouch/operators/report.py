@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vouch.functions import fixed
 from vouch.functions.numbers import number_text_sql
 from vouch.functions.text import spreadsheet_safe
+from vouch.operators.insights import EVIDENCE
 from vouch.operators.quantiles import null_safe
 
 MERGE_KEY = ["insight_type", "method", "source_columns", "title"]
@@ -39,7 +40,12 @@ def report_rows(
     advice = keep_last(recommended.select(*keys, "rank", "recommendation"), keys, F.col("rank")).drop("rank")
     base = ranked.drop("explanation", "recommendation")
     merged = null_safe(null_safe(base, texts, keys, "left"), advice, keys, "left")
-    return merged.select(
+    return ranked_rows(merged, by)
+
+
+def ranked_rows(ranked: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The report columns of insights that carry their explanation and recommendation."""
+    return ranked.select(
         *by, "rank", "insight_type", "title",
         F.array_join("source_columns", ", ").alias("source_columns"), "method",
         F.col("verification.status").alias("verification_status"),
@@ -55,6 +61,16 @@ def report_rows(
     )
 
 
+def empty_ranked(spark: SparkSession) -> DataFrame:
+    """A ranked table without rows, for runs that found nothing."""
+    evidence = ", ".join(f"{name}: {kind}" for name, kind in EVIDENCE.items())
+    return spark.createDataFrame([], f"""run_id string, rank int, insight_type string, title string,
+        source_columns array<string>, method string, verification struct<status: string>,
+        confidence struct<level: string, score: double>, score double, evidence struct<{evidence}>,
+        limitations array<string>, explanation struct<status: string, text: string>,
+        recommendation struct<action: string, reason: string, priority: string>""")
+
+
 def report_cells(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Report rows as spreadsheet-safe text; numbers stay numbers."""
     out = []
@@ -116,13 +132,6 @@ def headline_metric(df: DataFrame) -> DataFrame:
     return df.withColumn("metric_label", label).withColumn("metric_value", value.otherwise(F.col("score")))
 
 
-def ordered_runs(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Two one-row run tables (run_id, created_at) as one row (baseline, current)."""
-    both = first.select("run_id", "created_at").unionByName(second.select("run_id", "created_at"))
-    pair = F.struct("created_at", "run_id")
-    return both.agg(F.min(pair)["run_id"].alias("baseline"), F.max(pair)["run_id"].alias("current"))
-
-
 def compare_runs(baseline: DataFrame, current: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by..., key, change, before/after title, level and score, score_delta, confidence_delta).
 

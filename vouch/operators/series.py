@@ -40,6 +40,8 @@ def series_points(
 ) -> DataFrame:
     """(by..., measure, pos, date, value, copies, n, mean): points in date order, one sort for all measures.
 
+    Equal rows are one point with their number as ``copies``, unless ``unique`` is given.
+
     Rows without date or finite value are left out per measure.  Rows of one date
     are ordered by ``order_by``, or by a fingerprint of the row when it is not
     given; ``unique`` says that date and ``order_by`` identify a row.
@@ -66,9 +68,13 @@ def sample_series(points: DataFrame, k: int = fixed.SERIES_POINTS) -> DataFrame:
     return sample_positions(points, k, half_even=False)
 
 
-def trend_metrics(points: DataFrame, date_name: str, by: Sequence[str] = ()) -> DataFrame:
+def trend_metrics(points: DataFrame, date_name: str, by: Sequence[str] = (), *, raw_moments: bool = False) -> DataFrame:
     """Trend of each series over its positions 0..n-1, in one map-side combined aggregate.
 
+    ``raw_moments`` is the second formulation that verification uses: size, mean and
+    moments come from plain sums over the points and not from the size and mean that
+    the points carry.
+
     (by..., measure, date, status, sample_size, first/last/peak/trough date and
     value, changes, slope_per_observation, intercept, r_squared, trend_direction,
     trend_strength, moving_average_window, latest_moving_average)
@@ -82,17 +88,20 @@ def trend_metrics(points: DataFrame, date_name: str, by: Sequence[str] = ()) ->
     in_window = F.greatest(
         F.least(pos + copies, n) - F.greatest(pos, n - window), F.lit(0))
     before_last = (pos <= n - 2) & (pos + copies > n - 2)
+    middle = pos + (copies - 1) / 2
     sums = points.groupBy(*by, "measure").agg(
-        F.max(n).alias("sample_size"),
-        F.max("mean").alias("_mean"),
+        (F.sum(copies) if raw_moments else F.max(n)).alias("sample_size"),
+        (F.sum(copies * value) / F.sum(copies) if raw_moments else F.max("mean")).alias("_mean"),
         F.min(F.struct(pos, "date", value)).alias("_first"),
         F.max(F.struct(pos, "date", value)).alias("_last"),
         F.min(F.struct((-value).alias("_minus"), pos, "date")).alias("_peak"),
         F.min(F.struct(value, pos, "date")).alias("_trough"),
         F.max(F.when(before_last, value)).alias("_previous"),
         F.sum(value * in_window).alias("_recent"),
-        F.sum(copies * centred * shifted).alias("_sxy"),
-        F.sum(copies * shifted * shifted).alias("_syy"),
+        (F.sum(copies * middle * value) - F.sum(copies * middle) * F.sum(copies * value) / F.sum(copies) if raw_moments
+         else F.sum(copies * centred * shifted)).alias("_sxy"),
+        (F.sum(copies * value * value) - F.sum(copies * value) * F.sum(copies * value) / F.sum(copies) if raw_moments
+         else F.sum(copies * shifted * shifted)).alias("_syy"),
     )
     size = F.col("sample_size")
     sxx = size * (size.cast("double") * size - 1) / 12

@@ -5,7 +5,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
+from pyspark.errors import (
+    AnalysisException, ArithmeticException, DateTimeException, IllegalArgumentException, NumberFormatException,
+    SparkRuntimeException,
+)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +34,11 @@ from vouch.session import materialise
 from vouch.sources.runs import RunStore, run_status
 from vouch.sources.tables import normalise, safe_projection
 
+# What an analysis may fail with because of its data.
+DATA_ERRORS = (
+    AnalysisException, ArithmeticException, DateTimeException, IllegalArgumentException, NumberFormatException,
+    SparkRuntimeException,
+)
 
 
 @dataclass
@@ -47,8 +57,10 @@ class Run:
     ranked: DataFrame | None = None
 
     def report(self) -> DataFrame:
-        """The 16 report columns of the ranked insights."""
-        return report.report_rows(self.ranked, self.ranked, self.ranked, ["run_id"])
+        """The 16 report columns of the ranked insights; no rows for a run without any."""
+        if self.ranked is None:
+            return report.ranked_rows(report.empty_ranked(self.validation.sparkSession), ["run_id"])
+        return report.ranked_rows(self.ranked, ["run_id"])
 
 
 def _planned(plan: DataFrame) -> dict[str, list[tuple]]:
@@ -81,8 +93,9 @@ def analyse(
 
     ``order_by`` fixes the order of rows within one date; ``unique`` promises that
     it identifies a row.  ``candidates`` are proposed explanations (run_id,
-    insight_type, source_columns, text).  All analyses of one type run as one job;
-    if a job fails, its analyses are recorded as failed and the others go on.
+    insight_type, source_columns, text).  All analyses of one type run as one job; an
+    analysis that its data makes fail is recorded as failed and the others go on.  Errors
+    of storage or of the cluster end the run.
     """
     run_id = run_id or str(uuid.uuid4())
     version_id = version_id or run_id
@@ -120,65 +133,94 @@ def analyse(
         planned = _planned(plan)
 
         results: dict[str, DataFrame] = {}
+        checks: dict[str, DataFrame] = {}
         outcomes = []
         by = ["run_id"]
 
-        def attempt(kind: str, columns: Sequence[str], job: Callable[[], None]) -> None:
-            """Run the job of one analysis type and record the status of each analysis."""
+        def attempt(kind: str, columns: Sequence[str], job: Callable[[list[tuple]], dict[str, DataFrame]]) -> None:
+            """Run the job of one analysis type and record the status of each analysis.
+
+            All analyses of a type are one job.  If it fails for a reason that lies in
+            the data, each analysis is tried alone and the sound ones run together.
+            """
             if kind not in planned:
                 return
             part = plan.filter(F.col("type") == kind)
             shape = [*columns, "run_id"]
+            errors: dict[tuple, str] = {}
+            made: dict[str, DataFrame] = {}
             try:
-                job()
+                made = job(planned[kind])
+            except DATA_ERRORS:
+                for cell in planned[kind]:
+                    try:
+                        job([cell])
+                    except DATA_ERRORS as problem:
+                        errors[cell] = str(problem)
+                sound = [cell for cell in planned[kind] if cell not in errors]
+                made = job(sound) if sound else {}
+            for stage, table in made.items():
+                results[stage] = table if store is None else keep(stage, table)
+            # one literal per failed analysis of one table's plan
+            failure = F.lit(None).cast("string")
+            for cell, text in errors.items():
+                failure = F.when(F.struct(*columns) == F.struct(*map(F.lit, cell)), F.lit(text)).otherwise(failure)
+            part = part.drop("status").withColumn("_error", failure)
+            if kind in results:
                 done = results[kind].select(*shape, F.when(
                     F.col("status") == "failed", F.lit("failed")).otherwise(F.lit("completed")).alias("status"))
-                part = part.drop("status").join(done, shape, "left")
-                error = F.when(F.col("status") == "failed", F.lit("no values"))
-            except Exception as problem:  # noqa: BLE001 - one failing analysis type must not end the run
+                part = part.join(done, shape, "left")
+                part = part.withColumn("status", F.when(F.col("_error").isNotNull(), F.lit("failed")).otherwise(F.col("status")))
+            else:
                 part = part.withColumn("status", F.lit("failed"))
-                error = F.lit(str(problem)[:2000])
+            error = F.coalesce("_error", F.when(F.col("status") == "failed", F.lit("no values")))
             outcomes.append(part.select(
                 "run_id", "type", "measure", "dimension", "date", "first", "second", "status",
                 error.cast("string").alias("error")))
 
-        def run_describe() -> None:
-            names = _unique(planned["descriptive_statistics"], 0)
-            statistics = keep("descriptive_statistics", tagged(describe.describe(safe, names, rows=rows)))
-            results["descriptive_statistics"] = statistics
-            values = keep("outlier_values", tagged(describe.outlier_values(safe, statistics.drop("run_id"), names)))
-            results["outlier_values"] = values
-            results["outliers"] = insights.outlier_result(statistics, describe.outlier_summary(values, by), by)
-
-        def run_groups() -> None:
-            cells = planned["group_comparison"]
-            table = keep("groups", tagged(groups.group_statistics(
-                safe, _unique(cells, 0), _unique(cells, 1), rows=rows)))
-            results["groups"] = table
-            tests = groups.anova(table, by)
-            results["group_comparison"] = keep(
-                "group_comparison", insights.group_result(groups.extremes(table, by), tests, by))
-
-        def run_series() -> None:
-            cells = planned["time_series"]
-            parts = []
+        def held(stage: str, table: DataFrame) -> DataFrame:
+            """A result of a job that may still fail; the run store gets it afterwards."""
+            return materialise(tagged(table), stage)
+
+        def run_describe(cells: list[tuple]) -> dict[str, DataFrame]:
+            names = _unique(cells, 0)
+            statistics = held("descriptive_statistics", describe.describe(safe, names, rows=rows))
+            values = held("outlier_values", describe.outlier_values(safe, statistics.drop("run_id"), names))
+            recount = held("outlier_recount", describe.outlier_recount(safe, statistics.drop("run_id"), names))
+            checks["outliers"] = insights.outlier_result(statistics, recount, by)
+            return {"descriptive_statistics": statistics, "outlier_values": values}
+
+        def run_groups(cells: list[tuple]) -> dict[str, DataFrame]:
+            table = held("groups", groups.group_statistics(safe, _unique(cells, 0), _unique(cells, 1), rows=rows))
+
+            def compared() -> DataFrame:
+                return insights.group_result(groups.extremes(table, by), groups.anova(table, by), by)
+
+            # the comparison is one stage, its check is made again from the groups
+            checks["groups"] = compared()
+            return {"groups": table, "group_comparison": materialise(compared(), "group_comparison")}
+
+        def run_series(cells: list[tuple]) -> dict[str, DataFrame]:
+            trends, again = [], []
             for date in _unique(cells, 1):
-                points = series.series_points(
-                    safe, _unique(cells, 0), date, order_by, unique=unique)
-                parts.append(series.trend_metrics(points, date))
-            table = parts[0]
-            for part in parts[1:]:
-                table = table.unionByName(part)
-            results["time_series"] = keep("time_series", tagged(table))
-
-        def run_correlations() -> None:
-            results["correlation"] = keep("correlation", tagged(
-                correlation.correlations(safe, planned["correlation"])))
+                points = materialise(series.series_points(
+                    safe, _unique(cells, 0), date, order_by, unique=unique), "series-points")
+                trends.append(series.trend_metrics(points, date))
+                again.append(series.trend_metrics(points, date, raw_moments=True))
+            checks["trends"] = tagged(reduce(DataFrame.unionByName, again))
+            return {"time_series": held("time_series", reduce(DataFrame.unionByName, trends))}
+
+        def run_correlations(cells: list[tuple]) -> dict[str, DataFrame]:
+            checks["correlations"] = tagged(correlation.recomputed(safe, cells))
+            return {"correlation": held("correlation", correlation.correlations(safe, cells))}
 
         attempt("descriptive_statistics", ["measure"], run_describe)
         attempt("group_comparison", ["measure", "dimension"], run_groups)
         attempt("time_series", ["measure", "date"], run_series)
         attempt("correlation", ["first", "second"], run_correlations)
+        if "descriptive_statistics" in results:
+            results["outliers"] = insights.outlier_result(
+                results["descriptive_statistics"], describe.outlier_summary(results["outlier_values"], by), by)
 
         if not outcomes:
             finish("completed")
@@ -197,7 +239,9 @@ def analyse(
             finish(status)
             return Run(run_id, status, validation, protected, catalogue, plan, results, outcome)
         found = insights.discover(**given, plan=plan, by=by, plan_by=by)
-        checked = verify.verify(found, verify.actuals(**given, by=by), by)
+        # claims are compared with a second computation, not with the tables they were made from
+        again = {k: checks[k] for k, table in given.items() if table is not None}
+        checked = verify.verify(found, verify.actuals(**again, by=by), by)
         scored = ranking.with_score(ranking.with_confidence(checked))
         lineage = F.struct(
             F.lit(dataset_id).cast("string").alias("dataset_id"), F.lit(version_id).alias("version_id"),

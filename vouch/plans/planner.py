@@ -75,11 +75,3 @@ def build_plan(catalogue: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def plan_counts(plan: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Number of planned analyses per type."""
     return plan.groupBy(*by, "type").agg(F.count(F.lit(1)).alias("analyses"))
-
-
-def columns_by_role(catalogue: DataFrame) -> dict[str, list[str]]:
-    """Column names per role, in column order; collects one row per column of one table."""
-    out: dict[str, list[str]] = {}
-    for row in sorted(catalogue.select("ord", "column", "role").collect(), key=lambda r: r["ord"]):
-        out.setdefault(row["role"], []).append(row["column"])
-    return out

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 _local_folder: str | None = None
+_intermediates: list[tuple[str, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -42,9 +43,20 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/vouch/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _intermediates.append((spark.sparkContext.applicationId, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_intermediates(spark: SparkSession) -> int:
+    """Delete what ``materialise`` wrote in this application; tables read from it are of no use afterwards."""
+    own = [entry for entry in _intermediates if entry[0] == spark.sparkContext.applicationId]
+    for entry in own:
+        path = spark._jvm.org.apache.hadoop.fs.Path(entry[1])
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _intermediates.remove(entry)
+    return len(own)
+
+
 def spread_out(df: DataFrame, by: Sequence[str]) -> DataFrame:
     """Spread the rows of a small but costly step over all shuffle partitions.
 

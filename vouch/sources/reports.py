@@ -13,10 +13,11 @@ BOM = "﻿"
 def write_report(cells: DataFrame, path: str) -> None:
     """Write report cells as one CSV file per run with header and byte-order mark.
 
-    ``cells`` holds the top insights of one report, at most a handful of rows.
-    The mark belongs to the first header cell, so the header is written with it.
+    ``cells`` holds the top insights of one report, at most a handful of rows: they
+    are shuffled to one task, and the stages before keep theirs.  The mark belongs to
+    the first header cell, so the header is written with it.
     """
-    ordered = cells.select(*fixed.REPORT_COLUMNS).coalesce(1).sortWithinPartitions("rank")
+    ordered = cells.select(*fixed.REPORT_COLUMNS).repartition(1).sortWithinPartitions("rank")
     first, *rest = fixed.REPORT_COLUMNS
     marked = ordered.select(F.col(first).alias(BOM + first), *rest)
     marked.write.mode("overwrite").option("header", True).option("quote", '"').option(

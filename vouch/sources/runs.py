@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
+import json
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vouch.operators.ordering import positions
+from vouch.operators.ordering import DIRECT_ROWS, positions
 from vouch.operators.quantiles import null_safe
 
 STATUS_STAGE = "status"
 
 
-def version_numbers(versions: DataFrame) -> DataFrame:
+def version_numbers(versions: DataFrame, direct_rows: int = DIRECT_ROWS) -> DataFrame:
     """Number the versions of each dataset 1, 2, ... in creation order; ``version_id`` is unique.
 
     One dataset may hold most versions: positions are found without a task per dataset.
     """
     order = [F.col("created_at"), F.col("version_id")]
     others = {c: F.col(c) for c in versions.columns if c != "dataset_id"}
-    placed = positions(versions, order, others, {"all": (F.lit(True), None)}, ["dataset_id"], unique=True)
+    placed = positions(versions, order, others, {"all": (F.lit(True), None)}, ["dataset_id"], unique=True,
+        direct_rows=direct_rows)
     return placed.select(*versions.columns, (F.col("pos_all") + 1).alias("version_number"))
 
 
@@ -68,8 +72,30 @@ class RunStore:
         )
         self.write_stage(STATUS_STAGE, row)
 
+    def _schemas(self, stage: str) -> str:
+        return f"{self.path}/_schemas/{stage}"
+
+    def _stored_schema(self, stage: str) -> T.StructType | None:
+        """Fields of all schemas written for a stage, run_id as text; null without any."""
+        try:
+            kept = self.spark.read.schema("schema string").json(self._schemas(stage)).distinct().collect()
+        except AnalysisException:
+            return None
+        fields = {}
+        for row in kept:
+            fields |= {f.name: f for f in T.StructType.fromJson(json.loads(row["schema"])).fields}
+        return T.StructType([*fields.values()]) if fields else None
+
     def write_stage(self, stage: str, df: DataFrame) -> None:
-        """Append the rows of one stage; ``df`` carries ``run_id``."""
+        """Append the rows of one stage; ``df`` carries ``run_id``, which is kept as text.
+
+        The schema is stored beside the rows when it brings a new field, so that
+        reading needs no look at the files of every run.
+        """
+        df = df.withColumn("run_id", F.col("run_id").cast("string"))
+        known = self._stored_schema(stage)
+        if known is None or not {f.name for f in df.schema.fields} <= set(known.names):
+            self.spark.createDataFrame([(df.schema.json(),)], "schema string").coalesce(1).write.mode("append").json(self._schemas(stage))
         df.write.mode("append").partitionBy("run_id").parquet(self._table(stage))
 
     def read_stage(
@@ -77,13 +103,13 @@ class RunStore:
     ) -> DataFrame:
         """All runs of a stage, or one run read from its own partition.
 
-        A stage without any rows has no files; it is read with a given ``schema``.
+        The schema is the stored one or ``schema``; a run id such as 001 or 1e3 stays
+        the text that it is.
         """
-        reader = self.spark.read.option("mergeSchema", True)
-        if schema is not None:
-            reader = reader.schema(schema)
-        df = reader.parquet(self._table(stage))
-        df = df.withColumn("run_id", F.col("run_id").cast("string"))
+        schema = schema or self._stored_schema(stage)
+        if schema is None:
+            raise LookupError(f"No run has written the stage {stage}")
+        df = self.spark.read.schema(schema).parquet(self._table(stage))
         return df if run_id is None else df.filter(F.col("run_id") == run_id)
 
     def runs(self) -> DataFrame:

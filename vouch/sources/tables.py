@@ -25,24 +25,39 @@ def column(name: str) -> Column:
     return F.col(quoted(name))
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Read a CSV or Parquet table; anything else is refused."""
+def read_table(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, *, multi_line: bool = False
+) -> DataFrame:
+    """Read a CSV or Parquet table; anything else is refused.  ``multi_line`` as in ``read_csv``."""
     suffix = PurePosixPath(path.rstrip("/")).suffix.lower()
     if suffix == ".parquet":
         return normalise(spark.read.parquet(path))
     if suffix == ".csv":
-        return normalise(read_csv(spark, path, schema))
+        return normalise(read_csv(spark, path, schema, multi_line=multi_line))
     raise ValueError(f"Unsupported file type: {suffix}")
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def open_quotes(spark: SparkSession, path: str) -> bool:
+    """Whether a line of the text has an odd number of quotes, as a value with a line break does."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+
+
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, *, multi_line: bool = False
+) -> DataFrame:
     """Read a CSV with header.
 
+    ``multi_line`` allows line breaks inside quotes; a file is then read by one task.
+    Without it such a file is an error, never a table of split rows.
+
     Without a schema the types are inferred in one aggregate pass over the
     text: whole numbers, numbers, booleans, otherwise text.  Dates stay text,
     and the usual missing-value texts become null.
     """
-    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"')
+    if not multi_line and open_quotes(spark, path):
+        raise ValueError("A value holds a line break: read the file with multi_line=True")
+    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", multi_line)
     if schema is not None:
         return reader.schema(schema).csv(path)
     raw = reader.csv(path)

@@ -261,14 +261,25 @@ def run_status(spark: SparkSession, folder: str) -> DataFrame:
     return run_tables.run_status(outcome, ["l_linenumber"])
 
 
-@query("version_numbers", """
+_VERSION_SQL = """
 SELECT o_custkey AS dataset_id, o_orderkey AS version_id,
-       row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS version_number FROM orders""")
-def version_numbers(spark: SparkSession, folder: str) -> DataFrame:
-    log = table(spark, folder, "orders").select(
+       row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS version_number FROM orders"""
+
+
+def _version_log(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "orders").select(
         F.col("o_custkey").alias("dataset_id"), F.col("o_orderkey").alias("version_id"),
         F.col("o_orderdate").alias("created_at"))
-    return run_tables.version_numbers(log).drop("created_at")
+
+
+@query("version_numbers", _VERSION_SQL)
+def version_numbers(spark: SparkSession, folder: str) -> DataFrame:
+    return run_tables.version_numbers(_version_log(spark, folder)).drop("created_at")
+
+
+@query("version_numbers_large", _VERSION_SQL)
+def version_numbers_large(spark: SparkSession, folder: str) -> DataFrame:
+    return run_tables.version_numbers(_version_log(spark, folder), direct_rows=0).drop("created_at")
 
 
 @query("run_history", """

@@ -63,19 +63,31 @@ def _describe_sql(name: str, c: str) -> str:
         f"max({c}) AS max, stddev_samp({c}) AS std, {quartile_sql(c, 0.25)} AS q1, {quartile_sql(c, 0.75)} AS q3 FROM {name}")
 
 
-@query("desc_stats", f"""
+_DESC_SQL = f"""
 SELECT measure, count, {', '.join(r(c, d, c) for c, d in _DESC_DIGITS.items())}
 FROM (SELECT *, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lower_bound, q3 + 1.5 * (q3 - q1) AS upper_bound
-      FROM ({union_sql(_describe_sql(n, c) for n, c in _DESCRIBED)}))""")
-def desc_stats(spark: SparkSession, folder: str) -> DataFrame:
+      FROM ({union_sql(_describe_sql(n, c) for n, c in _DESCRIBED)}))"""
+
+
+def _described(spark: SparkSession, folder: str, **form: int) -> DataFrame:
     parts = [
-        describe.describe(table(spark, folder, "lineitem"), MEASURES),
-        describe.describe(table(spark, folder, "events"), ["value"]),
-        describe.describe(table(spark, folder, "documents"), ["n_chars"]),
+        describe.describe(table(spark, folder, "lineitem"), MEASURES, **form),
+        describe.describe(table(spark, folder, "events"), ["value"], **form),
+        describe.describe(table(spark, folder, "documents"), ["n_chars"], **form),
     ]
     return rounded(union(parts).drop("status"), _DESC_DIGITS)
 
 
+@query("desc_stats", _DESC_SQL)
+def desc_stats(spark: SparkSession, folder: str) -> DataFrame:
+    return _described(spark, folder)
+
+
+@query("desc_stats_large", _DESC_SQL)
+def desc_stats_large(spark: SparkSession, folder: str) -> DataFrame:
+    return _described(spark, folder, direct_cells=0)
+
+
 @query("quartiles_nearest", union_sql(
     f"SELECT l_returnflag, '{c}' AS measure, count({c}) AS n, {r(quartile_sql(c, 0.25), 4, 'q1')}, "
     f"{r(f'median({c})', 4, 'median')}, {r(quartile_sql(c, 0.75), 4, 'q3')} FROM gappy GROUP BY l_returnflag"
@@ -97,11 +109,11 @@ outliers AS (SELECT key, measure, value, count(*) AS n FROM values_ JOIN quartil
              WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1) GROUP BY key, measure, value)"""
 
 
-def _outliers(spark: SparkSession, folder: str) -> DataFrame:
+def _outliers(spark: SparkSession, folder: str, **form: int) -> DataFrame:
     parts = []
     for name, key, measure in (("events", "event_type", "value"), ("documents", "lang", "n_chars")):
         df = table(spark, folder, name).select(F.col(key).alias("key"), measure)
-        statistics = materialise(describe.describe(df, [measure], ["key"]), "fences")
+        statistics = materialise(describe.describe(df, [measure], ["key"], **form), "fences")
         parts.append(describe.outlier_values(df, statistics, [measure], ["key"]))
     return union(parts)
 
@@ -111,6 +123,11 @@ def outlier_rows(spark: SparkSession, folder: str) -> DataFrame:
     return _outliers(spark, folder)
 
 
+@query("outlier_rows_large", f"WITH {_FENCES_SQL} SELECT key, measure, value, n FROM outliers")
+def outlier_rows_large(spark: SparkSession, folder: str) -> DataFrame:
+    return _outliers(spark, folder, direct_cells=0)
+
+
 @query("outlier_summary", f"""WITH {_FENCES_SQL}
 SELECT key, measure, cast(sum(n) AS bigint) AS outlier_count FROM outliers GROUP BY key, measure""")
 def outlier_summary(spark: SparkSession, folder: str) -> DataFrame:
@@ -122,16 +139,25 @@ def outlier_summary(spark: SparkSession, folder: str) -> DataFrame:
 _GROUP_DIGITS = {"mean": 4, "median": 4, "min": 4, "max": 4}
 
 
-@query("group_stats", f"WITH {GAPPY_SQL} " + union_sql(
+_GROUP_SQL = f"WITH {GAPPY_SQL} " + union_sql(
     f"SELECT '{m}' AS measure, '{d}' AS dimension, {d} AS key, count({m}) AS count, {r(f'avg({m})', 4, 'mean')}, "
     f"{r(f'median({m})', 4, 'median')}, {r(f'min({m})', 4, 'min')}, {r(f'max({m})', 4, 'max')} FROM gappy GROUP BY {d}"
     for m in MEASURES for d in ("l_returnflag", "l_linestatus")
-))
+)
+
+
+@query("group_stats", _GROUP_SQL)
 def group_stats(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(groups.group_statistics(
         gappy(spark, folder), MEASURES, ["l_returnflag", "l_linestatus"]).drop("variance"), _GROUP_DIGITS)
 
 
+@query("group_stats_large", _GROUP_SQL)
+def group_stats_large(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(groups.group_statistics(
+        gappy(spark, folder), MEASURES, ["l_returnflag", "l_linestatus"], direct_cells=0).drop("variance"), _GROUP_DIGITS)
+
+
 def _anova_sql(view: str, measures: list[str], dimensions: list[str]) -> str:
     """CTEs: sizes per group, then F and its tail as ``tested``."""
     cells = union_sql(

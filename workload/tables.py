@@ -37,6 +37,7 @@ TABLES: dict[str, dict[str, str]] = {
         "props": "str",
     },
     "documents": {"doc_id": "int64", "text": "str", "lang": "str", "source": "str", "n_chars": "int64"},
+    "embeddings": {"vec_id": "int64", "embedding": "array<float>", "label": "int32"},
     "pages": {"page_id": "int64", "url": "str", "html": "str"},
     "benchmark": {"item_id": "int64", "text": "str"},
     "labels": {"doc_id": "int64", "quality": "int32", "toxic": "int32"},
@@ -48,12 +49,18 @@ LINE_ORDER = [
     "l_returnflag", "l_linestatus",
 ]
 
-_written: dict[tuple[str, str, str], DataFrame] = {}
+_written: dict[tuple, DataFrame] = {}
+
+
+def file_state(spark: SparkSession, folder: str) -> tuple:
+    """Number, size and newest change of the files in a folder."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    return tuple(files.agg(F.count(F.lit(1)), F.sum("length"), F.max("modificationTime").cast("string")).first())
 
 
 def shared(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A table several queries start from, written once per session and folder."""
-    key = (spark.sparkContext.applicationId, folder, name)
+    """A table several queries start from, written once per session and state of the folder."""
+    key = (spark.sparkContext.applicationId, folder, name, file_state(spark, folder))
     if key not in _written:
         _written[key] = materialise(build(), name)
     return _written[key]

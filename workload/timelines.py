@@ -57,9 +57,9 @@ def _orders(spark: SparkSession, folder: str) -> DataFrame:
     return series.trend_metrics(points, "o_orderdate", ["o_custkey"]).filter("status = 'completed'")
 
 
-def _events(spark: SparkSession, folder: str) -> DataFrame:
+def _events(spark: SparkSession, folder: str, **form: int) -> DataFrame:
     return series.series_points(
-        table(spark, folder, "events"), ["value"], "ts", ["event_id"], ["event_type"], unique=True)
+        table(spark, folder, "events"), ["value"], "ts", ["event_id"], ["event_type"], unique=True, **form)
 
 
 @query("ts_points", f"""
@@ -130,14 +130,25 @@ def ts_class(spark: SparkSession, folder: str) -> DataFrame:
     return _orders(spark, folder).select("o_custkey", "trend_direction", "trend_strength")
 
 
-@query("series_sample", f"""WITH {_EVENT_POINTS},
+_SAMPLE_SQL = f"""WITH {_EVENT_POINTS},
 wanted AS (
   SELECT event_type, i AS sample_index, n, CASE WHEN n <= 240 THEN i ELSE floor(i * (n - 1) / 239.0 + 0.5) END AS pos
   FROM range(240) t(i), (SELECT DISTINCT event_type, n FROM points) WHERE n > 240 OR i < n)
 SELECT event_type, cast(sample_index AS int) AS sample_index, p.pos, {label_sql('date')} AS date, value
-FROM points p JOIN wanted w USING (event_type) WHERE p.pos = w.pos""")
-def series_sample(spark: SparkSession, folder: str) -> DataFrame:
-    points = _events(spark, folder)
+FROM points p JOIN wanted w USING (event_type) WHERE p.pos = w.pos"""
+
+
+def _sampled(points: DataFrame) -> DataFrame:
     return series.sample_series(points).select(
         "event_type", "sample_index", "pos",
         series.date_label(F.col("date"), points.schema["date"].dataType).alias("date"), "value")
+
+
+@query("series_sample", _SAMPLE_SQL)
+def series_sample(spark: SparkSession, folder: str) -> DataFrame:
+    return _sampled(_events(spark, folder))
+
+
+@query("series_sample_large", _SAMPLE_SQL)
+def series_sample_large(spark: SparkSession, folder: str) -> DataFrame:
+    return _sampled(_events(spark, folder, direct_rows=0))
