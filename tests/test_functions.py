@@ -73,3 +73,16 @@ def test_text_rules(spark):
     assert report.select(text.plain_report_text(F.col("t"))).first()[0] == "Head\nbold and\n- item"
     log = spark.createDataFrame([("key s3cret; bearer abc.DEF-1 end",)], "t string")
     assert log.select(text.redact(F.col("t"), ["s3cret"])).first()[0] == "key [REDACTED]; Bearer [REDACTED] end"
+
+
+def test_json_cells_are_those_of_the_json_library(spark):
+    import json
+
+    from vouch.functions.text import json_sql
+
+    schema = "v struct<b: double, a: string, n: bigint, ok: boolean, parts: array<string>, d: double>"
+    numbers = [0.0, -0.0, 1.0, 0.1, 123456789.125, 1e7, 1e15, 1e16, 1.5e300, 1e-4, 9.9e-5, 1.7786420755e-09, -2.5, 0.988183685359, 2.5e-308]
+    values = [{"b": x, "a": 'quote " slash \\ tab\t é', "n": i, "ok": i % 2 == 0, "parts": ["x", "ü\n"], "d": None} for i, x in enumerate(numbers)]
+    df = spark.createDataFrame([(v,) for v in values], schema)
+    got = [r[0] for r in df.select(F.expr(json_sql("v", df.schema["v"].dataType))).collect()]
+    assert got == [json.dumps({k: x for k, x in v.items() if x is not None}, ensure_ascii=False, sort_keys=True) for v in values]

@@ -184,3 +184,15 @@ def test_run_comparison(scored):
     assert {(r["change"], r["key"].split("::")[0]) for r in got} == {("removed", "outlier"), ("changed", "correlation")}
     assert [round(r["score_delta"], 6) for r in got if r["change"] == "changed"] == [0.01]
     assert {r["change"] for r in report.compare_runs(later, best).collect()} == {"added", "changed"}
+
+
+def test_group_sizes_may_be_stated(spark, people):
+    """Sizes of 20 and 12: both may be named, another number may not."""
+    from vouch.plans.pipeline import analyse
+
+    rows = [("North", 100.0 + i % 5) for i in range(20)] + [("South", 300.0 + i % 5) for i in range(12)]
+    df = spark.createDataFrame(rows, "Region string, Revenue double")
+    for text, status in (("North has 20 rows and South 12.", "llm"), ("North has 21 rows.", "deterministic")):
+        texts = spark.createDataFrame([("r", "group_difference", ["Revenue", "Region"], text)] * 2, "run_id string, insight_type string, source_columns array<string>, text string")
+        ranked = analyse(df, run_id="r", candidates=texts).ranked.filter("insight_type = 'group_difference'").collect()
+        assert len(ranked) == 1 and ranked[0]["explanation"]["source"] == status

@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vouch.functions import fixed
 
@@ -26,6 +27,36 @@ def spreadsheet_safe(text: Column) -> Column:
     return F.coalesce(guarded, F.lit(""))
 
 
+def _double_json_sql(value: str) -> str:
+    """SQL text of a double with the fewest digits that give it back; an exponent below 1e-4 and from 1e16 on."""
+    text = f"cast({value} as string)"
+    plain = f"regexp_replace(regexp_replace(cast(cast({text} as decimal(38,21)) as string), '0+$', ''), '[.]$', '.0')"
+    power = f"cast(regexp_extract({text}, 'E(-?[0-9]+)$', 1) as int)"
+    scaled = (f"concat(regexp_replace(regexp_extract({text}, '^(-?[0-9.]+)E', 1), '[.]0$', ''), 'e', "
+              f"if({power} < 0, '-', '+'), lpad(cast(abs({power}) as string), greatest(2, length(cast(abs({power}) as string))), '0'))")
+    return (f"case when isnan({value}) or abs({value}) = double('Infinity') then {text} "
+            f"when {value} = 0 then {text} when abs({value}) >= 1e-4D and abs({value}) < 1e16D then {plain} else {scaled} end")
+
+
+def json_sql(value: str, kind: T.DataType) -> str:
+    """SQL text of a value as JSON: keys sorted, ``, `` and ``: `` between parts, letters as they are.
+
+    Fields of a record that are null are left out: they belong to other kinds of record.
+    """
+    if isinstance(kind, T.StructType):
+        cells = [f"case when {value}.{f.name} is not null then concat('\"{f.name}\": ', {json_sql(f'{value}.{f.name}', f.dataType)}) end"
+                 for f in sorted(kind.fields, key=lambda f: f.name)]
+        return f"if({value} is null, null, concat('{{', concat_ws(', ', {', '.join(cells)}), '}}'))"
+    if isinstance(kind, T.ArrayType):
+        return f"concat('[', array_join(transform({value}, _x -> {json_sql('_x', kind.elementType)}), ', ', 'null'), ']')"
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return _double_json_sql(value)
+    if isinstance(kind, T.StringType):
+        made = f"to_json(named_struct('v', {value}))"
+        return f"substring({made}, 6, length({made}) - 6)"
+    return f"cast({value} as string)"
+
+
 def plain_report_text(text: Column) -> Column:
     """Strip headings, bold marks and rules; normalise bullets to ``- ``."""
     out = F.regexp_replace(text, r"(?m)^#{1,6}\s*", "")

@@ -100,33 +100,36 @@ def guard(
     text: Column,
     by: Sequence[str] = (),
     outlier_values: DataFrame | None = None,
+    group_sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Add explanation, status, valid, reason and unsupported_numbers for a proposed ``text``.
 
-    ``outlier_values`` (by..., measure, value) adds the listed outliers to the
-    numbers an outlier explanation may state.
+    ``outlier_values`` (by..., measure, value) and ``group_sizes`` (by..., measure,
+    dimension, count) add the listed outliers and the sizes of all groups to the
+    numbers that an explanation of such an insight may state.
     """
     checked = boundary.withColumn("_text", text).withColumn("_allowed", allowed_numbers(boundary))
     checked = checked.withColumn("unsupported_numbers", F.coalesce(
         unsupported("_text", "_allowed"), F.array().cast("array<double>")))
+    details = []
     if outlier_values is not None:
-        keys = [*by, "measure"]
-        open_numbers = (
-            checked.filter((F.col("insight_type") == "outlier") & (F.size("unsupported_numbers") > 0))
-            .select(*by, F.col("source_columns")[0].alias("measure"), F.explode("unsupported_numbers").alias("value"))
-            .distinct()
-        )
-        known = null_safe(open_numbers, outlier_values.select(
-            *keys, canonical("value").alias("value")).distinct(), [*keys, "value"])
+        details.append(outlier_values.select(
+            *by, F.lit("outlier").alias("insight_type"), F.array("measure").alias("source_columns"),
+            canonical("value").alias("value")))
+    if group_sizes is not None:
+        details.append(group_sizes.select(
+            *by, F.lit("group_difference").alias("insight_type"), F.array("measure", "dimension").alias("source_columns"),
+            F.col("count").cast("double").alias("value")))
+    for detail in details:
+        keys = [*by, *KEY]
+        open_numbers = checked.filter(F.size("unsupported_numbers") > 0).select(
+            *keys, F.explode("unsupported_numbers").alias("value")).distinct()
+        known = null_safe(open_numbers, detail.distinct(), [*keys, "value"])
         known = known.groupBy(*keys).agg(F.collect_set("value").alias("_known"))  # numbers of one text
-        with_known = null_safe(
-            checked.withColumn("measure", F.when(
-                F.col("insight_type") == "outlier", F.get("source_columns", F.lit(0)))),
-            known, keys, "left")
-        checked = with_known.withColumn("unsupported_numbers", F.filter(
+        checked = null_safe(checked, known, keys, "left").withColumn("unsupported_numbers", F.filter(
             "unsupported_numbers",
             lambda x: ~F.array_contains(F.coalesce("_known", F.array().cast("array<double>")), x),
-        )).drop("_known", "measure")
+        )).drop("_known")
     blank = F.coalesce(F.trim("_text"), F.lit("")) == ""
     approved = ~blank & (F.size("unsupported_numbers") == 0)
     return checked.select(
@@ -146,7 +149,8 @@ def explain_local(insights: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def check_candidates(
-    insights: DataFrame, candidates: DataFrame, by: Sequence[str] = (), outlier_values: DataFrame | None = None
+    insights: DataFrame, candidates: DataFrame, by: Sequence[str] = (), outlier_values: DataFrame | None = None,
+    group_sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Verdict on a supplied text for each insight: (by..., key, status, reason, explanation, unsupported_numbers).
 
@@ -158,7 +162,7 @@ def check_candidates(
     keys = [*by, *KEY]
     offered = candidates.groupBy(*keys).agg(F.min("text").alias("text"), F.lit(True).alias("_offered"))
     joined = null_safe(boundary, offered, keys, "left")
-    judged = guard(joined, F.col("text"), by, outlier_values).select(
+    judged = guard(joined, F.col("text"), by, outlier_values, group_sizes).select(
         *keys,
         F.when(F.col("_offered").isNull(), F.lit("unavailable")).otherwise(F.col("status")).alias("status"),
         F.when(F.col("_offered").isNull(), F.lit("llm_unavailable")).otherwise(F.col("reason")).alias("reason"),
@@ -178,6 +182,7 @@ def explain_ranked(
     limit: int = fixed.EXPLAIN_LIMIT,
     by: Sequence[str] = (),
     outlier_values: DataFrame | None = None,
+    group_sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``explanation`` to ranked insights: text, status, source and unsupported numbers.
 
@@ -194,7 +199,7 @@ def explain_ranked(
         use = F.lit(False)
         joined = joined.withColumn("_offered_text", F.lit(None).cast("string"))
     else:
-        judged = check_candidates(ranked.filter(F.col("rank") <= limit), candidates, by, outlier_values)
+        judged = check_candidates(ranked.filter(F.col("rank") <= limit), candidates, by, outlier_values, group_sizes)
         judged = judged.filter(F.col("status") == "approved").select(
             *keys, F.col("explanation").alias("_offered_text"))
         joined = null_safe(joined, judged, keys, "left")

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from vouch.functions import fixed
 from vouch.functions.numbers import number_text_sql
-from vouch.functions.text import spreadsheet_safe
+from vouch.functions.text import json_sql, spreadsheet_safe
 from vouch.operators.insights import EVIDENCE
 from vouch.operators.quantiles import null_safe
 
@@ -72,12 +72,12 @@ def empty_ranked(spark: SparkSession) -> DataFrame:
 
 
 def report_cells(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Report rows as spreadsheet-safe text; numbers stay numbers."""
+    """Report rows as spreadsheet-safe text; numbers stay numbers, records and lists become JSON."""
     out = []
     for name in fixed.REPORT_COLUMNS:
         kind = rows.schema[name].dataType
         if isinstance(kind, (T.StructType, T.ArrayType)):
-            out.append(spreadsheet_safe(F.to_json(name)).alias(name))
+            out.append(spreadsheet_safe(F.expr(json_sql(name, kind))).alias(name))
         elif isinstance(kind, T.StringType):
             out.append(spreadsheet_safe(F.col(name)).alias(name))
         else:

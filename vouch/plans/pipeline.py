@@ -249,7 +249,7 @@ def analyse(
         scored = keep("insights", scored.withColumn("lineage", lineage))
         best = ranking.select_top(scored, by, top)
         explained = explain.explain_ranked(
-            best, candidates, explain_limit, by, results.get("outlier_values"))
+            best, candidates, explain_limit, by, results.get("outlier_values"), results.get("groups"))
         ranked = keep("ranked", explain.recommend(explained))
         finish(status)
         return Run(run_id, status, validation, protected, catalogue, plan, results, outcome, scored, ranked)
