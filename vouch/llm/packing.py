@@ -20,8 +20,8 @@ from vouch.llm.common import documents, id_text, map_batches, materialise
 from workload.registry import query
 
 SEQUENCE = 2048
-# Pieces ranked in one task; the number of buckets grows with the input.
-BUCKET_ROWS = 20_000
+# Pieces of one length are ranked in buckets of about so many rows, however many they are.
+BUCKET_ROWS = 2_000
 
 
 def pieces(docs: DataFrame, capacity: int = SEQUENCE, vocabulary: str = VOCABULARY, end_id: int = 0) -> DataFrame:
@@ -182,9 +182,9 @@ def place(made: DataFrame, capacity: int = SEQUENCE, rounds: int = 60) -> DataFr
     for row in made.groupBy("length").count().collect():
         demand[row["length"]] = row["count"]
     where = slots(best_packing(demand, rounds))
-    buckets = max(1, int(demand.sum()) // BUCKET_ROWS)
     # ranks within a length: counts by bucket, then row numbers inside a bucket
-    dealt = made.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+    buckets = F.array(*[F.lit(1 + n // BUCKET_ROWS) for n in demand.tolist()])
+    dealt = made.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.element_at(buckets, F.col("length").cast("int") + 1)))
     counts = dealt.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first_rank"))
