@@ -24,7 +24,7 @@ from workload.registry import query
 WINDOW = 50
 ANCHOR = 6
 # Words indexed in one task, and segments of one anchor beyond which it is split by window.
-SHARD_WORDS = 600_000
+SHARD_WORDS = 200_000
 HOT_SEGMENTS = 2_000
 NO_ID = (1 << 63) - 1
 
