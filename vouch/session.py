@@ -34,6 +34,13 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folder
 
 
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A new folder for intermediates in the shared folder; ``release_intermediates`` deletes it."""
+    path = f"{shared_folder(spark)}/vouch/{label}-{uuid.uuid4().hex}"
+    _intermediates.append((spark.sparkContext.applicationId, path))
+    return path
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -41,14 +48,13 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     once and does not have to be recomputed when an executor is lost.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/vouch/{label}-{uuid.uuid4().hex}"
+    path = new_folder(spark, label)
     df.write.parquet(path)
-    _intermediates.append((spark.sparkContext.applicationId, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release_intermediates(spark: SparkSession) -> int:
-    """Delete what ``materialise`` wrote in this application; tables read from it are of no use afterwards."""
+    """Delete the intermediates of this application; tables read from them are of no use afterwards."""
     own = [entry for entry in _intermediates if entry[0] == spark.sparkContext.applicationId]
     for entry in own:
         path = spark._jvm.org.apache.hadoop.fs.Path(entry[1])
