@@ -28,6 +28,8 @@ VOCABULARY = "word_bpe_49k.json"
 LONG, LEAF = 256, 128
 # Distinct pieces kept per task, an upper bound on memory and no limit on the text.
 KEPT = 600_000
+# Bytes of text split into words at a time.
+SLICE = 2 << 20
 
 # Below U+0250 the letters, numbers and case pairs are the same in every Unicode version
 # and no combining mark occurs, so pre-tokens can be found without the library.  U+0130
@@ -54,9 +56,9 @@ class Encoder:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        self.path, self._whole = path, None
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        self.whole = Tokenizer.from_str(json.dumps(spec | {"truncation": None, "padding": None}))
         bare = {"normalizer": None, "pre_tokenizer": {"type": "CharDelimiterSplit", "delimiter": " "}, "added_tokens": [], "truncation": None, "padding": None}
         self.bare = Tokenizer.from_str(json.dumps(spec | bare))
         self.vocab = spec["model"]["vocab"]
@@ -66,7 +68,7 @@ class Encoder:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.symbols = byte_symbols()
-        tokens = self.whole.get_vocab()
+        tokens = self.vocab | self.special
         self.names = [""] * (max(tokens.values()) + 1)
         for token, i in tokens.items():
             self.names[i] = token
@@ -74,6 +76,17 @@ class Encoder:
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
+    @property
+    def whole(self):
+        """The library's own encoder; most texts need no more of it than ``bare``."""
+        if self._whole is None:
+            from tokenizers import Tokenizer
+
+            self._whole = Tokenizer.from_file(self.path)
+            self._whole.no_truncation()
+            self._whole.no_padding()
+        return self._whole
+
     def split(self, text: str) -> list[str]:
         return [w for w in WHITE.split(text) if w] if SEPARATORS.search(text) else text.split()
 
@@ -212,7 +225,7 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame
             ["doc_id", "ids", "decoded"])
 
     kept: list[Encoder] = []  # one for each task
-    return map_batches(id_text(docs), work, "doc_id long, ids binary, decoded string")
+    return map_batches(id_text(docs), work, "doc_id long, ids binary, decoded string", SLICE)
 
 
 def encoded_digests(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -228,7 +241,7 @@ def encoded_digests(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         ], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kept: list[Encoder] = []
-    return map_batches(id_text(docs), work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_batches(id_text(docs), work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", SLICE)
 
 
 @query("op3_bpe")

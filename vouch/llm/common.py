@@ -52,10 +52,8 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | None], schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` over slices of about ``BATCH_BYTES``: a batch of long texts is worked off in parts."""
-    limit = BATCH_BYTES
-
+def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | None], schema: str | StructType, limit: int = BATCH_BYTES) -> DataFrame:
+    """``mapInArrow`` over slices of about ``limit`` bytes: a batch of long texts is worked off in parts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             step = max(1, batch.num_rows * limit // max(batch.nbytes, 1))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vouch.llm.bpe import VOCABULARY, Encoder, vocabulary_path
+from vouch.llm.bpe import SLICE, VOCABULARY, Encoder, vocabulary_path
 from vouch.llm.common import documents, id_text, map_batches, materialise
 from workload.registry import query
 
@@ -49,7 +49,7 @@ def _pieces(docs: DataFrame, capacity: int, vocabulary: str, end_id: int, with_i
 
     kept: list[Encoder] = []
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
-    return map_batches(id_text(docs), work, schema)
+    return map_batches(id_text(docs), work, schema, SLICE)
 
 
 def price(values: np.ndarray, capacity: int) -> np.ndarray:
