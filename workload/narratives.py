@@ -200,6 +200,24 @@ def evidence_long(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("insight_type", "field").agg(F.count("value").alias("n"))
 
 
+_MAIN_FIELD = {
+    "correlation": "correlation", "outlier": "outlier_count", "group_difference": "percentage_difference",
+    "time_series_trend": "percentage_change",
+}
+
+
+@query("evidence_values", f"""{RUNS_SQL}
+SELECT run_id, rank, CASE insight_type {' '.join(f"WHEN '{k}' THEN '{f}'" for k, f in _MAIN_FIELD.items())} END AS field,
+       {r("CASE WHEN insight_type = 'outlier' THEN claimed_count ELSE claimed END", 6, 'value')} FROM top_all
+WHERE CASE WHEN insight_type = 'outlier' THEN claimed_count ELSE claimed END IS NOT NULL""")
+def evidence_values(spark: SparkSession, folder: str) -> DataFrame:
+    """The number each insight stands on, as its evidence row gives it."""
+    rows = report.evidence_rows(top(spark, folder), [*BY, "insight_type"])
+    main = F.create_map(*[F.lit(x) for pair in _MAIN_FIELD.items() for x in pair])
+    found = rows.filter(F.col("field") == main[F.col("insight_type")])
+    return rounded(found.select("run_id", "rank", "field", F.col("value").cast("double").alias("value")), {"value": 6})
+
+
 @query("exec_metric", f"""{RUNS_SQL}
 SELECT run_id, insight_type, columns,
   CASE WHEN insight_type = 'outlier' THEN 'Outliers' WHEN claimed IS NULL THEN 'Priority score'

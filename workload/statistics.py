@@ -7,7 +7,9 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vouch.functions import fixed
 from vouch.functions.numbers import close_sql
+from vouch.functions.special import with_f_tail
 from vouch.operators import correlation, describe, groups, ordering, quantiles
 from vouch.session import materialise
 from workload.registry import query, r, rounded, table, union, union_sql
@@ -282,3 +284,41 @@ def tolerance_check(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "lineitem").groupBy("l_linenumber").agg(
         F.count(F.lit(1)).alias("claims"),
         F.count(F.when(F.expr(close_sql("l_extendedprice", f"({claimed})")), 1)).alias("matching"))
+
+
+# Pairs of every outcome: a constant, a single value, no value at all, and a sound pair.
+_ODD_PAIRS = [("fixed", "o_totalprice"), ("single", "o_totalprice"), ("nothing", "o_totalprice"), ("o_custkey", "o_totalprice")]
+_ODD_COLUMNS = {
+    "fixed": "cast(1 as double)", "single": "case when o_orderkey = (SELECT min(o_orderkey) FROM orders) then 2.0 end",
+    "nothing": "cast(null as double)",
+}
+
+
+@query("corr_statuses", f"""
+WITH odd AS (SELECT *, {', '.join(f'{e} AS "{c}"' for c, e in _ODD_COLUMNS.items())} FROM orders),
+pairs AS ({union_sql(
+    f"SELECT '{a}' AS first, '{b}' AS second, count(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL) AS n, "
+    f"coalesce(min({a}) < max({a}), false) AS varies, corr({b}, {a}) AS c FROM odd" for a, b in _ODD_PAIRS)})
+SELECT first, second, n AS sample_size,
+       CASE WHEN n < 2 THEN 'insufficient_data' WHEN NOT varies THEN 'insufficient_variation' ELSE 'completed' END AS status,
+       CASE WHEN n < 2 THEN '{fixed.REASONS['few_pairs']}' WHEN NOT varies THEN '{fixed.REASONS['no_variation']}' END AS reason,
+       {r('CASE WHEN n >= 2 AND varies THEN c END', 8, 'correlation')} FROM pairs""")
+def corr_statuses(spark: SparkSession, folder: str) -> DataFrame:
+    orders = table(spark, folder, "orders")
+    lowest = orders.agg(F.min("o_orderkey")).first()[0]
+    odd = orders.withColumns({
+        "fixed": F.lit(1.0), "single": F.when(F.col("o_orderkey") == lowest, F.lit(2.0)), "nothing": F.lit(None).cast("double")})
+    return rounded(correlation.correlations(odd, _ODD_PAIRS).select(
+        "first", "second", "sample_size", "status", "reason", "correlation"), {"correlation": 8})
+
+
+@query("p_value_tails", f"""
+SELECT l_orderkey, l_linenumber, {r('(1 + l_suppkey % 40) / 2.0 * log10(1 + 2 * l_quantity / (1 + l_suppkey % 40))', 6, 'minus_log_p')}
+FROM lineitem""")
+def p_value_tails(spark: SparkSession, folder: str) -> DataFrame:
+    """Tails of F with two degrees above, for which there is a closed form; on a log scale, so that small ones count."""
+    cases = table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.col("l_quantity").alias("f"), F.lit(2.0).alias("d1"),
+        (1 + F.col("l_suppkey") % 40).cast("double").alias("d2"))
+    tails = with_f_tail(cases, "p", "f", "d1", "d2")
+    return rounded(tails.select("l_orderkey", "l_linenumber", (-F.log10("p")).alias("minus_log_p")), {"minus_log_p": 6})
