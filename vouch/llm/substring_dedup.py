@@ -276,9 +276,9 @@ def covered_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     shared = held.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("anchor")
     shared = materialise(shared, "shared-anchors")
     sets = held.join(shared, "anchor").groupBy("id", "text_hash").agg(F.collect_set("anchor").alias("shared"))
-    segments = materialise(cut_segments(rows.join(sets, ["id", "text_hash"]), window, anchor), "segments")
+    segments = materialise(cut_segments(rows.join(sets, ["id", "text_hash"]), window, anchor), "segments", "zstd")
     made = segments.select(F.col("anchor").alias("route"), "segment", F.col("id").alias("low_id"), F.col("id").alias("high_id"))
-    units = materialise(fold(made).withColumn("n_words", F.size(F.split("segment", " "))), "segment-units")
+    units = materialise(fold(made).withColumn("n_words", F.size(F.split("segment", " "))), "segment-units", "zstd")
     counts = units.groupBy("route").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("n_words"))
     hot = materialise(counts.filter(F.col("n") > hot_segments).select("route"), "hot-anchors")
     total = units.agg(F.sum("n_words")).first()[0] or 0
