@@ -402,6 +402,18 @@ def test_viterbi_matches_plain_programming():
             assert abs(worth - best.max()) < 1e-6
 
 
+@pytest.mark.parametrize("n", [200, 300])
+def test_viterbi_with_many_languages(n):
+    """Long stretches of single languages, also those numbered above 127 and 255."""
+    rng = np.random.default_rng(n)
+    true = [np.repeat(rng.permutation(n)[:5], 12), np.repeat([n - 1, 0, n - 2], 20), np.repeat([n - 1], 7)]
+    sizes = np.array(list(map(len, true)))
+    want = np.concatenate(true)
+    scores = rng.normal(-9, 1, (len(want), n))
+    scores[np.arange(len(want)), want] = 0.0
+    assert (language.viterbi(scores, np.cumsum(sizes) - sizes, sizes, 25.0) == want).all()
+
+
 def test_languages_of_mixed_texts(spark):
     rnd = random.Random(8)
     words = {"en": ["the", "with", "thing", "other", "which"], "de": ["der", "nicht", "über", "schön", "zeit"], "ru": ["это", "что", "как", "где"]}

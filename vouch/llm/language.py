@@ -154,10 +154,11 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, switch:
     order = np.argsort(-lengths, kind="stable")
     starts, lengths = starts[order], lengths[order]
     path = np.zeros(len(scores), np.int64)
-    came = np.zeros(scores.shape, np.int8)
+    kind = np.min_scalar_type(scores.shape[1])  # wide enough for every language number
+    came = np.zeros(scores.shape, kind)
     active = np.searchsorted(-lengths, -np.arange(lengths[0] if len(lengths) else 0), side="left")
     value = scores[starts[: active[0]]].copy() if len(active) else scores[:0]
-    own = np.arange(scores.shape[1], dtype=np.int8)
+    own = np.arange(scores.shape[1], dtype=kind)
     for t in range(1, len(active)):
         m = active[t]
         now = value[:m]
