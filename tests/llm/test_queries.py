@@ -13,7 +13,7 @@ import xxhash
 
 import corpus_pipeline
 from __spark_entry__ import oracle_sql, queries
-from vouch.llm import bpe, language, pii
+from vouch.llm import bpe, language, pii, quality
 from vouch.llm.common import documents
 
 FOLDER = "/root/testdata/sf0.001"
@@ -86,3 +86,17 @@ def test_stages_keep_the_columns_of_documents(spark):
         assert made.columns == docs.columns and made.dtypes == docs.dtypes, name
     clean = corpus_pipeline.redact_personal_data(spark, docs, FOLDER)
     assert not any(pii.base_spans(r["text"]) for r in clean.collect())
+
+
+def test_bands_reject_labelled_junk_and_keep_clean_documents(spark):
+    """Words with marks after them are too easy to predict, tables of rare words too hard."""
+    folder = FOLDER.replace("sf0.001", "sf0.01")
+    docs = documents(spark, folder)
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    marked = {r["doc_id"] for r in docs.collect() if len(re.findall(r"[#*$%&]{3}(?= |$)", r["text"] or "")) > 20}
+    judged = [r for r in quality.quality(docs).collect() if not r["base_failed"] and r["doc_id"] in labels]
+    junk, clean = ([r for r in judged if labels[r["doc_id"]] == k] for k in (0, 1))
+    assert len(junk) > 20 and len(clean) > 300
+    assert len([r for r in junk if r["doc_id"] in marked]) > 10 and sum(r["kept"] for r in junk if r["doc_id"] in marked) <= 1
+    assert sum(not r["kept"] for r in junk) >= 0.75 * len(junk)
+    assert all(r["kept"] for r in clean)
