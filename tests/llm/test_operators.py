@@ -448,6 +448,26 @@ def test_network_beats_single_words(spark):
     assert scores.mean() > np.log(share[words]).mean() + 0.1
 
 
+def test_every_place_is_masked_once_over_the_rounds():
+    rng = np.random.default_rng(1)
+    words, counts = rng.integers(0, 4096, 5000), np.array([0, 1, 999, 4000])
+    every = pseudo_likelihood.MASK_EVERY
+    assert pseudo_likelihood.ROUNDS % every == 0
+    places = [pseudo_likelihood.masked_places(words, counts, k, every) for k in range(every)]
+    assert sorted(np.concatenate(places).tolist()) == list(range(5000)) and min(map(len, places)) > 2000
+
+
+def test_registered_parameters_beat_single_words(spark):
+    rnd = random.Random(6)
+    def text():
+        return " ".join(w for k in (rnd.randrange(6) for _ in range(400)) for w in (f"open{k}", f"mid{k}{rnd.randrange(3)}", f"close{k}"))
+    flat = pseudo_likelihood.train(table(spark, [(i, text(), None) for i in range(1200)]))
+    words, counts = pseudo_likelihood.word_buckets([text().encode() for _ in range(4)])
+    scores = pseudo_likelihood.forward(pseudo_likelihood.unpacked(flat), pseudo_likelihood.contexts(words, counts), words)[3]
+    share = np.bincount(words) / len(words)
+    assert scores.mean() > np.log(share[words]).mean() + 0.1
+
+
 def test_scores_are_sums_of_log_probabilities(docs, rows):
     flat = pseudo_likelihood.initial()
     for r in pseudo_likelihood.score(docs, flat).collect():

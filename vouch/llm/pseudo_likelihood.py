@@ -18,8 +18,8 @@ DIGIT, DIGITS = 16, 3
 BUCKETS = DIGIT ** DIGITS
 OFFSETS = (-2, -1, 1, 2)
 WIDTH = 16
-# One word in MASK_EVERY is masked and trained on; every word is scored.
-MASK_EVERY = 16
+# A round trains on one word in MASK_EVERY; ROUNDS rounds train on every word once.
+MASK_EVERY = 2
 BATCH = 4096
 ROUNDS = 2
 RATE = 0.1
@@ -103,32 +103,48 @@ def forward(p: dict[str, np.ndarray], around: np.ndarray, words: np.ndarray) ->
     return hidden, logits, digits, (chosen - np.log(total[:, :, 0])).sum(axis=1)
 
 
+def summed(index: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct indices and the sum of the rows of each."""
+    order = np.argsort(index, kind="stable")
+    first = np.flatnonzero(np.diff(index[order], prepend=-1))
+    return index[order][first], np.add.reduceat(values[order], first, axis=0)
+
+
+def masked_places(words: np.ndarray, counts: np.ndarray, number: int, mask_every: int) -> np.ndarray:
+    """The words that round ``number`` trains on, by a hash of word and place in its text: each once in ``mask_every`` rounds."""
+    place = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return np.flatnonzero(((place * 2654435761 + words * 40503) >> 7) % mask_every == number % mask_every)
+
+
 def step(flat: np.ndarray, squares: np.ndarray, around: np.ndarray, words: np.ndarray, rate: float) -> float:
     """One step of Adagrad on a batch of masked words; the mean log-probability before it."""
-    p, grad = unpacked(flat), np.zeros(SIZE, np.float32)
-    g = unpacked(grad)
+    p, s = unpacked(flat), unpacked(squares)
+    g = {name: np.zeros(shape, np.float32) for name, shape in SHAPES.items() if name != "embed"}
     hidden, error, digits, score = forward(p, around, words)
     np.put_along_axis(error, digits[:, :, None], np.take_along_axis(error, digits[:, :, None], axis=2) - 1, axis=2)
     error /= len(words)
     flat_error = error.reshape(len(words), -1)
     g["out"][:] = hidden.T @ flat_error
     g["first"][0] = error[:, 0].sum(axis=0)
-    np.add.at(g["second"], digits[:, 0], error[:, 1])
-    np.add.at(g["third"], words >> 4, error[:, 2])
+    for name, index, k in (("second", digits[:, 0], 1), ("third", words >> 4, 2)):
+        at, total = summed(index, error[:, k])
+        g[name][at] = total
     back = (flat_error @ p["out"].T) * (1 - hidden ** 2)
     g["bias"][:] = back.sum(axis=0)
-    for j in range(len(OFFSETS)):
-        np.add.at(g["embed"][j], around[:, j], back)
-    squares += grad ** 2
-    flat -= rate * grad / (np.sqrt(squares) + 1e-6)
+    for name, grad in g.items():
+        s[name] += grad ** 2
+        p[name] -= rate * grad / (np.sqrt(s[name]) + 1e-6)
+    for j in range(len(OFFSETS)):  # only the rows of words nearby change
+        at, grad = summed(around[:, j], back)
+        s["embed"][j][at] += grad ** 2
+        p["embed"][j][at] -= rate * grad / (np.sqrt(s["embed"][j][at]) + 1e-6)
     return float(score.mean())
 
 
 def train_round(docs: DataFrame, flat: np.ndarray, number: int, mask_every: int = MASK_EVERY, rate: float = RATE) -> np.ndarray:
     """Each task trains on the masked words of its own rows; the parameters are averaged, weighted by words.
 
-    Every word of every text may be masked, by a hash of its place and neighbourhood that
-    changes with the round.  Averages are formed in two levels, so that no group grows
+    Every word of every text is trained on once in ``mask_every`` rounds.  Averages are formed in two levels, so that no group grows
     beyond a share of the tasks.
     """
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,8 +157,7 @@ def train_round(docs: DataFrame, flat: np.ndarray, number: int, mask_every: int
             for at in range(0, batch.num_rows, size):
                 words, counts = word_buckets(batch.column("text").slice(at, size).cast(pa.binary()).to_pylist())
                 around = contexts(words, counts)
-                mix = (np.arange(len(words)) * 2654435761 + words * 40503 + number * 97) >> 7
-                masked = np.flatnonzero(mix % mask_every == 0)
+                masked = masked_places(words, counts, number, mask_every)
                 near, target = around[masked], words[masked]
                 if rest is not None:
                     near, target = np.concatenate((rest[0], near)), np.concatenate((rest[1], target))
