@@ -455,6 +455,8 @@ def test_every_place_is_masked_once_over_the_rounds():
     assert pseudo_likelihood.ROUNDS % every == 0
     places = [pseudo_likelihood.masked_places(words, counts, k, every) for k in range(every)]
     assert sorted(np.concatenate(places).tolist()) == list(range(5000)) and min(map(len, places)) > 2000
+    for chosen in places:
+        assert (pseudo_likelihood.contexts(words, counts, chosen) == pseudo_likelihood.contexts(words, counts)[chosen]).all()
 
 
 def test_registered_parameters_beat_single_words(spark):
@@ -484,6 +486,36 @@ def test_scores_are_sums_of_log_probabilities(docs, rows):
     assert abs(pseudo_likelihood.forward(p, around, words)[3][0] - want) < 1e-5
 
 
+@pytest.mark.parametrize("frequent", [0, 8, 1 << 16])
+def test_words_share_their_bucket_by_count(docs, rows, frequent):
+    flat = pseudo_likelihood.initial()
+    counted: dict = {}
+    for _, t, _ in rows:
+        for h in pseudo_likelihood.word_hashes([(t or "").encode()])[0].tolist():
+            counted[h] = counted.get(h, 0) + 1
+    known = pseudo_likelihood.vocabulary(docs, frequent)
+    assert {r["word"] % (1 << 64): r["n"] for r in known.counts.collect()} == counted
+    assert len(known.words) <= frequent and (len(known.words) == len(counted)) == (frequent >= len(counted))
+    want = []
+    for i, t, _ in rows:
+        hashes, counts = pseudo_likelihood.word_hashes([(t or "").encode()])
+        words = pseudo_likelihood.bucket_of(hashes)
+        net = pseudo_likelihood.forward(pseudo_likelihood.unpacked(flat), pseudo_likelihood.contexts(words, counts), words)[3] if len(words) else []
+        share = [np.log(counted[h] / sum(n for k, n in counted.items() if k >> 52 == h >> 52)) for h in hashes.tolist()]
+        want.append((str(i), len(words), float(np.sum(net) + np.sum(share))))
+    got = [(str(r["doc_id"]), r["n_tokens"], r["log_prob"]) for r in pseudo_likelihood.score_words(docs, flat, known).collect()]
+    for a, b in zip(sorted(got), sorted(want), strict=True):
+        assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-3 * max(1, abs(b[2]))
+
+
+def test_a_rare_word_does_not_get_its_buckets_probability(spark):
+    bucket = pseudo_likelihood.word_buckets([b"the"])[0][0]
+    other = next(w for k in range(100000) if pseudo_likelihood.word_buckets([(w := f"junk{k}").encode()])[0][0] == bucket)
+    texts = table(spark, [(i, "the", None) for i in range(99)] + [(99, other, None)])
+    got = {r["doc_id"]: r["log_prob"] for r in pseudo_likelihood.score_words(texts, pseudo_likelihood.initial(), pseudo_likelihood.vocabulary(texts)).collect()}
+    assert abs(got[0] - got[99] - np.log(99)) < 1e-4
+
+
 # -- licences
 
 def test_licences(spark):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -10,10 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vouch.llm.common import documents, id_text, map_batches
+from vouch.llm.common import documents, id_text, map_batches, materialise
 from workload.registry import query
 
-# A word is one of 4096 buckets, predicted as three digits of sixteen; the last bucket is the text's edge.
+# The network predicts a word's bucket, one of 4096, as three digits of sixteen, and the counts of the
+# corpus share a bucket out among its words; the last bucket is the text's edge.
 DIGIT, DIGITS = 16, 3
 BUCKETS = DIGIT ** DIGITS
 OFFSETS = (-2, -1, 1, 2)
@@ -24,6 +26,8 @@ BATCH = 4096
 ROUNDS = 2
 RATE = 0.1
 BLOCK = 4096
+# At most so many of the most frequent words are looked up in arrays; all others are joined.
+FREQUENT = 1 << 16
 SHAPES = {
     "embed": (len(OFFSETS), BUCKETS + 1, WIDTH), "bias": (WIDTH,), "out": (WIDTH, DIGITS * DIGIT),
     "first": (1, DIGIT), "second": (DIGIT, DIGIT), "third": (DIGIT * DIGIT, DIGIT),
@@ -57,8 +61,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def word_buckets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of every word of several UTF-8 texts (A-Z folded), and the number of words of each text."""
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word of several UTF-8 texts (A-Z folded), and the number of words of each text."""
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     inside = ~SPACE[data]
     edge = np.diff(inside.astype(np.int8), prepend=0)
@@ -67,23 +71,36 @@ def word_buckets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     begins = np.cumsum(sizes) - sizes
     counts = np.diff(np.append(np.searchsorted(starts, begins), len(starts)))
     if not len(starts):
-        return np.zeros(0, np.int64), counts
+        return np.zeros(0, np.uint64), counts
     lengths = ends - starts
     place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     values = BYTE_VALUE[data[inside]] * PLACE_VALUE[place & 63]
     mixed = np.add.reduceat(values, np.cumsum(lengths) - lengths)
     mixed ^= mixed >> np.uint64(29)
-    return ((mixed * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(52)).astype(np.int64), counts
+    return mixed * np.uint64(0xBF58476D1CE4E5B9), counts
+
+
+def bucket_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(52)).astype(np.int64)
 
 
-def contexts(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """(word, offset): the buckets around each word, never across the edge of its text."""
-    out = np.full((len(words), len(OFFSETS)), BUCKETS, np.int64)
+def word_buckets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of every word of several texts, and the number of words of each text."""
+    hashes, counts = word_hashes(texts)
+    return bucket_of(hashes), counts
+
+
+def contexts(words: np.ndarray, counts: np.ndarray, chosen: np.ndarray | None = None) -> np.ndarray:
+    """(word, offset): the buckets around each word, or each of the ``chosen`` ones, never across the edge of its text."""
     place = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)
     after = np.repeat(counts, counts) - place
+    at = np.arange(len(words))
+    if chosen is not None:
+        place, after, at = place[chosen], after[chosen], chosen
+    out = np.full((len(at), len(OFFSETS)), BUCKETS, np.int64)
     for j, offset in enumerate(OFFSETS):
         ok = np.flatnonzero((place + offset >= 0) & (offset < after))
-        out[ok, j] = words[ok + offset]
+        out[ok, j] = words[at[ok] + offset]
     return out
 
 
@@ -156,9 +173,8 @@ def train_round(docs: DataFrame, flat: np.ndarray, number: int, mask_every: int
             size = max(1, batch.num_rows * (2 << 20) // max(batch.nbytes, 1))
             for at in range(0, batch.num_rows, size):
                 words, counts = word_buckets(batch.column("text").slice(at, size).cast(pa.binary()).to_pylist())
-                around = contexts(words, counts)
                 masked = masked_places(words, counts, number, mask_every)
-                near, target = around[masked], words[masked]
+                near, target = contexts(words, counts, masked), words[masked]
                 if rest is not None:
                     near, target = np.concatenate((rest[0], near)), np.concatenate((rest[1], target))
                 full = len(target) // BATCH * BATCH
@@ -199,11 +215,73 @@ def train(docs: DataFrame, rounds: int = ROUNDS, mask_every: int = MASK_EVERY, r
     return flat
 
 
+@dataclass
+class Vocabulary:
+    """All words of a corpus by hash, with their counts; the words of a bucket share its probability by count."""
+
+    counts: DataFrame     # word, n: as many rows as there are distinct words
+    totals: np.ndarray    # by bucket: occurrences of all its words
+    words: np.ndarray     # the most frequent words, ascending
+    numbers: np.ndarray   # and their counts
+
+
+def vocabulary(docs: DataFrame, frequent: int = FREQUENT) -> Vocabulary:
+    """Counts of all words of all texts, folded in each batch, then summed by word."""
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        words, n = np.unique(word_hashes(batch.column("text").cast(pa.binary()).to_pylist())[0].view(np.int64), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(n)], ["word", "n"])
+
+    counts = map_batches(id_text(docs).select("text"), work, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = materialise(counts, "lm-words")
+    totals = np.zeros(BUCKETS, np.int64)
+    for row in counts.groupBy(F.shiftrightunsigned("word", 52).alias("bucket")).agg(F.sum("n").alias("n")).collect():  # 4096 rows
+        totals[row["bucket"]] = row["n"]
+    # the least power of two that at most ``frequent`` words reach; all those come to the driver
+    sizes = {row["size"]: row["words"] for row in counts.groupBy(F.length(F.bin("n")).alias("size")).agg(F.count("n").alias("words")).collect()}
+    least = 64
+    while least > 0 and sum(words for size, words in sizes.items() if size >= least) <= frequent:
+        least -= 1
+    top = counts.filter(F.length(F.bin("n")) > least).toPandas().sort_values("word")
+    return Vocabulary(counts, totals, top["word"].to_numpy(np.int64), top["n"].to_numpy(np.int64))
+
+
+def score_words(docs: DataFrame, flat: np.ndarray, known: Vocabulary) -> DataFrame:
+    """Like ``score``, for words: the log-probability of a word's bucket and of the word among its bucket's words.
+
+    Over all words of ``known`` the probabilities at a place add up to one, save those of
+    buckets without a word.  A word that ``known`` lacks counts as one occurrence.
+    """
+    totals, words, numbers = np.log(np.maximum(known.totals, 1)), known.words, np.log(np.maximum(known.numbers, 1))
+
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        p = unpacked(flat)
+        hashes, counts = word_hashes(batch.column("text").cast(pa.binary()).to_pylist())
+        buckets, signed = bucket_of(hashes), hashes.view(np.int64)
+        around = contexts(buckets, counts)
+        scores = [forward(p, around[k:k + BATCH], buckets[k:k + BATCH])[3] for k in range(0, len(buckets), BATCH)]
+        each = (np.concatenate(scores) if scores else np.zeros(0)) - totals[buckets]
+        at = np.minimum(np.searchsorted(words, signed), max(len(words) - 1, 0))
+        found = words[at] == signed if len(words) else np.zeros(len(signed), bool)
+        each[found] += numbers[at[found]]
+        sums, rare = np.concatenate(([0.0], np.cumsum(each, dtype=np.float64))), np.concatenate(([0], np.cumsum(~found)))
+        ends = np.cumsum(counts)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, rare[ends]), pa.int32()), pa.array(signed[~found]))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(sums[ends] - sums[ends - counts]), lists], ["doc_id", "n_tokens", "part", "rare"])
+
+    rows = map_batches(id_text(docs), work, "doc_id long, n_tokens long, part double, rare array<long>")
+    rows = materialise(rows.withColumn("row_no", F.monotonically_increasing_id()), "lm-scores")
+    rest = rows.select("row_no", F.explode("rare").alias("word")).join(known.counts, "word", "left")
+    rest = rest.groupBy("row_no").agg(F.sum(F.log(F.coalesce("n", F.lit(1)))).alias("rest"))
+    out = rows.drop("rare").join(rest, "row_no", "left").withColumn("log_prob", F.col("part") + F.coalesce("rest", F.lit(0.0)))
+    return out.select("doc_id", "n_tokens", "log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("mean_log_prob"))
+
+
 def score(docs: DataFrame, flat: np.ndarray) -> DataFrame:
     """One row per document: doc_id, n_tokens, log_prob, mean_log_prob.
 
     log_prob sums, over all words of the whole text, the log-probability (natural log) of
-    the word's bucket given the two words on either side.  Null, empty and blank texts
+    the word's bucket given the two words on either side; ``score_words`` goes on to the
+    words themselves.  Null, empty and blank texts
     have no tokens, log_prob 0 and a null mean.  Repeated rows give repeated rows, a null
     id stays null, an empty table gives no rows, other columns are not read.
     """
@@ -224,4 +302,4 @@ def score(docs: DataFrame, flat: np.ndarray) -> DataFrame:
 @query("op9_lm_score")
 def op9_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
-    return score(docs, train(docs))
+    return score_words(docs, train(docs), vocabulary(docs))
