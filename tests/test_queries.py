@@ -9,6 +9,8 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from vouch.functions import fixed
+from workload import rules
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables not present")
@@ -55,3 +57,13 @@ def test_query_matches_sql(spark, duck, name):
 
 def test_entry(spark):
     assert entry(spark).count() >= 1
+
+
+def test_uploads_stay_below_the_size_limit(spark, monkeypatch):
+    """A segment of more bytes than one file may have comes as several files."""
+    monkeypatch.setattr(fixed, "MAX_UPLOAD_BYTES", 1000)
+    monkeypatch.setattr(rules, "UPLOAD_ROWS", 10, raising=False)
+    got = {r["folder"]: (r["accepted"], r["reason"]) for r in rules.upload_triage(spark, FOLDER).collect()}
+    text = got.pop("text")
+    assert len(got) == 5 and set(got.values()) == {(True, None)}
+    assert text == (False, "Only CSV and Excel files are supported.")

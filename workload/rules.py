@@ -108,15 +108,20 @@ def run_lookup(spark: SparkSession, folder: str) -> DataFrame:
     return store.read_stage("customers").select("run_id", "c_custkey", "c_acctbal")
 
 
+# Customers in one uploaded file: about 10 MB, whatever the size of the table.
+UPLOAD_ROWS = 200_000
+
+
 @query("upload_triage", """
 SELECT c_mktsegment AS folder, count(*) > 0 AS accepted, CAST(NULL AS varchar) AS reason FROM customer GROUP BY 1
 UNION ALL SELECT DISTINCT 'text', false, 'Only CSV and Excel files are supported.' FROM customer""")
 def upload_triage(spark: SparkSession, folder: str) -> DataFrame:
-    """Customers uploaded as one CSV folder per segment, and all of them as a text file."""
+    """Customers uploaded as one CSV folder per segment, and all of them as text, in files of bounded size; the verdicts of each folder."""
     path = new_folder(spark, "uploads")
     customers = table(spark, folder, "customer")
-    customers.withColumn("folder", F.col("c_mktsegment")).repartition("folder").write.partitionBy("folder").option("header", True).csv(path)
-    customers.select("c_name").repartition(1).write.text(f"{path}/folder=text")
+    bounded = {"maxRecordsPerFile": UPLOAD_ROWS}
+    customers.withColumn("folder", F.col("c_mktsegment")).write.partitionBy("folder").options(header=True, **bounded).csv(path)
+    customers.select("c_name").write.options(**bounded).text(f"{path}/folder=text")
     found = uploads.triage(spark, path)
     name = F.regexp_extract("path", "folder=([^/]+)/", 1)
     return found.filter("name like 'part-%'").select(name.alias("folder"), "accepted", "reason").distinct()
