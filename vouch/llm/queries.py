@@ -10,4 +10,5 @@ import vouch.llm.quality  # noqa: F401
 import vouch.llm.pseudo_likelihood  # noqa: F401
 import vouch.llm.pii  # noqa: F401
 import vouch.llm.substring_dedup  # noqa: F401
+import vouch.llm.alignment  # noqa: F401
 import corpus_pipeline  # noqa: F401
