@@ -12,4 +12,5 @@ import vouch.llm.pii  # noqa: F401
 import vouch.llm.substring_dedup  # noqa: F401
 import vouch.llm.alignment  # noqa: F401
 import vouch.llm.periodic_runs  # noqa: F401
+import vouch.llm.html_text  # noqa: F401
 import corpus_pipeline  # noqa: F401
