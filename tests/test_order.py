@@ -160,3 +160,42 @@ def test_flat_and_short_series(spark):
     short = spark.createDataFrame([(1, 1.0), (2, 2.0)], "year int, y double")
     got = series.trend_metrics(series.series_points(short, ["y"], "year"), "year").first()
     assert got["status"] == "insufficient_data" and got["sample_size"] == 2 and got["r_squared"] is None
+
+
+@pytest.mark.parametrize("base", [0.0, 1e9, -1e12])
+def test_trends_from_moments_match_plain_regression(spark, base):
+    """Both formulations, with and without groups, over gaps, ties, repeated rows and a constant."""
+    rng = random.Random(4)
+    rows = [(rng.choice("ab"), i // 3, i, base + i * 0.01 + rng.gauss(0, 1), None if rng.random() < 0.2 else rng.random() * (i % 7), 5.0) for i in range(400)]
+    rows += [("c", 1, 1, 2.0, None, 1.0), ("c", 2, 1, 2.0, None, 1.0)] + [("d", 4, 4, base, 1.0, 1.0)] * 50
+    df = spark.createDataFrame(rows, "place string, d int, o int, v double, w double, k double").repartition(5)
+    for by in ([], ["place"]):
+        for exact in (False, True):
+            moments = series.series_moments(df, ["v", "w", "k"], "d", ["o"], by, exact=exact)
+            got = {(r["place"] if by else None, r["measure"]): r for r in series.trends(moments, "d", by, exact=exact).collect()}
+            for group in sorted({r[0] for r in rows}) if by else [None]:
+                for at, measure in ((3, "v"), (4, "w"), (5, "k")):
+                    kept = sorted((r[1], r[2], r[at]) for r in rows if (not by or r[0] == group) and r[at] is not None)
+                    values = [v for _, _, v in kept]
+                    if not values:
+                        assert (group, measure) not in got
+                        continue
+                    row = got[group, measure]
+                    assert row["sample_size"] == len(values)
+                    if len(values) < 3:
+                        assert row["status"] == "insufficient_data" and row["last_value"] is None
+                        continue
+                    slope, r2 = trend_by_hand([v - values[0] for v in values])
+                    assert row["r_squared"] == pytest.approx(r2, abs=1e-9)
+                    assert row["slope_per_observation"] == pytest.approx(slope, rel=1e-7, abs=1e-12)
+                    assert row["intercept"] == pytest.approx(sum(values) / len(values) - slope * (len(values) - 1) / 2, rel=1e-9)
+                    assert (row["first_value"], row["last_value"], row["peak_value"], row["trough_value"]) == (values[0], values[-1], max(values), min(values))
+                    assert row["peak_date"] == str(next(d for d, _, v in kept if v == max(values)))
+                    assert row["latest_moving_average"] == pytest.approx(sum(values[-3:]) / 3)
+                    assert row["latest_period_change"] == values[-1] - values[-2]
+
+
+def test_moments_are_one_row_per_part_and_series(spark):
+    df = spark.range(5000).select((F.col("id") % 2).alias("g"), F.col("id").alias("day"), F.rand(1).alias("v"), F.lit(1.0).alias("w"))
+    moments = series.series_moments(df, ["v", "w"], "day", by=["g"])
+    assert moments.count() <= 2 * (2 + int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from vouch.functions import fixed
 from vouch.operators import privacy, profile, roles
+from vouch.operators.insights import EVIDENCE, TREND_FIELDS
 from vouch.operators.series import series_points
 from vouch.plans import planner
 from vouch.plans.pipeline import analyse
@@ -163,15 +167,31 @@ def test_falsified_results_are_found(spark, people, monkeypatch):
     dated = people.withColumn("JoiningDate", F.expr("date_add(date'2020-01-01', cast(EmployeeID as int))"))
     honest = analyse(dated, run_id="honest").insights.filter("insight_type = 'time_series_trend'")
     assert {r["verification"]["status"] for r in honest.collect()} == {"verified"}
-    right = series.trend_metrics
+    right = series.trends
+    fields = {f for f in TREND_FIELDS if EVIDENCE[f] == "double"}
 
-    def wrong(points, date, by=(), *, raw_moments=False):
-        made = right(points, date, by, raw_moments=raw_moments)
-        return made if raw_moments else made.withColumn("last_value", F.col("last_value") + 1000)
+    def wrong(moments, date, by=(), *, exact=False):
+        made = right(moments, date, by, exact=exact)
+        return made if exact else made.withColumns({f: F.col(f) * 1.001 + 1 for f in fields})
 
-    monkeypatch.setattr(series, "trend_metrics", wrong)
+    monkeypatch.setattr(series, "trends", wrong)
     found = analyse(dated, run_id="wrong").insights.filter("insight_type = 'time_series_trend'").collect()
     assert found and {r["verification"]["status"] for r in found} == {"failed"}
+    assert all({m["field"] for m in r["verification"]["mismatches"]} == fields for r in found)
+
+
+@pytest.mark.parametrize("level", [1e9, -1e12])
+def test_trends_far_from_zero_are_verified(spark, level):
+    """Plain sums of squares would cancel here; a trend is sound wherever its values lie."""
+    rnd = random.Random(7)
+    rows = [(i, f"2024-{1 + i // 28:02d}-{1 + i % 28:02d}", level + i + rnd.gauss(0, 30)) for i in range(336)]
+    df = spark.createDataFrame(rows, "visit_id long, visit_date string, amount double")
+    found = analyse(df, run_id="far").insights.filter("insight_type = 'time_series_trend'").collect()
+    assert [r["verification"]["status"] for r in found] == ["verified"]
+    x, y = np.arange(336.0), np.array([v - level for _, _, v in rows])
+    slope = ((x - x.mean()) * (y - y.mean())).sum() / ((x - x.mean()) ** 2).sum()
+    assert found[0]["evidence"]["r_squared"] == pytest.approx(np.corrcoef(x, y)[0, 1] ** 2, abs=1e-9)
+    assert found[0]["calculation"]["slope_per_observation"] == pytest.approx(slope, rel=1e-9)
 
 
 def test_one_failing_pair_fails_alone(spark, people, monkeypatch):

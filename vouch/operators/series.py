@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vouch.functions import fixed
-from vouch.functions.numbers import clamp, divide, finite, percent_change
+from vouch.functions.numbers import canonical, clamp, divide, finite, percent_change
 from vouch.functions.scores import trend_label
 from vouch.operators.ordering import DIRECT_ROWS, positions, row_fingerprint, sample_positions
+from vouch.operators.quantiles import null_safe
+from vouch.session import broadcast_if_small, materialise
 from vouch.sources.tables import column
 
 
@@ -68,18 +71,13 @@ def sample_series(points: DataFrame, k: int = fixed.SERIES_POINTS) -> DataFrame:
     return sample_positions(points, k, half_even=False)
 
 
-def trend_metrics(points: DataFrame, date_name: str, by: Sequence[str] = (), *, raw_moments: bool = False) -> DataFrame:
-    """Trend of each series over its positions 0..n-1, in one map-side combined aggregate.
-
-    ``raw_moments`` is the second formulation that verification uses: size, mean and
-    moments come from plain sums over the points and not from the size and mean that
-    the points carry.
+def trend_metrics(points: DataFrame, date_name: str, by: Sequence[str] = ()) -> DataFrame:
+    """Trend of each series of points over its positions 0..n-1, in one map-side combined aggregate.
 
     (by..., measure, date, status, sample_size, first/last/peak/trough date and
     value, changes, slope_per_observation, intercept, r_squared, trend_direction,
     trend_strength, moving_average_window, latest_moving_average)
     """
-    date_type = points.schema["date"].dataType
     n, value, copies, pos = F.col("n"), F.col("value"), F.col("copies"), F.col("pos")
     window = fixed.MOVING_AVERAGE_WINDOW
     # A block of copies covers pos .. pos+copies-1, so its middle stands for all of it.
@@ -88,25 +86,190 @@ def trend_metrics(points: DataFrame, date_name: str, by: Sequence[str] = (), *,
     in_window = F.greatest(
         F.least(pos + copies, n) - F.greatest(pos, n - window), F.lit(0))
     before_last = (pos <= n - 2) & (pos + copies > n - 2)
-    middle = pos + (copies - 1) / 2
     sums = points.groupBy(*by, "measure").agg(
-        (F.sum(copies) if raw_moments else F.max(n)).alias("sample_size"),
-        (F.sum(copies * value) / F.sum(copies) if raw_moments else F.max("mean")).alias("_mean"),
+        F.max(n).alias("sample_size"),
+        F.max("mean").alias("_mean"),
         F.min(F.struct(pos, "date", value)).alias("_first"),
         F.max(F.struct(pos, "date", value)).alias("_last"),
         F.min(F.struct((-value).alias("_minus"), pos, "date")).alias("_peak"),
         F.min(F.struct(value, pos, "date")).alias("_trough"),
         F.max(F.when(before_last, value)).alias("_previous"),
         F.sum(value * in_window).alias("_recent"),
-        (F.sum(copies * middle * value) - F.sum(copies * middle) * F.sum(copies * value) / F.sum(copies) if raw_moments
-         else F.sum(copies * centred * shifted)).alias("_sxy"),
-        (F.sum(copies * value * value) - F.sum(copies * value) * F.sum(copies * value) / F.sum(copies) if raw_moments
-         else F.sum(copies * shifted * shifted)).alias("_syy"),
+        F.sum(copies * centred * shifted).alias("_sxy"),
+        F.sum(copies * shifted * shifted).alias("_syy"),
     )
+    return _metrics(sums, date_name, points.schema["date"].dataType, by)
+
+
+def series_moments(
+    df: DataFrame,
+    measures: Sequence[str],
+    date: str,
+    order_by: Sequence[str] | None = None,
+    by: Sequence[str] = (),
+    *,
+    exact: bool = False,
+) -> DataFrame:
+    """What the trend of each series needs to know, one row per series and part of one range sort.
+
+    (by..., measure, part, n, low, zero, level, slope, spread, first/last date and value, peak,
+    trough, recent values), with ``low`` the smallest row number of the series in the part.
+    Rows of a series are neighbours in a part, so their positions are row numbers shifted by a
+    constant that is known once the parts before are counted: nothing is numbered, written
+    or shuffled a second time, and a part of any length is one row.
+
+    Rows are left out and ordered as in ``series_points``; rows equal in all sort columns are
+    exchangeable and are dealt over the parts by the partition they come from.  Measures present
+    in every row share a sort, the others share one of their present cells.
+
+    A first pass finds the range of each series.  Values are taken relative to its lower
+    end wherever a series lies far from zero for its range.  ``exact`` adds integer sums: values
+    in 2^40ths of their range, summed as decimals, so neither the order of additions nor the
+    distance from zero changes them.
+    """
+    order = [column(date), *([column(c) for c in order_by] if order_by else [row_fingerprint(df)])]
+    names = [f"_o{i}" for i in range(len(order))]
+    values = {m: f"_y{i}" for i, m in enumerate(measures)}
+    present = df.filter(column(date).isNotNull()).select(
+        *by, *[c.alias(n) for c, n in zip(order, names)], column(date).alias("date"),
+        *[finite(column(m)).alias(y) for m, y in values.items()])
+    frames = present.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), *[
+        c for y in values.values() for c in (F.count(y).alias(f"n{y}"), F.min(y).alias(f"l{y}"), F.max(y).alias(f"h{y}"))])
+    if by:
+        frames = materialise(frames, "series-frames")
+    far = [F.greatest(F.abs(f"l{y}"), F.abs(f"h{y}")) > _FAR * (F.col(f"h{y}") - F.col(f"l{y}")) for y in values.values()]
+    known = frames.agg(
+        F.sum("rows").alias("rows"), F.max(reduce(Column.__or__, far)).alias("far"),
+        *[c for y in values.values() for c in (F.sum(f"n{y}").alias(f"n{y}"), F.min(f"l{y}").alias(f"l{y}"), F.max(f"h{y}").alias(f"h{y}"))]).first()
+    whole = [m for m, y in values.items() if known[f"n{y}"] == known["rows"]]
+    gappy = [m for m in measures if m not in whole]
+    framed = bool(by) and (exact or bool(known["far"]))
+
+    def cells(chosen: Sequence[str]) -> Column:
+        return F.inline(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(values[m]).alias("value")) for m in chosen]))
+
+    dealt = present.withColumn("_from", F.spark_partition_id())
+    parts = []
+    if whole:
+        kept = dealt.select(*by, *names, "date", *[values[m] for m in whole], "_from")
+        kept = kept.orderBy(*by, *names, *[values[m] for m in whole], "_from").withColumn("_id", F.monotonically_increasing_id())
+        parts.append(kept.select(*by, "date", "_id", cells(whole)))
+    if gappy:
+        kept = dealt.select(*by, *names, "date", "_from", cells(gappy)).filter(F.col("value").isNotNull())
+        kept = kept.orderBy(*by, "measure", *names, "value", "_from").withColumn("_id", F.monotonically_increasing_id())
+        parts.append(kept.select(*by, "date", "_id", "measure", "value"))
+    folded = []
+    for rows in parts:
+        if framed:
+            lists = [F.struct(F.lit(m).alias("measure"), F.col(f"l{y}").alias("zero"), F.col(f"h{y}").alias("top")) for m, y in values.items()]
+            rows = null_safe(rows, broadcast_if_small(frames.select(*by, F.inline(F.array(*lists)))), [*by, "measure"], "left")
+        else:
+            zero, top = F.lit(0.0), F.lit(0.0)
+            for m, y in values.items():  # one series per measure: its range is a literal
+                if not by and known[f"l{y}"] is not None:
+                    zero = F.when(F.col("measure") == m, F.lit(known[f"l{y}"])).otherwise(zero)
+                    top = F.when(F.col("measure") == m, F.lit(known[f"h{y}"])).otherwise(top)
+            rows = rows.withColumns({"zero": zero, "top": top})
+        folded.append(_folded(rows, by, exact))
+    return reduce(DataFrame.unionByName, folded)
+
+
+_PART_BITS = 33  # layout of monotonically_increasing_id
+_UNITS = 2.0 ** 40
+# Distance from zero, in ranges, from which on values are taken relative to their range.
+_FAR = 100
+
+
+def _folded(rows: DataFrame, by: Sequence[str], exact: bool) -> DataFrame:
+    """One row per series and part of the sorted ``rows`` (by..., measure, date, _id, value, zero, top)."""
+    rows = rows.withColumns({
+        "part": F.shiftright("_id", _PART_BITS), "at": F.col("_id").bitwiseAND(F.lit((1 << _PART_BITS) - 1)),
+        "_up": F.col("value") - F.col("zero")})
+    at, value, up = F.col("at"), F.col("value"), F.col("_up")
+    window = fixed.MOVING_AVERAGE_WINDOW
+    sums = [
+        F.count(F.lit(1)).alias("n"), F.min(at).alias("low"), F.max("zero").alias("zero"), F.max("top").alias("top"),
+        F.regr_intercept(up, at).alias("_base"), F.regr_slope(up, at).alias("slope"), F.var_pop(up).alias("spread"), F.min(up).alias("_least"),
+        F.min(F.struct(at, "date", value)).alias("first"), F.max(F.struct(at, "date", value)).alias("last"),
+        F.min(F.struct((-value).alias("minus"), at, "date")).alias("peak"), F.min(F.struct(value, at, "date")).alias("trough"),
+        # row numbers of a series are neighbours, so the last few differ in their remainder
+        *[F.max(F.when(at % window == k, F.struct(at, value))).alias(f"recent{k}") for k in range(window)],
+    ]
+    if exact:
+        scale = F.when(F.col("top") > F.col("zero"), F.lit(_UNITS) / (F.col("top") - F.col("zero"))).otherwise(F.lit(0.0))
+        rows = rows.withColumn("_units", F.round(up * scale).cast("decimal(20,0)"))
+        units = F.col("_units")
+        sums += [
+            F.sum(units.cast("decimal(38,0)")).alias("units"), F.sum((units * units).cast("decimal(38,0)")).alias("units_squared"),
+            F.sum((at.cast("decimal(12,0)") * units).cast("decimal(38,0)")).alias("units_placed")]
+    folded = rows.groupBy(*by, "measure", "part").agg(*sums)
+    middle = F.col("low") + (F.col("n") - 1) / 2
+    level = F.coalesce(F.col("_base") + F.col("slope") * middle, F.col("_least"))
+    return folded.withColumn("level", level).withColumn("slope", F.coalesce("slope", F.lit(0.0))).drop("_base", "_least")
+
+
+def trends(moments: DataFrame, date_name: str, by: Sequence[str] = (), *, exact: bool = False) -> DataFrame:
+    """``trend_metrics`` from ``series_moments``: the moments of the parts are shifted to their places and combined.
+
+    ``exact`` takes the integer sums instead of the running moments, the second formulation
+    that verification uses.
+    """
+    keys = [*by, "measure"]
+    series = Window.partitionBy(*keys)
+    # A series has at most one row per sort partition.
+    before = series.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    n = F.col("n")
+    placed = moments.select(
+        "*", F.coalesce(F.sum(n).over(before), F.lit(0)).alias("_start"), F.sum(n).over(series).alias("_n"),
+        F.first("level").over(series.orderBy("part")).alias("_near"))
+    placed = placed.withColumn("_shift", F.col("_start") - F.col("low"))
+    placed = placed.withColumn("_mean", F.col("_near") + F.sum(n * (F.col("level") - F.col("_near"))).over(series) / F.col("_n"))
+    total, shift, mean = F.col("_n"), F.col("_shift"), F.col("_mean")
+    recent = F.filter(F.array(*[F.col(f"recent{k}") for k in range(fixed.MOVING_AVERAGE_WINDOW)]), lambda r: r.isNotNull())
+    previous = F.filter(recent, lambda r: r["at"] + shift == total - 2)
+    latest = F.filter(recent, lambda r: r["at"] + shift >= total - fixed.MOVING_AVERAGE_WINDOW)
+    off_centre = F.col("_start") + (n - 1) / 2 - (total - 1) / 2
+    off_mean = F.col("level") - mean
+    within = (n.cast("double") * n - 1) / 12 * F.col("slope")
+    sums = [
+        F.max(total).alias("sample_size"), F.max(F.col("zero") + mean).alias("_mean"),
+        F.min(F.struct((F.col("first.at") + shift).alias("pos"), F.col("first.date"), F.col("first.value"))).alias("_first"),
+        F.max(F.struct((F.col("last.at") + shift).alias("pos"), F.col("last.date"), F.col("last.value"))).alias("_last"),
+        F.min(F.struct(F.col("peak.minus").alias("_minus"), (F.col("peak.at") + shift).alias("pos"), F.col("peak.date"))).alias("_peak"),
+        F.min(F.struct(F.col("trough.value"), (F.col("trough.at") + shift).alias("pos"), F.col("trough.date"))).alias("_trough"),
+        F.max(F.get(previous, F.lit(0))["value"]).alias("_previous"),
+        F.sum(F.aggregate(latest, F.lit(0.0), lambda total, r: total + r["value"])).alias("_recent"),
+        F.sum(n * (within + off_centre * off_mean)).alias("_sxy"), F.sum(n * (F.col("spread") + off_mean * off_mean)).alias("_syy"),
+    ]
+    if exact:
+        whole = "decimal(38,0)"
+        sums += [
+            F.sum("units").cast(whole).alias("_units"), F.sum("units_squared").cast(whole).alias("_squared"),
+            F.sum((F.col("units_placed") + shift.cast("decimal(12,0)") * F.col("units")).cast(whole)).cast(whole).alias("_at_units"),
+            F.max("zero").alias("_low"), F.max("top").alias("_high")]
+    out = placed.groupBy(*keys).agg(*sums)
+    if exact:
+        # Around the mean in whole units, still exact; the rest of the mean is below one unit.
+        out = out.selectExpr("*", "_units div sample_size as _m", "(_high - _low) / pow(2, 40) as _unit")
+        out = out.withColumn("_rest", F.expr("cast(_units - cast(sample_size as decimal(20,0)) * _m as double)"))
+        out = out.withColumns({
+            "_syy": F.expr("(cast(_squared - 2 * cast(_m as decimal(20,0)) * _units + cast(sample_size as decimal(18,0)) * (cast(_m as decimal(18,0)) * _m) as double)"
+                           " - _rest * _rest / sample_size) * _unit * _unit"),
+            "_sxy": F.expr("(cast(_at_units - cast(_m as decimal(18,0)) * ((cast(sample_size as decimal(18,0)) * (sample_size - 1)) div 2) as double)"
+                           " - _rest * ((sample_size - 1) / 2)) * _unit"),
+            "_mean": F.expr("_low + cast(_units as double) / sample_size * _unit"),
+        })
+    return _metrics(out, date_name, moments.schema["first"].dataType["date"].dataType, by)
+
+
+def _metrics(sums: DataFrame, date_name: str, date_type: T.DataType, by: Sequence[str]) -> DataFrame:
+    window = fixed.MOVING_AVERAGE_WINDOW
     size = F.col("sample_size")
     sxx = size * (size.cast("double") * size - 1) / 12
     enough = size >= fixed.MIN_TREND_POINTS
-    explained = clamp(divide(F.col("_sxy") * F.col("_sxy"), sxx * F.col("_syy")))
+    # In canonical digits, so that the order of additions cannot tip a class or a rounded figure.
+    sums = sums.withColumn("_explained", clamp(divide(F.col("_sxy") * F.col("_sxy"), sxx * F.col("_syy"))))
+    explained = canonical("_explained")
     # A slope whose share of the variation is below rounding noise is no slope.
     slope = F.when(explained > 1e-24, divide(F.col("_sxy"), sxx)).otherwise(F.lit(0.0))
     base = sums.select(

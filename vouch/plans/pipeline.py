@@ -201,14 +201,13 @@ def analyse(
             return {"groups": table, "group_comparison": materialise(compared(), "group_comparison")}
 
         def run_series(cells: list[tuple]) -> dict[str, DataFrame]:
-            trends, again = [], []
+            found, again = [], []
             for date in _unique(cells, 1):
-                points = materialise(series.series_points(
-                    safe, _unique(cells, 0), date, order_by, unique=unique), "series-points")
-                trends.append(series.trend_metrics(points, date))
-                again.append(series.trend_metrics(points, date, raw_moments=True))
+                moments = materialise(series.series_moments(safe, _unique(cells, 0), date, order_by, exact=True), "series-moments")
+                found.append(series.trends(moments, date))
+                again.append(series.trends(moments, date, exact=True))
             checks["trends"] = tagged(reduce(DataFrame.unionByName, again))
-            return {"time_series": held("time_series", reduce(DataFrame.unionByName, trends))}
+            return {"time_series": held("time_series", reduce(DataFrame.unionByName, found))}
 
         def run_correlations(cells: list[tuple]) -> dict[str, DataFrame]:
             checks["correlations"] = tagged(correlation.recomputed(safe, cells))

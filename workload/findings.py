@@ -38,8 +38,7 @@ def results(spark: SparkSession, folder: str, period: str = "all") -> dict[str,
         if name == "correlations":
             return correlation.correlations(df, PAIRS, BY)
         if name == "trends":
-            points = series.series_points(df, MEASURES, "l_shipdate", LINE_ORDER, BY)
-            return series.trend_metrics(points, "l_shipdate", BY)
+            return series.trends(series.series_moments(df, MEASURES, "l_shipdate", LINE_ORDER, BY), "l_shipdate", BY)
         if name == "statistics":
             return describe.describe(df, MEASURES, BY)
         if name == "outliers":

@@ -56,14 +56,14 @@ def drop_nulls(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("minimum_sample", f"""
-SELECT o_custkey, count(*) AS sample_size, CASE WHEN count(*) >= 3 THEN 'completed' ELSE 'insufficient_data' END AS status,
+SELECT o_custkey, o_orderpriority, count(*) AS sample_size, CASE WHEN count(*) >= 3 THEN 'completed' ELSE 'insufficient_data' END AS status,
        CASE WHEN count(*) < 3 THEN '{fixed.REASONS['short_series']}' END AS reason
-FROM orders WHERE o_orderkey % 5 = 0 GROUP BY o_custkey""")
+FROM orders GROUP BY o_custkey, o_orderpriority""")
 def minimum_sample(spark: SparkSession, folder: str) -> DataFrame:
-    # one order in five has a value, so that there are short series
-    orders = table(spark, folder, "orders").withColumn("v", F.expr("case when o_orderkey % 5 = 0 then o_totalprice end"))
-    points = series.series_points(orders, ["v"], "o_orderdate", ["o_orderkey"], ["o_custkey"], unique=True)
-    return series.trend_metrics(points, "o_orderdate", ["o_custkey"]).select("o_custkey", "sample_size", "status", "reason")
+    """Orders of a customer by priority: long and short series."""
+    keys = ["o_custkey", "o_orderpriority"]
+    moments = series.series_moments(table(spark, folder, "orders"), ["o_totalprice"], "o_orderdate", ["o_orderkey"], keys)
+    return series.trends(moments, "o_orderdate", keys).select(*keys, "sample_size", "status", "reason")
 
 
 @query("insight_keys", """

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vouch.operators import series
-from workload.registry import query, r, rounded, table
+from vouch.session import materialise
+from workload.registry import query, r, rounded, table, union
 from workload.tables import LINE_ORDER
 
 # --- fixed points of the SQL side ---------------------------------------------------
@@ -52,9 +53,8 @@ trend AS (
 
 
 def _orders(spark: SparkSession, folder: str) -> DataFrame:
-    points = series.series_points(
-        table(spark, folder, "orders"), ["o_totalprice"], "o_orderdate", ["o_orderkey"], ["o_custkey"], unique=True)
-    return series.trend_metrics(points, "o_orderdate", ["o_custkey"]).filter("status = 'completed'")
+    moments = series.series_moments(table(spark, folder, "orders"), ["o_totalprice"], "o_orderdate", ["o_orderkey"], ["o_custkey"])
+    return series.trends(moments, "o_orderdate", ["o_custkey"]).filter("status = 'completed'")
 
 
 def _events(spark: SparkSession, folder: str, **form: int) -> DataFrame:
@@ -84,11 +84,10 @@ WITH points AS (
 SELECT l_suppkey, sample_size, {r('slope', 6, 'slope_per_observation')}, {r('intercept', 3, 'intercept')},
        {r('r_squared', 8, 'r_squared')} FROM trend""")
 def ts_trend(spark: SparkSession, folder: str) -> DataFrame:
-    # Rows repeat in full here, so they are folded before they are ordered.
-    points = series.series_points(
-        table(spark, folder, "lineitem"), ["l_extendedprice"], "l_shipdate", ["l_partkey", *LINE_ORDER], ["l_suppkey"],
-        direct_rows=0)  # the form for large groups
-    return rounded(series.trend_metrics(points, "l_shipdate", ["l_suppkey"]).filter("status = 'completed'").select(
+    # Rows repeat in full here; equal ones are exchangeable.
+    moments = series.series_moments(
+        table(spark, folder, "lineitem"), ["l_extendedprice"], "l_shipdate", ["l_partkey", *LINE_ORDER], ["l_suppkey"])
+    return rounded(series.trends(moments, "l_shipdate", ["l_suppkey"]).filter("status = 'completed'").select(
         "l_suppkey", "sample_size", "slope_per_observation", "intercept", "r_squared",
     ), {"slope_per_observation": 6, "intercept": 3, "r_squared": 8})
 
@@ -110,7 +109,8 @@ def ts_changes(spark: SparkSession, folder: str) -> DataFrame:
 SELECT event_type, {label_sql('peak_date')} AS peak_date, peak_value, {label_sql('trough_date')} AS trough_date,
        trough_value FROM trend""")
 def ts_peak_trough(spark: SparkSession, folder: str) -> DataFrame:
-    return series.trend_metrics(_events(spark, folder), "ts", ["event_type"]).select(
+    moments = series.series_moments(table(spark, folder, "events"), ["value"], "ts", ["event_id"], ["event_type"])
+    return series.trends(moments, "ts", ["event_type"]).select(
         "event_type", "peak_date", "peak_value", "trough_date", "trough_value")
 
 
@@ -152,3 +152,34 @@ def series_sample(spark: SparkSession, folder: str) -> DataFrame:
 @query("series_sample_large", _SAMPLE_SQL)
 def series_sample_large(spark: SparkSession, folder: str) -> DataFrame:
     return _sampled(_events(spark, folder, direct_rows=0))
+
+
+# Numbers far from zero with little spread: sums of squares of such values keep no digit of it.
+_FAR = 1_000_000_000
+_FAR_SQL = f"""
+SELECT 'orders' AS source, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS pos, o_totalprice AS value FROM orders
+UNION ALL
+SELECT 'events', row_number() OVER (ORDER BY ts, event_id) - 1, value FROM events WHERE ts IS NOT NULL AND value IS NOT NULL"""
+
+
+@query("trend_formulations", f"""
+WITH near AS ({_FAR_SQL}),
+levels AS (SELECT source, pos, value, unnest(['near', 'far']) AS place FROM near)
+SELECT source, place, count(*) AS sample_size, {r('regr_slope(value, pos)', 6, 'slope_per_observation')}, {r('regr_slope(value, pos)', 6, 'slope_again')},
+       {r('regr_r2(value, pos)', 6, 'r_squared')}, {r('regr_r2(value, pos)', 6, 'r_squared_again')},
+       {r("avg(value) FILTER (pos >= total - 3) + any_value(CASE place WHEN 'far' THEN " + str(_FAR) + ".0 ELSE 0 END)", 2, 'latest_moving_average')}
+FROM (SELECT *, count(*) OVER (PARTITION BY source, place) AS total FROM levels) GROUP BY source, place""")
+def trend_formulations(spark: SparkSession, folder: str) -> DataFrame:
+    """Trends of ``orders`` and ``events`` as they are and shifted by 1e9, from running moments and from exact sums."""
+    parts = []
+    for source, measure, date, key in (("orders", "o_totalprice", "o_orderdate", "o_orderkey"), ("events", "value", "ts", "event_id")):
+        levels = table(spark, folder, source).select(date, key, F.inline(F.array(*[
+            F.struct(F.lit(place).alias("place"), (F.col(measure) + F.lit(float(shift))).alias("v")) for place, shift in (("near", 0), ("far", _FAR))])))
+        moments = materialise(series.series_moments(levels, ["v"], date, [key], ["place"], exact=True), "formulations")
+        one, two = (series.trends(moments, date, ["place"], exact=e) for e in (False, True))
+        again = two.select("place", F.col("slope_per_observation").alias("slope_again"), F.col("r_squared").alias("r_squared_again"))
+        parts.append(one.join(again, "place").select(
+            F.lit(source).alias("source"), "place", "sample_size", "slope_per_observation", "slope_again", "r_squared", "r_squared_again",
+            "latest_moving_average"))
+    digits = dict.fromkeys(("slope_per_observation", "slope_again", "r_squared", "r_squared_again"), 6)
+    return rounded(union(parts), {**digits, "latest_moving_average": 2})
