@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 import random
+import struct
 
 import pytest
 from pyspark.sql import functions as F
 
+from vouch.functions.numbers import order_key
 from vouch.operators import ordering, quantiles, series
 from tests.conftest import rows_of
 
@@ -37,7 +39,7 @@ def mixed(spark):
     return rows, spark.createDataFrame(rows, "g string, x double, y double, z double")
 
 
-@pytest.mark.parametrize("options", [{}, {"direct_cells": 0}, {"direct_cells": 0, "accuracy": 20, "slices": 3}])
+@pytest.mark.parametrize("options", [{}, {"direct_cells": 0}, {"direct_cells": 0, "group_rows": 300}, {"direct_cells": 0, "group_rows": 0}, {"direct_cells": 0, "group_rows": 20, "fineness": 1, "rounds": (56, 50, 21, 0)}])
 def test_order_statistics(mixed, options):
     rows, df = mixed
     found = rows_of(quantiles.order_statistics(df, ["x", "y", "z"], ["g"], **options), "g", "measure")
@@ -55,6 +57,19 @@ def test_order_statistics(mixed, options):
     assert seen == len(found)
 
 
+def test_order_keys_follow_the_numbers(spark):
+    rng = random.Random(1)
+    values = [0.0, -0.0, 5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308, 1.0, math.nextafter(1.0, 0), math.nextafter(2.0, 0), 8.0, math.nextafter(8.0, 9)]
+    values += [math.ldexp(rng.random(), rng.randint(-1074, 1020)) for _ in range(500)] + [2.0 ** k for k in range(-1070, 1020, 37)]
+    values += [math.nextafter(v, math.inf) for v in values[:200]]
+    values += [-v for v in values] + [math.inf]
+    values.sort()
+    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", order_key(F.col("v")).alias("k"))
+    got = sorted((r["v"], r["k"]) for r in df.collect())
+    assert all((a < c) == (b < d) and (a == c) == (b == d) for (a, b), (c, d) in zip(got, got[1:]))
+    assert all(k == struct.unpack(">q", struct.pack(">d", v))[0] for v, k in got if v > 0)
+
+
 def test_medians_agree_in_both_forms(mixed):
     _, df = mixed
     small = {(r["g"], r["measure"]): r["median"] for r in quantiles.medians(df, ["x", "z"], ["g"]).collect()}

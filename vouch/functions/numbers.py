@@ -17,6 +17,20 @@ def finite(value: Column) -> Column:
     return F.when(F.abs(number) < float("inf"), number)
 
 
+def order_key(value: Column) -> Column:
+    """64-bit integer in the order of doubles, equal only for equal ones: the bit pattern, negated below zero; NaN is last."""
+    size = F.abs(value)
+    guess = F.floor(F.log2(size)).cast("int")
+    # the logarithm may be off by one next to a power of two; powers of two themselves are exact
+    two = F.lit(2.0)
+    exponent = guess + F.when(F.pow(two, guess) > size, -1).when(size / F.pow(two, guess) >= 2, 1).otherwise(0)
+    normal = (exponent + 1023).cast("long") * (1 << 52) + ((size / F.pow(two, exponent) - 1) * 2.0 ** 52).cast("long")
+    tiny = (size / 5e-324).cast("long")
+    beyond = F.lit(2047 << 52) + F.isnan(value).cast("long")
+    key = F.when(size >= float("inf"), beyond).when(size == 0, F.lit(0).cast("long")).when(size < 2.2250738585072014e-308, tiny).otherwise(normal)
+    return F.when(value < 0, -key).otherwise(key)
+
+
 def divide(top: Column, bottom: Column) -> Column:
     """top / bottom, null when the divisor is zero."""
     return F.when(bottom != 0, top / bottom)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vouch.functions import fixed
-from vouch.operators.quantiles import DIRECT_CELLS, long_form, null_safe, order_statistics
+from vouch.operators.quantiles import DIRECT_CELLS, GROUP_ROWS, long_form, null_safe, order_statistics
 from vouch.session import broadcast_if_small
 from vouch.sources.tables import column
 
@@ -41,13 +41,14 @@ def describe(
     *,
     rows: int | None = None,
     direct_cells: int = DIRECT_CELLS,
+    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """(by..., measure, count, mean, median, min, max, std, q1, q3, iqr, lower_bound, upper_bound, status).
 
     A measure without values has no quartiles and its status is ``failed``.
     """
     keys = [*by, "measure"]
-    quartiles = order_statistics(df, measures, by, rows=rows, direct_cells=direct_cells).drop("n")
+    quartiles = order_statistics(df, measures, by, rows=rows, direct_cells=direct_cells, group_rows=group_rows).drop("n")
     joined = null_safe(basic_statistics(df, measures, by), quartiles, keys, "left")
     iqr = F.col("q3") - F.col("q1")
     return joined.withColumn("iqr", iqr).select(

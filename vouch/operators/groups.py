@@ -11,7 +11,7 @@ from vouch.functions import fixed
 from vouch.functions.numbers import canonical
 from vouch.functions.special import with_f_tail
 from vouch.operators import quantiles
-from vouch.operators.quantiles import DIRECT_CELLS, null_safe
+from vouch.operators.quantiles import DIRECT_CELLS, GROUP_ROWS, null_safe
 from vouch.session import spread_out
 from vouch.sources.tables import column
 
@@ -35,6 +35,7 @@ def group_statistics(
     rows: int | None = None,
     medians: bool = True,
     direct_cells: int = DIRECT_CELLS,
+    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """(by..., measure, dimension, key, count, mean, median, min, max, variance).
 
@@ -67,7 +68,7 @@ def group_statistics(
     cells_rows = None if rows is None else rows * len(dimensions)
     if cells_rows is None:
         cells_rows = df.count() * len(dimensions)
-    middle = quantiles.medians(long, measures, keys, rows=cells_rows, direct_cells=direct_cells)
+    middle = quantiles.medians(long, measures, keys, rows=cells_rows, direct_cells=direct_cells, group_rows=group_rows)
     return null_safe(basics, middle, [*keys, "measure"], "left").select(*shape)
 
 

@@ -3,33 +3,36 @@
 A quartile here is the value at 0-based rank floor((n-1)q + 0.5); the median is
 the mean of the two middle values.
 
-Small inputs: number the values of each group in order and pick the ranks.
-
-Large inputs: sorting a column would shuffle all of it, so its candidates are
-narrowed first.
-  1. one pass of mergeable sketches gives an interval around each target rank;
-  2. one pass counts values into buckets (each interval cut evenly, everything
-     between the intervals its own bucket), with the smallest and largest value
-     of each bucket; running sums over these counts say which bucket really
-     holds the rank.  This step is exact whatever the sketch said;
-  3. one pass counts the distinct values of the chosen buckets only and picks
-     the first value whose running count passes the rank.
-Passes 1 and 2 combine on the map side to a bounded number of rows per group.
+Small groups: number the values of each group in order and pick the ranks.
+
+Large groups: sorting would shuffle all their values, so the ranks are found by radix
+selection.  A round counts values by bucket, on the map side first; running sums over the
+counts say which bucket holds a rank.  A bucket of one value settles it, a small bucket is
+sorted, a large one goes to the next round.  The buckets of the first round are 1024th parts of
+powers of two; the next two rounds read the bit pattern of doubles, whose integer order is
+that of the numbers, down to the last bit.  So every distribution ends there, and a
+round has a bounded number of buckets per group.
+Each group takes its own way: one dominant group does not put the others through rounds.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vouch.functions.numbers import order_key
 from vouch.session import broadcast_if_small, materialise
 from vouch.sources.tables import column
 
-# Cells (rows times columns) up to which the direct form is used.
+# Cells (rows times columns) up to which all groups are sorted without counting them.
 DIRECT_CELLS = 4_000_000
-_QUARTILES = (0.25, 0.5, 0.75)
+# Values of a group, or of a bucket, that are sorted in one task.
+GROUP_ROWS = 100_000
+# Buckets per power of two in the first round; bits that remain unread after each further one.
+FINENESS, ROUNDS = 1024, (21, 0)
 
 
 def ranks(n: Column) -> dict[str, Column]:
@@ -88,16 +91,17 @@ def medians(
     *,
     rows: int | None = None,
     direct_cells: int = DIRECT_CELLS,
+    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """(by..., measure, median), exact.
 
     Small inputs use the built-in exact median, whose state holds the distinct
-    values of a group; larger ones the narrowing form.
+    values of a group; larger ones take the way their group needs.
     """
     if rows is None:
         rows = df.count()
     if rows * len(columns) > direct_cells:
-        return order_statistics(df, columns, by, rows=rows, direct_cells=direct_cells).select(*by, "measure", "median")
+        return order_statistics(df, columns, by, rows=rows, direct_cells=direct_cells, group_rows=group_rows).select(*by, "measure", "median")
     middle = df.groupBy(*by).agg(*[
         F.median(column(c).cast("double")).alias(f"m{i}") for i, c in enumerate(columns)])
     return middle.select(*by, F.inline(F.array(*[
@@ -111,8 +115,9 @@ def order_statistics(
     *,
     rows: int | None = None,
     direct_cells: int = DIRECT_CELLS,
-    accuracy: int = 10_000,
-    slices: int = 1024,
+    group_rows: int = GROUP_ROWS,
+    fineness: int = FINENESS,
+    rounds: Sequence[int] = ROUNDS,
 ) -> DataFrame:
     """(by..., measure, n, q1, median, q3), exact.
 
@@ -125,76 +130,81 @@ def order_statistics(
         rows = df.count()
     if rows * len(columns) <= direct_cells:
         return _pick(long, keys)
+    sizes = materialise(long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "group-sizes")
+    extent = sizes.agg(F.max("n").alias("most"), F.min("n").alias("least")).first()
+    if extent["most"] is None or extent["most"] <= group_rows:
+        return _pick(long, keys)
+    if extent["least"] > group_rows:
+        return _finish(select_ranks(long, keys, ranks, group_rows=group_rows, fineness=fineness, rounds=rounds), keys)
+    large = sizes.filter(F.col("n") > group_rows).select(*keys, F.lit(True).alias("_large"))
+    marked = null_safe(long, broadcast_if_small(large), keys, "left")
+    found = select_ranks(marked.filter("_large").drop("_large"), keys, ranks, group_rows=group_rows, fineness=fineness, rounds=rounds)
+    return _pick(marked.filter("_large is null").drop("_large"), keys).unionByName(_finish(found, keys))
+
+
+def _coarse(value: Column, fineness: int) -> Column:
+    """Bucket of a value: never smaller for a larger value, since logarithms are monotonic."""
+    size = F.abs(value)
+    part = F.floor(F.log2(size) * fineness) + 1100 * fineness
+    part = F.when(size >= float("inf"), F.lit(3000 * fineness) + F.isnan(value).cast("int")).when(size == 0, F.lit(0)).otherwise(part).cast("long")
+    return F.when(value < 0, -part).otherwise(part)
+
+
+def select_ranks(
+    long: DataFrame,
+    keys: Sequence[str],
+    targets: Callable[[Column], Mapping[str, Column]],
+    *,
+    group_rows: int = GROUP_ROWS,
+    fineness: int = FINENESS,
+    rounds: Sequence[int] = ROUNDS,
+) -> DataFrame:
+    """(keys..., n, one column per target): the values at the 0-based ranks that ``targets`` names for a group of n values.
 
-    margin = 4.0 / accuracy
-    wanted = [min(1.0, max(0.0, q + side * margin)) for q in _QUARTILES for side in (-1, 1)]
-    sketch = F.percentile_approx("value", wanted, accuracy)
-    names = [f"{edge}{i}" for i in range(len(_QUARTILES)) for edge in ("lo", "hi")]
-    intervals = materialise(
-        long.groupBy(*keys).agg(sketch.alias("_s"))
-        .select(*keys, *[F.col("_s")[i].alias(name) for i, name in enumerate(names)]),
-        "quantile-intervals",
-    )
-    bucket = F
-    for i in range(len(_QUARTILES)):
-        low, high, value = F.col(f"lo{i}"), F.col(f"hi{i}"), F.col("value")
-        width = F.when(high > low, (value - low) / (high - low)).otherwise(F.lit(0.0))
-        cut = F.least(F.floor(width * slices).cast("int"), F.lit(slices - 1))
-        bucket = bucket.when(value < low, F.lit(i * (slices + 1)))
-        bucket = bucket.when(value <= high, cut + i * (slices + 1) + 1)
-    bucket = bucket.otherwise(F.lit(len(_QUARTILES) * (slices + 1)))
-    counted = (
-        null_safe(long, broadcast_if_small(intervals), keys)
-        .groupBy(*keys, bucket.alias("_bucket"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
-    )
-    part = Window.partitionBy(*keys)
-    order = part.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # At most 3 * (slices + 1) + 1 rows per group reach these windows.
-    counted = (
-        counted.withColumn("_past", F.sum("n").over(order))
-        .withColumn("_total", F.sum("n").over(part))
-        .withColumn("_before", F.col("_past") - F.col("n"))
-    )
-    targets = F.array(*[
-        F.struct(F.lit(name).alias("target"), rank.alias("rank")) for name, rank in ranks(F.col("_total")).items()
-    ])
-    chosen = materialise(
-        counted.withColumn("_hit", F.filter(
-            targets, lambda t: (t["rank"] >= F.col("_before")) & (t["rank"] < F.col("_past"))))
-        .filter(F.size("_hit") > 0)
-        .select(*keys, F.col("_total").alias("total"), "low", "high", "_before", F.inline("_hit")),
-        "quantile-buckets",
-    )
-    settled = chosen.filter(F.col("low") == F.col("high")).select(
-        *keys, "total", "target", F.col("low").alias("value"))
-    # Targets of one bucket share its rows, so rows are matched to buckets, not to targets.
-    open_targets = chosen.filter(F.col("low") < F.col("high"))
-    open_buckets = open_targets.groupBy(*keys, "low", "high", "_before").agg(
-        F.collect_set("rank").alias("_ranks"))  # at most four ranks
-    inside = (
-        null_safe(long, broadcast_if_small(open_buckets), keys)
-        .filter(F.col("value").between(F.col("low"), F.col("high")))
-        .groupBy(*keys, "low", "high", "_before", "value")
-        .agg(F.count(F.lit(1)).alias("n"), F.any_value("_ranks").alias("_ranks"))
-    )
-    local = Window.partitionBy(*keys, "low").orderBy("value").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    picked = (
-        inside.withColumn("_past", F.col("_before") + F.sum("n").over(local))
-        .withColumn("_from", F.col("_past") - F.col("n"))
-        .withColumn("rank", F.explode(F.filter(
-            "_ranks", lambda r: (r >= F.col("_from")) & (r < F.col("_past")))))
-        .select(*keys, "low", "rank", "value")
-    )
-    searched = null_safe(
-        open_targets.select(*keys, "low", "rank", "total", "target"), picked, [*keys, "low", "rank"]
-    ).select(*keys, "total", "target", "value")
-    found = settled.unionByName(searched).groupBy(*keys).agg(
-        F.max("total").alias("n"),
-        *[
-            F.max(F.when(F.col("target") == name, F.col("value"))).alias(name)
-            for name in ("q1", "middle_low", "middle_high", "q3")
-        ],
-    )
-    return _finish(found, keys)
+    ``long`` has (keys..., value) with finite values.  Round by round only the buckets that
+    hold a rank are read on.
+    """
+    buckets = [_coarse(F.col("value"), fineness), *[F.shiftright(order_key(F.col("value")), left) for left in rounds]]
+    settled: list[DataFrame] = []
+    names: list[str] = []
+    chosen: DataFrame | None = None
+    for number, bucket in enumerate(buckets):
+        if chosen is None:
+            counted = long.groupBy(*keys, bucket.alias("_bucket"))
+            part = [*keys]
+        else:
+            # only values in the buckets of the round before
+            inside = null_safe(long.withColumn("_above", buckets[number - 1]), broadcast_if_small(chosen.select(
+                *keys, F.col("_bucket").alias("_above"), "_before", "n", "_ranks")), [*keys, "_above"])
+            counted = inside.groupBy(*keys, "_above", "_before", F.col("n").alias("_n"), "_ranks", bucket.alias("_bucket"))
+            part = [*keys, "_above"]
+        counted = counted.agg(F.count(F.lit(1)).alias("_size"), F.min("value").alias("_low"), F.max("value").alias("_high"))
+        window = Window.partitionBy(*part)
+        past = F.sum("_size").over(window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        if chosen is None:
+            counted = counted.withColumn("n", F.sum("_size").over(window)).withColumn("_past", past)
+            wanted = targets(F.col("n"))
+            names = list(wanted)
+            ranked = F.array(*[F.struct(F.lit(name).alias("target"), rank.alias("rank")) for name, rank in wanted.items()])
+            counted = counted.withColumn("_ranks", ranked)
+        else:
+            counted = counted.withColumn("_past", past + F.col("_before")).withColumnRenamed("_n", "n").drop("_before", "_above")
+        counted = counted.withColumn("_before", F.col("_past") - F.col("_size"))
+        held = F.filter("_ranks", lambda t: (t["rank"] >= F.col("_before")) & (t["rank"] < F.col("_past")))
+        chosen = materialise(counted.withColumn("_ranks", held).filter(F.size("_ranks") > 0).select(
+            *keys, "_bucket", "n", "_before", "_size", "_low", "_high", "_ranks"), "rank-buckets")
+        one = F.col("_low") == F.col("_high")
+        settled.append(chosen.filter(one).select(*keys, "n", F.inline("_ranks"), F.col("_low").alias("value")))
+        small = chosen.filter(~one & (F.col("_size") <= group_rows))
+        sizes = chosen.agg(F.count_if(~one & (F.col("_size") <= group_rows)).alias("small"), F.count_if(~one & (F.col("_size") > group_rows)).alias("large")).first()
+        if sizes["small"]:
+            found = null_safe(long.withColumn("_bucket", bucket), broadcast_if_small(small.select(
+                *keys, "_bucket", "n", "_before", "_ranks")), [*keys, "_bucket"])
+            at = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy("value")) - 1 + F.col("_before")
+            found = found.withColumn("_at", at).withColumn("_ranks", F.filter("_ranks", lambda t: t["rank"] == F.col("_at")))
+            settled.append(found.filter(F.size("_ranks") > 0).select(*keys, "n", F.inline("_ranks"), "value"))
+        if not sizes["large"]:
+            break
+        chosen = chosen.filter(~one & (F.col("_size") > group_rows))
+    return reduce(DataFrame.unionByName, settled).groupBy(*keys).agg(
+        F.max("n").alias("n"), *[F.max(F.when(F.col("target") == name, F.col("value"))).alias(name) for name in names])

@@ -87,7 +87,7 @@ def desc_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("desc_stats_large", _DESC_SQL)
 def desc_stats_large(spark: SparkSession, folder: str) -> DataFrame:
-    return _described(spark, folder, direct_cells=0)
+    return _described(spark, folder, direct_cells=0, group_rows=0)
 
 
 @query("quartiles_nearest", union_sql(
@@ -96,12 +96,29 @@ def desc_stats_large(spark: SparkSession, folder: str) -> DataFrame:
     for c in [*MEASURES, "l_tax"]
 ).replace("SELECT", f"WITH {GAPPY_SQL} SELECT", 1))
 def quartiles_nearest(spark: SparkSession, folder: str) -> DataFrame:
-    # The narrowing form that large tables use, whatever the size of this one.
+    # The search that large groups need, whatever the size of this table.
     return rounded(quantiles.order_statistics(
-        gappy(spark, folder), [*MEASURES, "l_tax"], ["l_returnflag"], direct_cells=0,
+        gappy(spark, folder), [*MEASURES, "l_tax"], ["l_returnflag"], direct_cells=0, group_rows=0,
     ), {"q1": 4, "median": 4, "q3": 4})
 
 
+_SKEWED_SQL = """skewed AS (
+  SELECT CASE WHEN l_quantity < 40 THEN 'bulk' ELSE cast(l_partkey AS varchar) END AS lot, l_extendedprice, l_discount FROM lineitem)"""
+
+
+@query("quartiles_skewed", union_sql(
+    f"SELECT lot, '{c}' AS measure, count({c}) AS n, {r(quartile_sql(c, 0.25), 4, 'q1')}, "
+    f"{r(f'median({c})', 4, 'median')}, {r(quartile_sql(c, 0.75), 4, 'q3')} FROM skewed GROUP BY lot"
+    for c in ["l_extendedprice", "l_discount"]
+).replace("SELECT", f"WITH {_SKEWED_SQL} SELECT", 1))
+def quartiles_skewed(spark: SparkSession, folder: str) -> DataFrame:
+    """One lot holds four fifths of the lines and is searched, thousands of small ones are sorted."""
+    lots = table(spark, folder, "lineitem").withColumn(
+        "lot", F.when(F.col("l_quantity") < 40, F.lit("bulk")).otherwise(F.col("l_partkey").cast("string")))
+    return rounded(quantiles.order_statistics(
+        lots, ["l_extendedprice", "l_discount"], ["lot"], direct_cells=0, group_rows=1000), {"q1": 4, "median": 4, "q3": 4})
+
+
 _FENCES_SQL = f"""
 values_ AS (SELECT event_type AS key, 'value' AS measure, cast(value AS double) AS value FROM events
             UNION ALL SELECT lang, 'n_chars', cast(n_chars AS double) FROM documents),
@@ -127,7 +144,7 @@ def outlier_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("outlier_rows_large", f"WITH {_FENCES_SQL} SELECT key, measure, value, n FROM outliers")
 def outlier_rows_large(spark: SparkSession, folder: str) -> DataFrame:
-    return _outliers(spark, folder, direct_cells=0)
+    return _outliers(spark, folder, direct_cells=0, group_rows=0)
 
 
 @query("outlier_summary", f"""WITH {_FENCES_SQL}
@@ -157,7 +174,7 @@ def group_stats(spark: SparkSession, folder: str) -> DataFrame:
 @query("group_stats_large", _GROUP_SQL)
 def group_stats_large(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(groups.group_statistics(
-        gappy(spark, folder), MEASURES, ["l_returnflag", "l_linestatus"], direct_cells=0).drop("variance"), _GROUP_DIGITS)
+        gappy(spark, folder), MEASURES, ["l_returnflag", "l_linestatus"], direct_cells=0, group_rows=0).drop("variance"), _GROUP_DIGITS)
 
 
 def _anova_sql(view: str, measures: list[str], dimensions: list[str]) -> str:
