@@ -14,7 +14,7 @@ from vouch.operators.insights import EVIDENCE, TREND_FIELDS
 from vouch.operators.series import series_points
 from vouch.plans import planner
 from vouch.plans.pipeline import analyse
-from vouch.sources import reports, uploads
+from vouch.sources import csv_records, reports, uploads
 from vouch.sources.runs import RunStore, duplicate_versions, run_history, version_numbers
 from vouch.sources.tables import read_csv, read_table, safe_projection
 from vouch.operators import report
@@ -218,8 +218,9 @@ def test_csv_with_line_breaks_in_quotes(spark, tmp_path):
     path = tmp_path / "lines.csv"
     path.write_text('a,b\n1,"x\ny"\n2,z\n')
     with pytest.raises(ValueError, match="line break"):
-        read_table(spark, str(path))
-    assert sorted(r["b"] for r in read_table(spark, str(path), multi_line=True).collect()) == ["x\ny", "z"]
+        read_table(spark, str(path), multi_line=False)
+    for how in (None, True):
+        assert sorted(r["b"] for r in read_table(spark, str(path), multi_line=how).collect()) == ["x\ny", "z"]
 
 
 def test_profiles_without_columns_of_a_kind(spark):
@@ -232,3 +233,34 @@ def test_points_are_the_same_at_every_size(spark):
     df = spark.createDataFrame(rows, "d string, v double")
     forms = [sorted(map(tuple, series_points(df, ["v"], "d", direct_rows=n).collect())) for n in (0, 10**6)]
     assert forms[0] == forms[1] and len(forms[0]) == 2 and forms[0][0][4] == 5
+
+
+def test_records_over_many_blocks(spark, tmp_path):
+    """Blocks of a few bytes, values with line breaks, commas, doubled and stray quotes."""
+    rnd = random.Random(11)
+    bits = ["a", ",", "\n", '"', '""', " ", "5\"", "long text", "\n\n", "é"]
+    folder = tmp_path / "many.csv"
+    folder.mkdir()
+    want = []
+    for k in range(3):
+        rows = [["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 6))) for _ in range(3)] for _ in range(60)]
+        with open(folder / f"f{k}.csv", "w", newline="") as file:
+            file.write("x,y,z\n")
+            for i, row in enumerate(rows):
+                cells = [c if i % 3 == 0 and c[:1] not in ('"', "") and not set(c) & set(",\n\r") else '"' + c.replace('"', '""') + '"' for c in row]
+                file.write(",".join(cells) + "\n")
+        want += [tuple(c or None for c in row) for row in rows]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("40b", "700b", before):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = [tuple(c or None for c in r) for r in csv_records.read_records(spark, str(folder)).collect()]
+            assert sorted(map(str, got)) == sorted(map(str, want)), size
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    (tmp_path / "stray.csv").write_text('what,n\n5" pipe,1\n"6"" pipe",2\n')
+    assert not csv_records.has_line_breaks(spark, str(tmp_path / "stray.csv"))
+    assert [tuple(r) for r in read_table(spark, str(tmp_path / "stray.csv")).orderBy("n").collect()] == [('5" pipe', 1), ('6" pipe', 2)]
+    (tmp_path / "open.csv").write_text('a,b\n1,"x\n2,y\n')
+    with pytest.raises(ValueError, match="never closed"):
+        read_table(spark, str(tmp_path / "open.csv"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vouch.functions import fixed
+from vouch.sources.csv_records import has_line_breaks, read_records
 
 _INTEGER_TEXT = r"\A\s*[+-]?\d{1,19}\s*\z"
 _NUMBER_TEXT = r"\A\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\s*\z|\A\s*[+-]?(?i:inf|infinity)\s*\z"
@@ -26,7 +27,7 @@ def column(name: str) -> Column:
 
 
 def read_table(
-    spark: SparkSession, path: str, schema: T.StructType | None = None, *, multi_line: bool = False
+    spark: SparkSession, path: str, schema: T.StructType | None = None, *, multi_line: bool | None = None
 ) -> DataFrame:
     """Read a CSV or Parquet table; anything else is refused.  ``multi_line`` as in ``read_csv``."""
     suffix = PurePosixPath(path.rstrip("/")).suffix.lower()
@@ -37,30 +38,29 @@ def read_table(
     raise ValueError(f"Unsupported file type: {suffix}")
 
 
-def open_quotes(spark: SparkSession, path: str) -> bool:
-    """Whether a line of the text has an odd number of quotes, as a value with a line break does."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
-
-
 def read_csv(
-    spark: SparkSession, path: str, schema: T.StructType | None = None, *, multi_line: bool = False
+    spark: SparkSession, path: str, schema: T.StructType | None = None, *, multi_line: bool | None = None
 ) -> DataFrame:
     """Read a CSV with header.
 
-    ``multi_line`` allows line breaks inside quotes; a file is then read by one task.
-    Without it such a file is an error, never a table of split rows.
+    Values with line breaks are found in a first pass over the text; a file that has some is read
+    by all tasks, see ``csv_records``.  ``multi_line=False`` makes them an error, ``True``
+    leaves them to Spark's own reader, which takes one task per file.
 
     Without a schema the types are inferred in one aggregate pass over the
     text: whole numbers, numbers, booleans, otherwise text.  Dates stay text,
     and the usual missing-value texts become null.
     """
-    if not multi_line and open_quotes(spark, path):
-        raise ValueError("A value holds a line break: read the file with multi_line=True")
-    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", multi_line)
+    spanning = multi_line is not True and has_line_breaks(spark, path)
+    if spanning and multi_line is False:
+        raise ValueError("A value holds a line break: read the file without multi_line=False")
+    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", bool(multi_line))
     if schema is not None:
-        return reader.schema(schema).csv(path)
-    raw = reader.csv(path)
+        if not spanning:
+            return reader.schema(schema).csv(path)
+        texts = read_records(spark, path)
+        return texts.select(*[column(c).try_cast(f.dataType).alias(f.name) for c, f in zip(texts.columns, schema.fields)])
+    raw = read_records(spark, path) if spanning else reader.csv(path)
     present = {
         name: F.when(~column(name).isin(fixed.CSV_MISSING), column(name)) for name in raw.columns
     }

@@ -97,6 +97,15 @@ def csv_scan(spark: SparkSession, folder: str) -> DataFrame:
     return read_csv(spark, path)
 
 
+@query("csv_scan_texts", "SELECT doc_id, nullif(text, '') AS text, lang, source, n_chars FROM documents")
+def csv_scan_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with line breaks and quotes, written as CSV and read again by all tasks."""
+    path = new_folder(spark, "csv")
+    table(spark, folder, "documents").write.options(
+        header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return read_csv(spark, path)
+
+
 @query("run_lookup", """
 SELECT lpad(cast(c_nationkey AS varchar), 3, '0') AS run_id, c_custkey, c_acctbal FROM customer""")
 def run_lookup(spark: SparkSession, folder: str) -> DataFrame:
