@@ -180,6 +180,21 @@ def test_falsified_results_are_found(spark, people, monkeypatch):
     assert all({m["field"] for m in r["verification"]["mismatches"]} == fields for r in found)
 
 
+def test_falsified_groups_are_found(spark, people, monkeypatch):
+    """Groups are checked against the rows: a wrong table fails whatever it claims about itself."""
+    from vouch.operators import groups
+
+    right = groups.group_statistics
+    more = people.unionByName(people).unionByName(people.withColumn("Salary", F.col("Salary") + 500))
+    status = {}
+    for name, change in {"honest": lambda df: df, "mean": lambda df: df.withColumn("mean", F.when(F.col("key") == "IT", F.col("mean") * 3).otherwise(F.col("mean"))),
+                         "missing": lambda df: df.filter("key <> 'Marketing'")}.items():
+        monkeypatch.setattr(groups, "group_statistics", lambda *a, **k: change(right(*a, **k)))
+        found = analyse(more, run_id=name).insights.filter("insight_type = 'group_difference' and source_columns[0] = 'Salary'").collect()
+        status[name] = {r["verification"]["status"] for r in found}
+    assert status == {"honest": {"verified"}, "mean": {"failed"}, "missing": {"failed"}}
+
+
 @pytest.mark.parametrize("level", [1e9, -1e12])
 def test_trends_far_from_zero_are_verified(spark, level):
     """Plain sums of squares would cancel here; a trend is sound wherever its values lie."""

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vouch.functions import fixed
-from vouch.functions.numbers import canonical
+from vouch.functions.numbers import canonical, divide
 from vouch.functions.special import with_f_tail
 from vouch.operators import quantiles
 from vouch.operators.quantiles import DIRECT_CELLS, GROUP_ROWS, null_safe
-from vouch.session import spread_out
+from vouch.session import broadcast_if_small, materialise, spread_out
 from vouch.sources.tables import column
 
 
@@ -72,6 +72,46 @@ def group_statistics(
     return null_safe(basics, middle, [*keys, "measure"], "left").select(*shape)
 
 
+def recounted(df: DataFrame, groups: DataFrame, measures: Sequence[str], dimensions: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """The statistics of ``groups`` from the rows again, for verification: sums of distances from the means that ``groups`` claims.
+
+    Any distance serves as well as the mean, only with fewer digits, so a wrong table is found out
+    and not believed: groups that it lacks, or whose mean or variance it has wrong, come out
+    right.  The median is null.
+    """
+    keys = [*by, "dimension", "key"]
+    claimed = groups.groupBy(*keys).agg(*[F.max(F.when(F.col("measure") == m, F.col("mean"))).alias(f"_m{i}") for i, m in enumerate(measures)])
+    rows = by_dimension(df, measures, dimensions, by)
+    rows = null_safe(rows, broadcast_if_small(materialise(claimed, "claimed-means")), keys, "left")
+    rows = rows.select(*keys, *[c for i, m in enumerate(measures) for value in [column(m).cast("double")]
+                                for c in (value.alias(f"_x{i}"), (value - F.coalesce(f"_m{i}", F.lit(0.0))).alias(f"_d{i}"), F.col(f"_m{i}"))])
+    totals = rows.groupBy(*keys).agg(*[c for i in range(len(measures)) for c in (
+        F.count(f"_x{i}").alias(f"n{i}"), F.sum(f"_d{i}").alias(f"s{i}"), F.sum(F.col(f"_d{i}") * F.col(f"_d{i}")).alias(f"q{i}"),
+        F.coalesce(F.max(f"_m{i}"), F.lit(0.0)).alias(f"c{i}"), F.min(f"_x{i}").alias(f"l{i}"), F.max(f"_x{i}").alias(f"h{i}"))])
+    cells = [
+        F.struct(
+            F.lit(m).alias("measure"), F.col(f"n{i}").alias("count"), (F.col(f"c{i}") + divide(F.col(f"s{i}"), F.col(f"n{i}"))).alias("mean"),
+            F.lit(None).cast("double").alias("median"), F.col(f"l{i}").alias("min"), F.col(f"h{i}").alias("max"),
+            F.greatest(divide(F.col(f"q{i}") - divide(F.col(f"s{i}") * F.col(f"s{i}"), F.col(f"n{i}")), F.col(f"n{i}") - 1), F.lit(0.0)).alias("variance"))
+        for i, m in enumerate(measures)
+    ]
+    return totals.select(*keys, F.inline(F.array(*cells))).select(
+        *by, "measure", "dimension", "key", "count", "mean", "median", "min", "max", F.when(F.col("count") > 1, F.col("variance")).alias("variance"))
+
+
+def counterexamples(claims: DataFrame, groups: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., measure, dimension, key, mean, claim): groups above a claimed highest or below a claimed lowest mean.
+
+    ``claims`` has highest_value and lowest_value per comparison.  A claim holds if it has no
+    counterexample; means are compared in canonical digits.
+    """
+    found = null_safe(groups.filter(F.col("mean").isNotNull()), claims.select(*by, "measure", "dimension", "highest_value", "lowest_value"),
+                      [*by, "measure", "dimension"])
+    mean = canonical("mean")
+    claim = F.when(mean > canonical("highest_value"), F.lit("highest")).when(mean < canonical("lowest_value"), F.lit("lowest"))
+    return found.withColumn("claim", claim).filter(F.col("claim").isNotNull()).select(*by, "measure", "dimension", "key", "mean", "claim")
+
+
 def anova(groups: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """One-way ANOVA of every (measure, dimension) from the statistics of its groups.
 

@@ -339,3 +339,29 @@ def p_value_tails(spark: SparkSession, folder: str) -> DataFrame:
         (1 + F.col("l_suppkey") % 40).cast("double").alias("d2"))
     tails = with_f_tail(cases, "p", "f", "d1", "d2")
     return rounded(tails.select("l_orderkey", "l_linenumber", (-F.log10("p")).alias("minus_log_p")), {"minus_log_p": 6})
+
+
+_CLAIMS_SQL = """
+means AS (SELECT l_returnflag AS key, avg(l_quantity) AS mean, count(l_quantity) AS n, var_samp(l_quantity) AS variance FROM gappy GROUP BY l_returnflag),
+claims AS (SELECT max(mean) AS top, min(mean) AS bottom FROM means)"""
+
+
+@query("group_recount", "WITH " + GAPPY_SQL + "," + _CLAIMS_SQL + f"""
+SELECT key, n AS count, {r('mean', 6, 'mean')}, {r('variance', 6, 'variance')} FROM means""")
+def group_recount(spark: SparkSession, folder: str) -> DataFrame:
+    """Statistics from the rows around claimed means, all of which are wrong and one of which is missing."""
+    view = gappy(spark, folder)
+    table_ = materialise(groups.group_statistics(view, ["l_quantity"], ["l_returnflag"], medians=False), "claimed")
+    wrong = table_.filter("key is not null").withColumn("mean", F.col("mean") * 1.5)
+    return rounded(groups.recounted(view, wrong, ["l_quantity"], ["l_returnflag"]).select("key", "count", "mean", "variance"), {"mean": 6, "variance": 6})
+
+
+@query("group_counterexamples", "WITH " + GAPPY_SQL + "," + _CLAIMS_SQL + f"""
+SELECT key, {r('mean', 6, 'mean')}, 'highest' AS claim FROM means, claims WHERE mean > bottom""")
+def group_counterexamples(spark: SparkSession, folder: str) -> DataFrame:
+    """The lowest group is claimed to be the highest too: all groups above it speak against that."""
+    view = gappy(spark, folder)
+    table_ = materialise(groups.group_statistics(view, ["l_quantity"], ["l_returnflag"], medians=False), "claimed")
+    claims = groups.extremes(table_).withColumn("highest_value", F.col("lowest_value"))
+    again = groups.recounted(view, table_, ["l_quantity"], ["l_returnflag"])
+    return rounded(groups.counterexamples(claims, again).select("key", "mean", "claim"), {"mean": 6})
