@@ -138,6 +138,43 @@ def test_tagger_learns_and_reconciles_windows():
     assert right / wanted > 0.9 and right / found > 0.9
 
 
+def valid_card(rnd):
+    digits = [rnd.randrange(10) for _ in range(15)]
+    last = next(d for d in range(10) if pii.luhn("".join(map(str, [*digits, d]))))
+    return "".join(map(str, [*digits, last]))
+
+
+def test_altered_spans_are_added_and_numbers_left_alone():
+    """Held-out stretches: precision and recall of spans that no rule finds, and none in numbers of other kinds."""
+    rnd = random.Random(21)
+    def line(what):
+        words = [rnd.choice(WORDS[:9]) for _ in range(rnd.randint(12, 20))]
+        words.insert(rnd.randint(3, 9), what)
+        return " ".join(words)
+    def someone():
+        found = person(rnd)
+        return valid_card(rnd) if found.startswith("4539") else found
+    def other():
+        return rnd.choice([str(rnd.randrange(10**9, 10**16)), f"{rnd.randrange(1900, 2030)}", f"{rnd.randrange(9)}.{rnd.randrange(99)}", f'token = "{rnd.randbytes(20).hex()}"'])
+    lines = [line(someone()) for _ in range(500)] + [line(other()) for _ in range(300)]
+    labelled = [(t[a:b], [(k, s - a, e - a) for k, s, e in pii.base_spans(t) if a <= s and e <= b]) for t in lines for a, b in pii.stretches(t)]
+    rnd.shuffle(labelled)
+    model = pii.with_threshold(pii.fit(pii.taught([x for k, x in enumerate(labelled) if k % 5]), 6), pii.taught(labelled[::5], 6))
+    held = [(t, s) for t, s in pii.taught([(t, pii.base_spans(t)) for t in (line(someone()) for _ in range(60))], 9)]
+    wanted = sum(len([x for x in spans if x not in pii.base_spans(t)]) for t, spans in held)
+    added = [x in spans for (t, spans), (base, every) in zip(held, pii.find_spans(model, [t for t, _ in held])) for x in every if x not in base]
+    assert wanted > 50 and sum(added) >= 0.95 * len(added) and sum(added) >= 0.8 * wanted
+    clean = [line(other()) for _ in range(200)]
+    assert sum(len(every) - len(base) for base, every in pii.find_spans(model, clean)) <= 2
+
+
+def test_long_stretches_are_cut_with_an_overlap():
+    text = "12 " * 20_000
+    parts = pii.stretches(text)
+    assert parts[0][0] == 0 and parts[-1][1] == len(text) and max(b - a for a, b in parts) <= pii.LONGEST
+    assert all(b - c == pii.OVERLAP for (_, b), (c, _) in zip(parts, parts[1:]))
+
+
 def test_gradient_of_the_tagger():
     model, rng = pii.Tagger.fresh(1), np.random.default_rng(0)
     x, y = rng.integers(0, 99, (3, 7)), np.array([[0, 1, 2, 2, 0, 3, 4], [0] * 7, [5, 6, 0, 7, 8, 8, 0]])
@@ -516,6 +553,33 @@ def test_a_rare_word_does_not_get_its_buckets_probability(spark):
     assert abs(got[0] - got[99] - np.log(99)) < 1e-4
 
 
+def test_scores_do_not_depend_on_the_partitioning(spark, monkeypatch):
+    """The whole query: words, counts, training in several shards and rounds, scores."""
+    monkeypatch.setattr(pseudo_likelihood, "SHARD_WORDS", 8000)
+    rnd = random.Random(12)
+    rows = [(i, " ".join(rnd.choice(WORDS) + str(rnd.randrange(9)) for _ in range(rnd.randint(0, 300))), "en") for i in range(300)]
+    found = []
+    for parts in (1, 8):
+        texts = pseudo_likelihood.corpus_words(table(spark, rows).repartition(parts))
+        known = pseudo_likelihood.count_words(texts)
+        flat = pseudo_likelihood.train_words(texts, known.total, digits=known.digits)
+        found.append({r["doc_id"]: r["log_prob"] for r in pseudo_likelihood.score_texts(texts, flat, known).collect()})
+    assert known.total > 40000 and all(abs(found[0][k] - found[1][k]) <= 1e-6 * abs(found[0][k]) for k in found[0])
+    assert (flat != pseudo_likelihood.initial()).any()
+
+
+def test_buckets_follow_the_vocabulary(docs):
+    assert [pseudo_likelihood.digits_for(n) for n in (0, 1 << 22, (1 << 22) + 1, 1 << 26, (1 << 26) + 1)] == [3, 3, 4, 4, 5]
+    flat = pseudo_likelihood.initial(digits=4)
+    words, counts = np.arange(0, 65536, 97), np.array([676])
+    squares, first = np.full(len(flat), 1e-8, np.float32), None
+    for _ in range(30):
+        near = pseudo_likelihood.contexts(words, counts, edge=16 ** 4)
+        last = pseudo_likelihood.step(flat, squares, near, words, 0.3, 4)
+        first = last if first is None else first
+    assert abs(first + 4 * np.log(16)) < 0.5 and last > first + 3
+
+
 # -- licences
 
 def test_licences(spark):

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -18,14 +19,16 @@ from workload.registry import query
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
 
-# No kind can occur without one of these characters; stretches of text around them are read.
-TRIGGER = re.compile("[0-9@]")
-CONTEXT = 24
+# No kind can occur without one of these, written out or not; stretches of text around them are read.
+TRIGGER = re.compile(r"[0-9@]|[\[({] ?at ?[\])}]", re.IGNORECASE)
+CONTEXT = 48
 WINDOW, STRIDE = 64, 32
+# Longest stretch worked off at once; longer ones are cut with an overlap, in which both parts see the same.
+LONGEST, OVERLAP = 8192, 192
 # Labelled stretches the network is fitted on, the smallest by a hash of their text.
 SAMPLE = 1500
-# Mean probability a span that the rules don't have must reach to be added.
-CONFIDENCE = 0.95
+# Share of added spans that must be right on held-out stretches, of which there must be so many.
+PRECISION, HELD = 0.97, 20
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -76,7 +79,7 @@ def base_spans(text: str) -> list[Span]:
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
-    """The parts of a text within ``CONTEXT`` characters of a trigger."""
+    """The parts of a text within ``CONTEXT`` characters of a trigger, long ones cut with an overlap."""
     out: list[list[int]] = []
     for m in TRIGGER.finditer(text):
         a, b = max(0, m.start() - CONTEXT), min(len(text), m.end() + CONTEXT)
@@ -84,7 +87,56 @@ def stretches(text: str) -> list[tuple[int, int]]:
             out[-1][1] = b
         else:
             out.append([a, b])
-    return [(a, b) for a, b in out]
+    return [(k, min(k + LONGEST, b)) for a, b in out for k in range(a, max(a + 1, b - OVERLAP), LONGEST - OVERLAP)]
+
+
+# -- labels the rules do not see ------------------------------------------------------------
+
+
+def altered(kind: str, text: str, rnd: random.Random) -> str:
+    """A span as people also write it, so that no base rule finds it whole."""
+    if kind == "email":
+        user, _, domain = text.partition("@")
+        at, dot = rnd.choice([(" [at] ", " [dot] "), ("[at]", "."), (" (at) ", "."), (" @ ", "."), ("(at)", " dot ")])
+        return user + at + domain.replace(".", dot)
+    if kind == "ip":
+        return text.replace(".", rnd.choice([" . ", "[.]", "(.)", ". "]))
+    if kind == "card":
+        digits = re.sub("[^0-9]", "", text)
+        parts = [digits[k:k + 4] for k in range(0, len(digits), 4)]
+        return rnd.choice([".", "/", " - ", "  ", "_"]).join(parts)
+    digits = re.sub("[^0-9]", "", text)
+    return rnd.choice(["00" + digits, f"00{digits[:2]} {digits[2:5]} {digits[5:]}", f"({digits[:3]}) {digits[3:6]}/{digits[6:]}", text.replace(" ", "/").replace("-", "/"), text[1:]])
+
+
+def taught(labelled: list[tuple[str, list[Span]]], seed: int = 5) -> list[tuple[str, list[Span]]]:
+    """Each stretch with spans a second time with its spans altered, and a third time with another span run on to one.
+
+    Rules label what they find; the copies are labelled by how they were made, so the network
+    learns what rules miss.  Stretches without spans teach what is none.
+    """
+    rnd = random.Random(seed)
+    pool = [(k, t[a:b]) for t, spans in labelled for k, a, b in spans]
+    out = list(labelled)
+    for text, spans in labelled:
+        spans = sorted(spans, key=lambda s: s[1])
+        if not spans or any(x[2] > y[1] for x, y in zip(spans, spans[1:])):
+            continue
+        for run_on in (False, True):
+            made, marks, done = "", [], 0
+            for kind, a, b in spans:
+                made += text[done:a]
+                pieces = [(kind, text[a:b])] if run_on else [(kind, altered(kind, text[a:b], rnd))]
+                if run_on and kind == "phone":
+                    pieces.append(rnd.choice([p for p in pool if p[0] in ("phone", "card", "ip")]))
+                for n, (k, piece) in enumerate(pieces):
+                    made += " " * (n > 0)
+                    marks.append((k, len(made), len(made) + len(piece)))
+                    made += piece
+                done = b
+            if not run_on or len(marks) > len(spans):
+                out.append((made + text[done:], marks))
+    return out
 
 
 # -- the network ---------------------------------------------------------------------------
@@ -134,6 +186,7 @@ class Tagger:
     out: np.ndarray    # (2 * HIDDEN, TAGS)
     free: np.ndarray   # (TAGS,)
     move: np.ndarray   # (TAGS, TAGS): CRF transitions
+    least: float = 2.0  # mean probability of its tags from which on a span is added: none until held-out spans set it
 
     @staticmethod
     def fresh(seed: int = 3) -> Tagger:
@@ -302,23 +355,54 @@ def decode(model: Tagger, emit: list[np.ndarray]) -> list[np.ndarray]:
 
 def plausible(kind: str, text: str) -> bool:
     """Whether a span could be of its kind at all."""
-    digits = sum(c in "0123456789" for c in text)
-    return {"email": "@" in text, "ip": digits >= 4 and text.count(".") >= 3, "card": digits >= 13, "phone": digits >= 9}[kind]
+    digits = re.sub("[^0-9]", "", text)
+    if kind == "email":
+        return re.search(r"@|\bat\b", text, re.IGNORECASE) is not None and re.search(r"\.|\bdot\b", text, re.IGNORECASE) is not None
+    if kind == "ip":
+        parts = re.findall("[0-9]+", text)
+        return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
+    return 13 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 9 <= len(digits) <= 17
 
 
-def added_spans(model: Tagger, text: str, parts: list[tuple[int, int]], emit: list[np.ndarray], paths: list[np.ndarray], base: list[Span]) -> list[Span]:
-    """What the network found clear of every base span, with enough confidence."""
+def candidates(model: Tagger, text: str, parts: list[tuple[int, int]], emit: list[np.ndarray], paths: list[np.ndarray], base: list[Span]) -> list[tuple[float, Span]]:
+    """(mean probability, span) of what the network found clear of every base span."""
     taken = sorted((a, b) for _, a, b in base)
-    out: list[Span] = []
-    for (start, _), e, path in zip(parts, emit, paths):
+    out: dict[Span, float] = {}
+    for (start, end), e, path in zip(parts, emit, paths):
         share = np.exp(e - log_sum(e, 1)[:, None])[np.arange(len(path)), path]
         for a in np.flatnonzero(path % 2 == 1).tolist():
             b = a + 1
             while b < len(path) and path[b] == path[a] + 1:
                 b += 1
             kind, s, t = KINDS[int(path[a] - 1) // 2], start + a, start + b
-            if share[a:b].mean() >= CONFIDENCE and plausible(kind, text[s:t]) and not any(x < t and s < y for x, y in taken):
-                out.append((kind, s, t))
+            # what a cut goes through, the part beside it sees whole
+            cut = (s == start and start > 0) or (t == end and end < len(text))
+            if not cut and plausible(kind, text[s:t]) and not any(x < t and s < y for x, y in taken):
+                out[kind, s, t] = max(out.get((kind, s, t), 0.0), float(share[a:b].mean()))
+    return [(p, span) for span, p in out.items()]
+
+
+def read(model: Tagger, texts: list[str], base: list[list[Span]]) -> list[list[tuple[float, Span]]]:
+    """``candidates`` of each text; some stretches at a time, so that memory does not grow with a text."""
+    out: list[list[tuple[float, Span]]] = [[] for _ in texts]
+    waiting: list[tuple[int, tuple[int, int]]] = []
+    size = 0
+
+    def work() -> None:
+        emit = emissions(model, [texts[k][a:b] for k, (a, b) in waiting])
+        for (k, part), e, path in zip(waiting, emit, decode(model, emit)):
+            out[k] += candidates(model, texts[k], [part], [e], [path], base[k])
+        waiting.clear()
+
+    for k, text in enumerate(texts):
+        for part in stretches(text):
+            waiting.append((k, part))
+            size += part[1] - part[0]
+            if size > 4 * LONGEST:
+                work()
+                size = 0
+    if waiting:
+        work()
     return out
 
 
@@ -326,38 +410,66 @@ def find_spans(model: Tagger, texts: list[str]) -> list[tuple[list[Span], list[S
     """(base spans, all spans) of each text, by kind as listed and start."""
     order = {k: i for i, k in enumerate(KINDS)}
     base = [base_spans(t) for t in texts]
-    parts = [stretches(t) for t in texts]
-    flat = [t[a:b] for t, p in zip(texts, parts) for a, b in p]
-    emit = emissions(model, flat)
-    paths = decode(model, emit)
-    out, at = [], 0
-    for text, found, part in zip(texts, base, parts):
-        more = added_spans(model, text, part, emit[at:at + len(part)], paths[at:at + len(part)], found)
-        at += len(part)
-        out.append((found, sorted(found + more, key=lambda s: (order[s[0]], s[1], s[2]))))
+    out = []
+    for found, more in zip(base, read(model, texts, base)):
+        added: list[Span] = []
+        for p, span in sorted(more, key=lambda m: (-m[0], m[1][1:])):  # the surer of two that overlap
+            if p >= model.least and not any(a < span[2] and span[1] < b for _, a, b in added):
+                added.append(span)
+        out.append((found, sorted(found + added, key=lambda s: (order[s[0]], s[1], s[2]))))
     return out
 
 
+def found_spans(model: Tagger, held: list[tuple[str, list[Span]]]) -> list[tuple[float, bool]]:
+    """(mean probability, whether it is labelled) of every candidate in held-out stretches."""
+    texts = [t for t, _ in held]
+    base = [base_spans(t) for t in texts]
+    return [(p, span in spans) for (_, spans), more in zip(held, read(model, texts, base)) for p, span in more]
+
+
+def with_threshold(model: Tagger, held: list[tuple[str, list[Span]]]) -> Tagger:
+    """The model with the least probability at which ``PRECISION`` of the added spans are right on held-out stretches.
+
+    With fewer than ``HELD`` of them nothing is added.
+    """
+    found = sorted(found_spans(model, held), reverse=True)
+    right, least = 0, 2.0
+    for n, (p, hit) in enumerate(found, 1):
+        right += hit
+        if n >= HELD and right >= PRECISION * n:
+            least = p
+    return replace(model, least=least)
+
+
 def labelled_sample(docs: DataFrame, sample: int = SAMPLE) -> list[tuple[str, list[Span]]]:
     """At most ``sample`` stretches with the spans of the base rules, the smallest by hash; stretches without spans too."""
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows = []
         for text in batch.column("text").to_pylist():
             spans = base_spans(text)
-            for a, b in stretches(text):
-                if b - a <= 8 * WINDOW:
+            for low, high in stretches(text):
+                for a in range(low, high, 8 * WINDOW):  # long ones in pieces
+                    b = min(a + 8 * WINDOW, high)
+                    if any(s < a < e or s < b < e for _, s, e in spans):
+                        continue  # a span through a cut would be labelled wrongly
                     inside = [f"{k}:{s - a}:{e - a}" for k, s, e in spans if a <= s and e <= b]
                     rows.append((text[a:b], ",".join(inside)))
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], ["part", "spans"])
 
-    found = map_batches(id_text(docs).select("text").filter(F.col("text").rlike("[0-9@]")), work, "part string, spans string")
+    found = map_batches(id_text(docs).select("text").filter(F.col("text").rlike("(?i)" + TRIGGER.pattern)), work, "part string, spans string")
     rows = found.distinct().orderBy(F.xxhash64("part"), "part", "spans").limit(sample).collect()
     return [(r["part"], [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in r["spans"].split(",") if s)]) for r in rows]
 
 
 def train(docs: DataFrame, sample: int = SAMPLE, epochs: int = 6) -> Tagger:
-    """A tagger fitted on a bounded sample of stretches of ``docs``, labelled by the base rules."""
-    return fit(labelled_sample(docs, sample), epochs)
+    """A tagger fitted on a bounded sample of stretches of ``docs``, labelled by the base rules and by alteration.
+
+    One stretch in five is held out and sets the threshold from which on spans are added.
+    """
+    labelled = labelled_sample(docs, sample)
+    held = labelled[::5]
+    model = fit(taught([x for k, x in enumerate(labelled) if k % 5]), epochs)
+    return with_threshold(model, taught(held, 6))
 
 
 def joined(spans: list[Span]) -> str:
@@ -369,7 +481,7 @@ def scan(docs: DataFrame, model: Tagger) -> DataFrame:
 
     Counts and digest are those of the base rules; ``spans`` holds these and what the
     network adds, as kind:start:end in code points, end exclusive.  Null counts as empty;
-    a text without a digit or @ has no spans.  Repeated rows give repeated rows, a null
+    a text without a trigger has no spans.  Repeated rows give repeated rows, a null
     id stays null, an empty table gives no rows, other columns are not read.
     """
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"]
