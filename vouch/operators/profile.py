@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vouch.functions import fixed
+from vouch.session import broadcast_if_small, materialise
 from vouch.sources.tables import column, dtype_name, is_numeric
 
 _FAMILIES = {"long": ("int8", "int16", "int32", "int64"), "double": ("float32", "float64")}
@@ -144,20 +145,36 @@ def profile_numeric(df: DataFrame) -> DataFrame:
     )
 
 
+# Leading characters of a text that are counted with its hashes, to tell early which of many ties come first.
+_START = 24
+
+
 def top_values(df: DataFrame, k: int = fixed.TOP_VALUES) -> DataFrame:
-    """(column, rank, value, n): the k most frequent values of each text column, ties by value."""
+    """(column, rank, value, n): the k most frequent values of each text column, ties by value.
+
+    Texts are counted by 128 bits of hash, on the map side first, and do not travel for that.  The
+    counts and the first characters say which hashes can be among the k; a second pass fetches
+    their texts.  Should very many ties begin alike, that pass joins by hash instead of broadcasting.
+    """
     texts = df.select(*[column(f.name) for f in df.schema.fields if isinstance(f.dataType, T.StringType)])
     if not texts.columns:
         return df.sparkSession.createDataFrame([], "column string, rank int, value string, n long")
     names = F.array(*[F.lit(c) for c in texts.columns])
-    order = Window.partitionBy("ord").orderBy(F.desc("n"), F.asc("value"))
+    cells = F.array(*[F.struct(F.lit(i).alias("ord"), column(c).alias("value")) for i, c in enumerate(texts.columns)])
+    value = F.col("value")
+    hashed = texts.select(F.inline(cells)).filter(value.isNotNull()).select(
+        "ord", F.xxhash64(value).alias("a"), F.xxhash64(F.lit(1), value).alias("b"), F.substring(value, 1, _START).alias("start"), "value")
+    counts = materialise(hashed.groupBy("ord", "a", "b", "start").agg(F.count(F.lit(1)).alias("n")), "value-counts")
     # Spark keeps k rows per column and task before the shuffle (window group limit).
-    return (
-        value_frequencies(texts)["text"]
-        .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= k)
-        .select(F.element_at(names, F.col("ord") + 1).alias("column"), "rank", "value", "n")
-    )
+    ahead = Window.partitionBy("ord").orderBy(F.desc("n"), F.asc("start"))
+    last = counts.withColumn("_rank", F.row_number().over(ahead)).filter(F.col("_rank") <= k).groupBy("ord").agg(
+        F.max_by(F.struct("n", "start"), "_rank").alias("last"))  # one row per column
+    chosen = counts.join(F.broadcast(last), "ord").filter(
+        (F.col("n") > F.col("last.n")) | ((F.col("n") == F.col("last.n")) & (F.col("start") <= F.col("last.start")))).select("ord", "a", "b", "n")
+    chosen = broadcast_if_small(materialise(chosen, "value-candidates"))
+    found = hashed.select("ord", "a", "b", "value").join(chosen, ["ord", "a", "b"]).groupBy("ord", "a", "b", "n").agg(F.min("value").alias("value"))
+    rank = F.row_number().over(Window.partitionBy("ord").orderBy(F.desc("n"), F.asc("value")))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select(F.element_at(names, F.col("ord") + 1).alias("column"), "rank", "value", "n")
 
 
 def missing_values(df: DataFrame) -> DataFrame:

@@ -65,6 +65,7 @@ def validation_missing(spark: SparkSession, folder: str) -> DataFrame:
     return profile.missing_values(gappy(spark, folder))
 
 
+# Columns of a view, and whole rows of every table.
 DUPLICATE_VIEWS = {
     "documents": ["text", "lang"], "events": ["user_id", "event_type"],
     "lineitem": ["l_orderkey", "l_linenumber"], "conversations": ["role", "text"],
@@ -83,9 +84,30 @@ def validation_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("duplicate_rows_all", union_sql(
+    f"SELECT '{name}' AS table_name, (SELECT count(*) FROM {name}) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {name})) AS duplicate_rows"
+    for name in TABLES
+))
+def duplicate_rows_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of every table that repeat an earlier row in all columns."""
+    return union(_named(name, profile.duplicate_rows(table(spark, folder, name))) for name in TABLES)
+
+
 _SUMMARY_COLUMNS = ["l_orderkey", "l_linenumber", "l_discount", "l_returnflag"]
 
 
+@query("validation_summary_all", union_sql(
+    f"""SELECT '{name}' AS table_name, count(*) > 0 AS valid, count(*) AS row_count, {len(columns)} AS column_count,
+  {' + '.join(f"CASE WHEN count(*) > count({c}) THEN 1 ELSE 0 END" for c in columns)} AS columns_with_gaps,
+  count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {name})) AS duplicate_rows FROM {name}"""
+    for name, columns in TABLES.items()
+))
+def validation_summary_all(spark: SparkSession, folder: str) -> DataFrame:
+    """The verdict on every table with all its columns."""
+    return union(_named(name, profile.validation_summary(df)) for name, df in lake(spark, folder).items()).select(
+        "table_name", "valid", "row_count", "column_count", F.size("missing_values").alias("columns_with_gaps"), "duplicate_rows")
+
+
 @query("validation_summary", f"""
 WITH {GAPPY_SQL},
 view AS (SELECT {', '.join(_SUMMARY_COLUMNS)} FROM gappy),
@@ -142,12 +164,11 @@ _NUMERIC = {
     f"SELECT '{name}' AS table_name, '{c}' AS \"column\", {r(f'min({c})', 4, 'min')}, {r(f'max({c})', 4, 'max')}, "
     f"{r(f'round_even(avg({c}), 4)', 4, 'mean')}, {r(f'median({c})', 4, 'median')}, "
     f"{r(f'round_even(stddev_samp({c}), 4)', 4, 'std')} FROM {name}"
-    for name in ("lineitem", "orders", "part", "documents") for c in _NUMERIC[name]
+    for name in TABLES for c in _NUMERIC[name]
 ))
 def profile_numeric(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(union(
-        _named(name, profile.profile_numeric(normalise(table(spark, folder, name))))
-        for name in ("lineitem", "orders", "part", "documents")
+        _named(name, profile.profile_numeric(normalise(table(spark, folder, name)))) for name in TABLES if _NUMERIC[name]
     ), {"min": 4, "max": 4, "mean": 4, "median": 4, "std": 4})
 
 
@@ -160,12 +181,11 @@ _TEXTS = {
     f"""SELECT '{name}' AS table_name, '{c}' AS "column", rank, md5(value) AS value_md5, n FROM (
   SELECT {c} AS value, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, {c}) AS rank
   FROM {name} WHERE {c} IS NOT NULL GROUP BY {c}) WHERE rank <= 10"""
-    for name in ("lineitem", "orders", "part", "documents", "conversations", "events") for c in _TEXTS[name]
+    for name in TABLES for c in _TEXTS[name]
 ))
 def profile_top_values(spark: SparkSession, folder: str) -> DataFrame:
     return union(
-        _named(name, profile.top_values(table(spark, folder, name)))
-        for name in ("lineitem", "orders", "part", "documents", "conversations", "events")
+        _named(name, profile.top_values(table(spark, folder, name))) for name in TABLES if _TEXTS[name]
     ).select("table_name", "column", "rank", F.md5("value").alias("value_md5"), "n")
 
 
