@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+from itertools import combinations
+
 import pytest
 
 from vouch.operators import correlation, describe, groups
@@ -99,3 +102,22 @@ def test_bar_chart_keeps_both_ends(spark):
     assert (rows[0]["total_groups"], rows[0]["displayed_groups"], rows[0]["sampled"]) == (20, 12, True)
     table, _ = _anova(spark, [("x", [1, 2]), (None, [3, 4])])
     assert [r["label"] for r in groups.bar_groups(table).orderBy("bar").collect()] == ["Missing", "x"]
+
+
+def test_wide_correlations_match_the_pairwise_form(spark, monkeypatch):
+    """Missing cells, a constant column, one constant where the other is present, values far from zero, few rows."""
+    rng = random.Random(14)
+    rows = [tuple([None if rng.random() < 0.2 else rng.gauss(0, 1), 1e9 + rng.random() + i, 5.0, None if i % 2 else 7.0, 1.0 if i % 2 else float(i),
+                   rng.random() if i < 1 else None, None]) for i in range(200)]
+    df = spark.createDataFrame(rows, ", ".join(f"c{i} double" for i in range(7))).repartition(3)
+    pairs = list(combinations(df.columns, 2))
+    found = []
+    for wide in (1, 10**9):
+        monkeypatch.setattr(correlation, "WIDE", wide)
+        found.append({(r["first"], r["second"]): r for r in correlation.correlations(df, pairs).collect()})
+    assert found[0].keys() == found[1].keys() == set(pairs)
+    for pair in pairs:
+        one, two = found[0][pair], found[1][pair]
+        assert (one["sample_size"], one["status"], one["reason"]) == (two["sample_size"], two["status"], two["reason"]), pair
+        for name in ("correlation", "p_value"):
+            assert one[name] == two[name] or one[name] == pytest.approx(two[name], rel=1e-6, abs=1e-9), (pair, name)

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vouch.functions import fixed
 from vouch.functions.special import with_pearson_p
 from vouch.operators.quantiles import null_safe
-from vouch.session import spread_out
+from vouch.session import materialise, spread_out
 from vouch.sources.tables import column
 
 
@@ -45,12 +45,69 @@ def _moments(df: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequence[str])
         "sample_size", F.coalesce("sample_size", F.lit(0)))
 
 
+# Pairs from which on their moments are entries of matrix products instead of expanded rows.
+WIDE = 64
+# Share of a sum of squares below which a variance may be no more than rounding.
+_DOUBTFUL = 1e-12
+_SUMS = ("n", "x", "y", "xx", "yy", "xy")
+
+
+def _matrix_moments(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """``_moments`` of many pairs of one table: a batch of rows is one matrix, with a mask of its missing cells.
+
+    Products of matrix and mask hold the sums of all pairs over the rows where both are
+    present, so a row costs a multiplication and not an expanded row per pair.  Columns are taken
+    relative to their means; pairs whose variance comes out near nothing are computed the other way.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    names = list(dict.fromkeys(c for pair in pairs for c in pair))
+    place = {c: i for i, c in enumerate(names)}
+    first, second = (np.array([place[pair[k]] for pair in pairs]) for k in (0, 1))
+    numbers = df.select(*[column(c).cast("double").alias(f"c{i}") for i, c in enumerate(names)])
+    means = numbers.agg(*[F.avg(F.nanvl(c, F.lit(None).cast("double"))).alias(c) for c in numbers.columns]).first()
+    centre = np.array([means[c] or 0.0 for c in numbers.columns])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(_SUMS), len(pairs)))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns], axis=1) - centre
+            there = ~np.isnan(x)
+            x[~there] = 0.0
+            mask = there.astype(np.float64)
+            sums, squares = x.T @ mask, (x * x).T @ mask
+            for k, (matrix, i, j) in enumerate(((mask.T @ mask, first, second), (sums, first, second), (sums, second, first),
+                                                (squares, first, second), (squares, second, first), (x.T @ x, first, second))):
+                total[k] += matrix[i, j]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(pairs), dtype=np.int32)), *map(pa.array, total)], ["_pair", *_SUMS])
+
+    made = numbers.mapInArrow(work, "_pair int, " + ", ".join(f"{c} double" for c in _SUMS))
+    made = made.groupBy("_pair").agg(*[F.sum(c).alias(c) for c in _SUMS])
+    n = F.col("n")
+
+    def spread(square: str, one: str, two: str) -> Column:
+        return F.try_divide(square, n) - F.try_divide(one, n) * F.try_divide(two, n)
+
+    made = made.select("_pair", n.cast("long").alias("sample_size"), spread("xx", "x", "x").alias("_vx"), spread("yy", "y", "y").alias("_vy"),
+                       spread("xy", "x", "y").alias("_cxy"), F.try_divide("xx", n).alias("_sx"), F.try_divide("yy", n).alias("_sy"))
+    made = materialise(made, "pair-moments")
+    doubtful = (F.col("sample_size") >= 2) & ((F.col("_vx") <= F.col("_sx") * _DOUBTFUL) | (F.col("_vy") <= F.col("_sy") * _DOUBTFUL))
+    again = [pairs[r["_pair"]] for r in made.filter(doubtful).select("_pair").collect()]  # pairs of columns of one table
+    listed = df.sparkSession.createDataFrame([(i, *pair) for i, pair in enumerate(pairs)], "_pair int, first string, second string")
+    sound = listed.join(made.filter(~F.coalesce(doubtful, F.lit(False))), "_pair").select(
+        "first", "second", "sample_size", "_vx", "_vy", "_cxy", F.lit(True).alias("_varies"))
+    return sound.unionByName(_moments(df, again, ())) if again else sound
+
+
 def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequence[str] = ()) -> DataFrame:
     """(by..., first, second, correlation, p_value, sample_size, status, reason).
 
     Each pair uses the rows where both columns are present.
     """
-    moments = _moments(df, pairs, by)
+    moments = _matrix_moments(df, pairs) if not by and len(pairs) >= WIDE else _moments(df, pairs, by)
     size = F.col("sample_size")
     scale = F.sqrt("_vx") * F.sqrt("_vy")
     usable = (size >= 2) & F.col("_varies") & (scale > 0)

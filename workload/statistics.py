@@ -261,6 +261,19 @@ def corr_matrix(spark: SparkSession, folder: str) -> DataFrame:
     ), {"correlation": 8, "p_value": 7})
 
 
+@query("corr_wide", f"""
+WITH cells AS (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding)::double AS v FROM embeddings),
+kept AS (SELECT vec_id, i, v FROM cells WHERE abs(v) >= 0.01)
+SELECT 'd' || a.i AS first, 'd' || b.i AS second, count(*) AS sample_size, 'completed' AS status, {r('corr(a.v, b.v)', 8, 'correlation')}
+FROM kept a JOIN kept b ON a.vec_id = b.vec_id AND a.i < b.i GROUP BY a.i, b.i""")
+def corr_wide(spark: SparkSession, folder: str) -> DataFrame:
+    """All 2,016 pairs of the 64 dimensions of the embeddings, small values missing."""
+    vectors = table(spark, folder, "embeddings").select(*[
+        F.when(F.abs(value) >= 0.01, value).alias(f"d{i}") for i in range(64) for value in [F.get("embedding", F.lit(i)).cast("double")]])
+    pairs = list(combinations([f"d{i}" for i in range(64)], 2))
+    return rounded(correlation.correlations(vectors, pairs).select("first", "second", "sample_size", "status", "correlation"), {"correlation": 8})
+
+
 @query("corr_pairs_complete", f"WITH {GAPPY_SQL} " + union_sql(
     f"SELECT '{a}' AS first, '{b}' AS second, count(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL) AS total_points FROM gappy"
     for a, b in PAIRS))
