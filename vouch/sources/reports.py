@@ -1,15 +1,48 @@
-"""CSV sink for report rows."""
+"""CSV sinks for report rows, and reading them back."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vouch.functions import fixed
+from vouch.sources.csv_records import records
 
 BOM = "﻿"
 
 
+def csv_cell(value: Column) -> Column:
+    """A value as CSV text: quoted where it holds a comma, a quote, a line break or outer white space."""
+    text = F.coalesce(value.cast("string"), F.lit(""))
+    return F.when(text.rlike('[,"\\r\\n]|^\\s|\\s$'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
+
+
+def report_lines(cells: DataFrame, by: str = "run_id") -> DataFrame:
+    """(by, rank, line): report cells as CSV lines, with a marked header line of rank 0 for each run that has any."""
+    body = cells.select(by, F.col("rank").cast("int").alias("rank"), F.concat_ws(",", *[csv_cell(F.col(c)) for c in fixed.REPORT_COLUMNS]).alias("line"))
+    heads = cells.select(by).distinct().select(by, F.lit(0).alias("rank"), F.lit(BOM + ",".join(fixed.REPORT_COLUMNS)).alias("line"))
+    return body.unionByName(heads)
+
+
+def write_reports(cells: DataFrame, path: str, by: str = "run_id") -> None:
+    """Write the reports of many runs, one CSV file per run with header and byte-order mark below ``path/run_id=.../``.
+
+    Lines are made by expressions, so a report costs no more than its few rows: they meet in
+    one task per run, and the runs are dealt over all tasks.
+    """
+    lines = report_lines(cells, by)
+    lines.repartition(by).sortWithinPartitions(by, "rank").select(by, F.col("line").alias("value")).write.mode("overwrite").partitionBy(by).text(path)
+
+
+def read_reports(spark: SparkSession, path: str, by: str = "run_id") -> DataFrame:
+    """(by, the report columns as text) of all reports below ``path``; the run is taken from the folder, as text."""
+    found = records(spark, path).filter((F.col("block") > 0) | (F.col("number") > 1))
+    folder = F.url_decode(F.regexp_extract("file", f"/{by}=([^/]*)/", 1))
+    shape = ", ".join(f"`{c}` string" for c in fixed.REPORT_COLUMNS)
+    rows = found.select(folder.alias(by), F.from_csv("record", shape, {"quote": '"', "escape": '"'}).alias("r"))
+    return rows.select(by, *[F.coalesce(F.col(f"r.{c}"), F.lit("")).alias(c) for c in fixed.REPORT_COLUMNS])
+
+
 def write_report(cells: DataFrame, path: str) -> None:
     """Write report cells as one CSV file per run with header and byte-order mark.
 

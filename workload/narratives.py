@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from vouch.functions import fixed, text
 from vouch.functions.numbers import canonical, numbers_in
 from vouch.operators import describe, explain, report
+from vouch.session import new_folder
+from vouch.sources import reports
 from vouch.sources import runs as run_tables
 from workload.findings import BY, RUNS_SQL, checked, columns_text, runs_sql, scored, top
 from workload.registry import query, r, rounded, table
@@ -172,6 +174,23 @@ def report_rows(spark: SparkSession, folder: str) -> DataFrame:
         "explanation", F.regexp_replace("explanation", NUMBER, "#")), {"confidence_score": 4, "priority_score": 4})
 
 
+@query("report_files", f"""{RUNS_SQL}
+SELECT cast(run_id AS varchar) AS run_id, cast(rank AS varchar) AS rank, insight_type, title, replace(columns, ',', ', ') AS source_columns, method,
+       level AS confidence_level, {_ACTION_SQL} AS recommendation_action, 16 AS cells_equal FROM top_all""")
+def report_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Reports of all runs written as a file each and read back: in how many of the 16 columns a row is what was written."""
+    done = finished(spark, folder)
+    cells = report.report_cells(report.report_rows(done, done, done, BY), BY).withColumn("run_id", F.col("run_id").cast("string"))
+    path = new_folder(spark, "reports")
+    reports.write_reports(cells, path)
+    back = reports.read_reports(spark, path)
+    given = cells.select("run_id", F.col("rank").cast("string").alias("rank"), F.struct(*[
+        F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in fixed.REPORT_COLUMNS]).alias("given"))
+    equal = sum((F.col(c) == F.col(f"given.{c}")).cast("int") for c in fixed.REPORT_COLUMNS)
+    return back.join(given, ["run_id", "rank"]).select(
+        "run_id", "rank", "insight_type", "title", "source_columns", "method", "confidence_level", "recommendation_action", equal.alias("cells_equal"))
+
+
 _EVIDENCE_SQL = {
     "correlation": ["correlation", "direction", "p_value", "sample_size", "strength"],
     "group_difference": [
