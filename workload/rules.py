@@ -134,3 +134,39 @@ def upload_triage(spark: SparkSession, folder: str) -> DataFrame:
     found = uploads.triage(spark, path)
     name = F.regexp_extract("path", "folder=([^/]+)/", 1)
     return found.filter("name like 'part-%'").select(name.alias("folder"), "accepted", "reason").distinct()
+
+
+# Lines of files that are told apart only by reading their first records.
+_ODD_FILES = {"wide": ["a,b", "1,2,3"], "quoted": ["a,b", '"x', 'y,z",1'], "nul": ["\0a,b"], "empty": [""], "open": ["a,b", '1,"x']}
+
+
+@query("upload_files", f"""
+SELECT 'nation-' || c_nationkey || '-' || c_mktsegment AS folder, true AS accepted, CAST(NULL AS varchar) AS reason
+FROM (SELECT c_nationkey, c_mktsegment, unnest(range(cast(ceil(count(*) / {UPLOAD_ROWS}.0) AS bigint))) FROM customer GROUP BY 1, 2)
+UNION ALL
+SELECT kind || '-' || n_nationkey, kind = 'quoted', CASE WHEN kind <> 'quoted' THEN 'The file content does not match its extension.' END
+FROM nation, (SELECT unnest({list(_ODD_FILES)}) AS kind)""")
+def upload_files(spark: SparkSession, folder: str) -> DataFrame:
+    """One verdict per file: customers by nation and segment, and per nation a file of each odd kind."""
+    path = new_folder(spark, "uploads")
+    customers = table(spark, folder, "customer")
+    named = customers.withColumn("folder", F.concat(F.lit("nation-"), F.col("c_nationkey").cast("string"), F.lit("-"), F.col("c_mktsegment")))
+    named.repartition("folder").write.partitionBy("folder").options(header=True, maxRecordsPerFile=UPLOAD_ROWS).csv(path)
+    lines = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(i).alias("at"), F.lit(line).alias("line")) for kind, rows in _ODD_FILES.items() for i, line in enumerate(rows)])
+    odd = table(spark, folder, "nation").select("n_nationkey", F.inline(lines)).withColumn(
+        "folder", F.concat("kind", F.lit("-"), F.col("n_nationkey").cast("string")))
+    odd.repartition("folder").sortWithinPartitions("folder", "at").select("folder", "line").write.mode("append").partitionBy("folder").options(
+        header=False, sep="\u0001", quote="\u0002", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    found = uploads.triage(spark, path)
+    return found.filter("name like 'part-%'").select(F.url_decode(F.regexp_extract("path", "folder=([^/]+)/", 1)).alias("folder"), "accepted", "reason")
+
+
+@query("run_by_id", """
+SELECT '007' AS run_id, c_custkey, c_acctbal FROM customer WHERE c_nationkey = 7""")
+def run_by_id(spark: SparkSession, folder: str) -> DataFrame:
+    """One run of the store, read from its own partition."""
+    store = RunStore(spark, new_folder(spark, "runs"))
+    rows = table(spark, folder, "customer").select(
+        F.lpad(F.col("c_nationkey").cast("string"), 3, "0").alias("run_id"), "c_custkey", "c_acctbal")
+    store.write_stage("customers", rows.repartition("run_id"))
+    return store.read_stage("customers", "007").select("run_id", "c_custkey", "c_acctbal")
