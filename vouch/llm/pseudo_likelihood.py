@@ -32,7 +32,7 @@ BLOCK = 4096
 # Words of a shard, which trains a network of its own in a round, for three digits; more in proportion to the buckets.
 SHARD_WORDS = 1 << 20
 # At most so many of the most frequent words are looked up in arrays; all others are joined.
-FREQUENT = 1 << 16
+FREQUENT = 1 << 18
 
 
 def shapes(digits: int = DIGITS) -> dict[str, tuple[int, ...]]:
@@ -124,8 +124,8 @@ def contexts(words: np.ndarray, counts: np.ndarray, chosen: np.ndarray | None =
     return out
 
 
-def forward(p: dict[str, np.ndarray], around: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hidden state, probabilities of all digits, digits and log-probability of each word."""
+def forward(p: dict[str, np.ndarray], around: np.ndarray, words: np.ndarray, shares: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hidden state, probabilities of all digits (unscaled without ``shares``), digits and log-probability of each word."""
     digits = p["out"].shape[1] // DIGIT
     hidden = p["embed"][0][around[:, 0]]
     for j in range(1, len(OFFSETS)):
@@ -140,7 +140,8 @@ def forward(p: dict[str, np.ndarray], around: np.ndarray, words: np.ndarray) ->
     chosen = logits.reshape(-1)[np.arange(own.size) * DIGIT + own.reshape(-1)].reshape(own.shape)
     np.exp(logits, out=logits)
     total = logits.sum(axis=2, keepdims=True)
-    logits /= total
+    if shares:
+        logits /= total
     return hidden, logits, own, (chosen - np.log(total[:, :, 0])).sum(axis=1)
 
 
@@ -336,7 +337,7 @@ def score_texts(texts: DataFrame, flat: np.ndarray, known: Vocabulary) -> DataFr
         hashes, counts = whole_hashes(batch), np.asarray(batch.column("n_tokens"), np.int64)
         buckets, signed = bucket_of(hashes, digits), hashes.view(np.int64)
         around = contexts(buckets, counts, edge=DIGIT ** digits)
-        scores = [forward(p, around[k:k + BATCH], buckets[k:k + BATCH])[3] for k in range(0, len(buckets), BATCH)]
+        scores = [forward(p, around[k:k + BATCH], buckets[k:k + BATCH], shares=False)[3] for k in range(0, len(buckets), BATCH)]
         each = (np.concatenate(scores) if scores else np.zeros(0)) - totals[buckets]
         at = np.minimum(np.searchsorted(words, signed), max(len(words) - 1, 0))
         found = words[at] == signed if len(words) else np.zeros(len(signed), bool)
