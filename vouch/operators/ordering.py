@@ -13,9 +13,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vouch.functions import fixed
-from vouch.operators.quantiles import null_safe
+from vouch.operators.quantiles import null_safe, ranked_values
 from vouch.session import broadcast_if_small, materialise
 from vouch.sources.tables import column
 
@@ -194,8 +195,13 @@ def scatter_sample(
     """(by..., first, second, sample_index, x, y, total_points, displayed_points, sampled).
 
     Rows where both columns are present, in ``order_by`` order (row fingerprint
-    by default), thinned to ``k`` points.  All pairs share one sort.
+    by default), thinned to ``k`` points.  All pairs share one sort.  Beyond ``direct_rows``
+    rows, one number or time that identifies a row needs no sort: only the ``k`` ranks are searched.
     """
+    if unique and order_by and len(order_by) == 1 and _is_scale(df, order_by[0]):
+        extent = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(_scale(df, order_by[0]))).alias("top")).agg(F.max("n").alias("n"), F.max("top").alias("top")).first()
+        if (extent["n"] or 0) > direct_rows and (extent["top"] or 0.0) < 2.0 ** 53:
+            return _sampled_by_rank(df, pairs, order_by[0], by, k)
     order = [column(c) for c in order_by] if order_by else [row_fingerprint(df)]
     used = list(dict.fromkeys(c for pair in pairs for c in pair))
     at = {c: f"_c{i}" for i, c in enumerate(used)}
@@ -218,3 +224,40 @@ def scatter_sample(
         F.col("n").alias("total_points"), F.least(F.col("n"), F.lit(k)).alias("displayed_points"),
         (F.col("n") > k).alias("sampled"),
     )
+
+
+def _is_scale(df: DataFrame, name: str) -> bool:
+    """Whether a column is a number or a time, which as a double keeps its order and, below 2**53, tells all values apart."""
+    kind = next(f.dataType for f in df.schema.fields if f.name == name)
+    return isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DateType, T.TimestampType))
+
+
+def _scale(df: DataFrame, name: str) -> Column:
+    kind = next(f.dataType for f in df.schema.fields if f.name == name)
+    if isinstance(kind, T.DateType):
+        return F.unix_date(column(name)).cast("double")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(column(name)).cast("double")
+    return column(name).cast("double")
+
+
+def _sampled_by_rank(df: DataFrame, pairs: Sequence[tuple[str, str]], key: str, by: Sequence[str], k: int) -> DataFrame:
+    """``scatter_sample`` by searching the ranks of the sample among the keys of each pair's rows."""
+    cells = F.inline(F.array(*[
+        F.struct(
+            F.lit(i).alias("_pair"), F.when(column(a).isNotNull() & column(b).isNotNull(), _scale(df, key)).alias("value"),
+            column(a).cast("double").alias("x"), column(b).cast("double").alias("y"))
+        for i, (a, b) in enumerate(pairs)]))
+    long = df.select(*by, cells).filter(F.col("value").isNotNull())
+    keys = [*by, "_pair"]
+
+    def wanted(n: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.struct(
+            i.alias("target"), F.when(n > k, F.rint(i * (n - 1) / (k - 1))).when(i < n, i).cast("long").alias("rank")))
+
+    found = materialise(ranked_values(long.select(*keys, "value"), keys, wanted), "sample-ranks")
+    names = F.array(*[F.struct(F.lit(a).alias("first"), F.lit(b).alias("second")) for a, b in pairs])
+    rows = null_safe(long, broadcast_if_small(found), [*keys, "value"]).withColumn("_names", F.element_at(names, F.col("_pair") + 1))
+    return rows.select(
+        *by, F.col("_names.first").alias("first"), F.col("_names.second").alias("second"), F.col("target").alias("sample_index"), "x", "y",
+        F.col("n").alias("total_points"), F.least(F.col("n"), F.lit(k)).alias("displayed_points"), (F.col("n") > k).alias("sampled"))

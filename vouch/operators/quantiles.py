@@ -159,52 +159,73 @@ def select_ranks(
     fineness: int = FINENESS,
     rounds: Sequence[int] = ROUNDS,
 ) -> DataFrame:
-    """(keys..., n, one column per target): the values at the 0-based ranks that ``targets`` names for a group of n values.
+    """(keys..., n, one column per target): ``ranked_values`` with a column for each of a few targets."""
+    names: list[str] = []
+
+    def named(n: Column) -> Mapping[str, Column]:
+        wanted = targets(n)
+        names[:] = wanted
+        return wanted
+
+    found = ranked_values(long, keys, named, group_rows=group_rows, fineness=fineness, rounds=rounds)
+    return found.groupBy(*keys).agg(
+        F.max("n").alias("n"), *[F.max(F.when(F.col("target") == name, F.col("value"))).alias(name) for name in names])
 
-    ``long`` has (keys..., value) with finite values.  Round by round only the buckets that
-    hold a rank are read on.
+
+def ranked_values(
+    long: DataFrame,
+    keys: Sequence[str],
+    targets: Callable[[Column], Mapping[str, Column] | Column],
+    *,
+    group_rows: int = GROUP_ROWS,
+    fineness: int = FINENESS,
+    rounds: Sequence[int] = ROUNDS,
+) -> DataFrame:
+    """(keys..., n, target, rank, value): the values at the 0-based ranks that ``targets`` names for a group of n values.
+
+    ``long`` has (keys..., value).  Round by round only the buckets that hold a rank are read on;
+    a target whose rank is null is left out.  Many targets come as an array of (target, rank).
     """
     buckets = [_coarse(F.col("value"), fineness), *[F.shiftright(order_key(F.col("value")), left) for left in rounds]]
     settled: list[DataFrame] = []
-    names: list[str] = []
     chosen: DataFrame | None = None
+    path: list[str] = []  # the buckets of the rounds so far: one alone need not lie within that of the round before
     for number, bucket in enumerate(buckets):
+        last = f"_b{number}"
+        part = [*keys, *path]
         if chosen is None:
-            counted = long.groupBy(*keys, bucket.alias("_bucket"))
-            part = [*keys]
+            counted = long.groupBy(*keys, bucket.alias(last))
         else:
-            # only values in the buckets of the round before
-            inside = null_safe(long.withColumn("_above", buckets[number - 1]), broadcast_if_small(chosen.select(
-                *keys, F.col("_bucket").alias("_above"), "_before", "n", "_ranks")), [*keys, "_above"])
-            counted = inside.groupBy(*keys, "_above", "_before", F.col("n").alias("_n"), "_ranks", bucket.alias("_bucket"))
-            part = [*keys, "_above"]
+            # only values in the buckets of the rounds before
+            inside = null_safe(long.withColumns(dict(zip(path, buckets))), broadcast_if_small(chosen.select(*part, "_before", "n", "_ranks")), part)
+            counted = inside.groupBy(*part, "_before", F.col("n").alias("_n"), "_ranks", bucket.alias(last))
+        path.append(last)
         counted = counted.agg(F.count(F.lit(1)).alias("_size"), F.min("value").alias("_low"), F.max("value").alias("_high"))
         window = Window.partitionBy(*part)
-        past = F.sum("_size").over(window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        past = F.sum("_size").over(window.orderBy(last).rowsBetween(Window.unboundedPreceding, Window.currentRow))
         if chosen is None:
             counted = counted.withColumn("n", F.sum("_size").over(window)).withColumn("_past", past)
-            wanted = targets(F.col("n"))
-            names = list(wanted)
-            ranked = F.array(*[F.struct(F.lit(name).alias("target"), rank.alias("rank")) for name, rank in wanted.items()])
+            ranked = targets(F.col("n"))
+            if not isinstance(ranked, Column):
+                ranked = F.array(*[F.struct(F.lit(name).alias("target"), rank.cast("long").alias("rank")) for name, rank in ranked.items()])
             counted = counted.withColumn("_ranks", ranked)
         else:
-            counted = counted.withColumn("_past", past + F.col("_before")).withColumnRenamed("_n", "n").drop("_before", "_above")
+            counted = counted.withColumn("_past", past + F.col("_before")).withColumnRenamed("_n", "n").drop("_before")
         counted = counted.withColumn("_before", F.col("_past") - F.col("_size"))
         held = F.filter("_ranks", lambda t: (t["rank"] >= F.col("_before")) & (t["rank"] < F.col("_past")))
         chosen = materialise(counted.withColumn("_ranks", held).filter(F.size("_ranks") > 0).select(
-            *keys, "_bucket", "n", "_before", "_size", "_low", "_high", "_ranks"), "rank-buckets")
+            *keys, *path, "n", "_before", "_size", "_low", "_high", "_ranks"), "rank-buckets")
         one = F.col("_low") == F.col("_high")
         settled.append(chosen.filter(one).select(*keys, "n", F.inline("_ranks"), F.col("_low").alias("value")))
         small = chosen.filter(~one & (F.col("_size") <= group_rows))
         sizes = chosen.agg(F.count_if(~one & (F.col("_size") <= group_rows)).alias("small"), F.count_if(~one & (F.col("_size") > group_rows)).alias("large")).first()
         if sizes["small"]:
-            found = null_safe(long.withColumn("_bucket", bucket), broadcast_if_small(small.select(
-                *keys, "_bucket", "n", "_before", "_ranks")), [*keys, "_bucket"])
-            at = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy("value")) - 1 + F.col("_before")
+            found = null_safe(long.withColumns(dict(zip(path, buckets))), broadcast_if_small(small.select(
+                *keys, *path, "n", "_before", "_ranks")), [*keys, *path])
+            at = F.row_number().over(Window.partitionBy(*keys, *path).orderBy("value")) - 1 + F.col("_before")
             found = found.withColumn("_at", at).withColumn("_ranks", F.filter("_ranks", lambda t: t["rank"] == F.col("_at")))
             settled.append(found.filter(F.size("_ranks") > 0).select(*keys, "n", F.inline("_ranks"), "value"))
         if not sizes["large"]:
             break
         chosen = chosen.filter(~one & (F.col("_size") > group_rows))
-    return reduce(DataFrame.unionByName, settled).groupBy(*keys).agg(
-        F.max("n").alias("n"), *[F.max(F.when(F.col("target") == name, F.col("value"))).alias(name) for name in names])
+    return reduce(DataFrame.unionByName, settled)

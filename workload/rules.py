@@ -10,6 +10,7 @@ from vouch.functions.numbers import finite
 from vouch.functions.text import name_matches
 from vouch.operators import insights, quantiles, report, series
 from vouch.plans import planner
+from vouch.plans.pipeline import analyse
 from vouch.session import new_folder
 from vouch.sources import uploads
 from vouch.sources.runs import RunStore
@@ -170,3 +171,22 @@ def run_by_id(spark: SparkSession, folder: str) -> DataFrame:
         F.lpad(F.col("c_nationkey").cast("string"), 3, "0").alias("run_id"), "c_custkey", "c_acctbal")
     store.write_stage("customers", rows.repartition("run_id"))
     return store.read_stage("customers", "007").select("run_id", "c_custkey", "c_acctbal")
+
+
+@query("whole_run", """
+SELECT 'analysis' AS what, * FROM (VALUES
+  ('descriptive_statistics', 'o_totalprice', 'completed'), ('group_comparison', 'o_totalprice,o_orderstatus', 'completed'),
+  ('group_comparison', 'o_totalprice,o_orderpriority', 'completed'), ('time_series', 'o_totalprice,o_orderdate', 'completed'),
+  ('correlation', 'o_custkey,o_orderkey', 'completed'), ('correlation', 'o_orderkey,o_totalprice', 'completed'),
+  ('correlation', 'o_custkey,o_totalprice', 'completed')) AS t(kind, columns, status)
+UNION ALL SELECT 'lineage', 'sales', 'v1,whole', 'completed'""")
+def whole_run(spark: SparkSession, folder: str) -> DataFrame:
+    """A whole run over ``orders``: what was analysed, and the lineage all its insights carry."""
+    run = analyse(table(spark, folder, "orders"), run_id="whole", dataset_id="sales", version_id="v1", order_by=["o_orderkey"], unique=True)
+    pair = F.array_join(F.array_sort(F.array("first", "second")), ",")
+    done = run.outcomes.select(
+        F.lit("analysis").alias("what"), F.col("type").alias("kind"),
+        F.when(F.col("first").isNotNull(), pair).otherwise(F.concat_ws(",", "measure", "dimension", "date")).alias("columns"), "status")
+    lineage = run.insights.select(F.lit("lineage").alias("what"), F.col("lineage.dataset_id").alias("kind"), F.concat_ws(
+        ",", "lineage.version_id", "lineage.run_id").alias("columns"), F.lit(run.status).alias("status")).distinct()
+    return done.unionByName(lineage)
