@@ -35,7 +35,7 @@ CHUNK, FAN = 32 << 10, 8
 # Words remembered per task, an upper bound on memory and no limit on the text.
 KEPT = 250_000
 # Bytes of text aligned at a time, and bytes of new words encoded at a time.
-SLICE, JOINED = 2 << 20, 128 << 10
+SLICE, JOINED = 1 << 20, 128 << 10
 # Pairs of a group that are written out before they are counted; larger groups are counted by distinct ids.
 PAIRS_OUT = 4096
 # Rows of the most frequent pairs that are broadcast; the others are joined by shuffle.
@@ -131,17 +131,31 @@ def whole_groups(root: Fragment) -> Groups:
     return closed(NO_GROUPS, root) if root.cut else NO_GROUPS
 
 
-def group_texts(groups: Groups) -> list[str]:
-    """``a1,a2|b1`` for each group."""
-    a, b = list(map(str, groups.a.tolist())), list(map(str, groups.b.tolist()))
-    out, i, j = [], 0, 0
-    for n, m in zip(groups.n_a.tolist(), groups.n_b.tolist()):
-        if n == 1 and m == 1:
-            out.append(f"{a[i]}|{b[j]}")
-        else:
-            out.append(f"{','.join(a[i:i + n])}|{','.join(b[j:j + m])}")
-        i, j = i + n, j + m
-    return out
+# Each id with the sign that follows it: another id of its kind, the other kind, or the end of the group.
+SIGNS = ",|;"
+SHOWN: list[str] = []
+
+
+def shown(code: int) -> list[str]:
+    """``id`` and sign for all codes id * 3 + sign up to ``code``."""
+    while len(SHOWN) <= code:
+        SHOWN.extend([f"{len(SHOWN) // 3}{sign}" for sign in SIGNS])
+    return SHOWN
+
+
+def group_texts(groups: Groups, ends: np.ndarray) -> list[str]:
+    """``a1,a2|b1;a3|b2`` for the groups up to each of ``ends``, numbers of groups in ascending order."""
+    n_a, n_b = np.cumsum(groups.n_a), np.cumsum(groups.n_b)
+    codes = np.empty(len(groups.a) + len(groups.b), np.int64)
+    at_a = np.arange(len(groups.a)) + np.repeat(n_b - groups.n_b, groups.n_a)
+    at_b = np.arange(len(groups.b)) + np.repeat(n_a, groups.n_b)
+    codes[at_a], codes[at_b] = groups.a.astype(np.int64) * 3, groups.b.astype(np.int64) * 3
+    codes[at_a[n_a - 1]] += 1
+    codes[at_b[n_b - 1]] += 2
+    pieces = list(map(shown(int(codes.max(initial=0))).__getitem__, codes.tolist()))
+    # where the groups up to each end stop among the pieces
+    stops = np.where(ends > 0, (n_a + n_b)[np.maximum(ends, 1) - 1], 0).tolist() if len(n_a) else [0] * len(ends)
+    return ["".join(pieces[low:high])[:-1] for low, high in zip([0, *stops], stops)]
 
 
 def group_links(groups: Groups) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -255,12 +269,8 @@ class Aligner:
         owner, code, weight = group_links(groups)
         a_at, b_at = np.searchsorted(tokens.a_end, ends, "right"), np.searchsorted(tokens.b_end, ends, "right")
         g_at = np.searchsorted(np.cumsum(groups.n_a), a_at, "right")
-        texts = group_texts(groups)
-        low = 0
-        for word, high in zip(block, g_at.tolist()):
-            self.words[word] = len(self.texts)
-            self.texts.append(";".join(texts[low:high]))
-            low = high
+        self.words.update(zip(block, range(len(self.texts), len(self.texts) + len(block))))
+        self.texts += group_texts(groups, g_at)
         word_of = np.searchsorted(g_at, owner, "right")
         links = np.zeros(len(block), np.int64)
         np.add.at(links, word_of, weight)
@@ -445,7 +455,8 @@ def long_texts(docs: DataFrame, chunk: int, byte_vocabulary: str, piece_vocabula
             groups = whole_groups(unpacked([r[p] for p in PARTS], r["cut"])) if r["fits"] else NO_GROUPS
             owner, code, weight = group_links(groups)
             _, code, weight = summed(np.zeros_like(owner), code, weight)
-            digest = hashlib.sha256(";".join(group_texts(groups)).encode()).hexdigest() if len(groups.n_a) else ""
+            text = group_texts(groups, np.array([len(groups.n_a)]))[0]
+            digest = hashlib.sha256(text.encode()).hexdigest() if text else ""
             made = rows(pa.array([r["doc_id"]], pa.int64()), [np.array([v]) for v in (len(groups.a), len(groups.b), len(groups.n_a), weight.sum())],
                         [digest], np.array([0, len(code)]), code, weight)
             yield pa.RecordBatch.from_arrays([pa.array([r["row"]], pa.int64()), *made.columns], ["row", *made.schema.names])
