@@ -136,10 +136,10 @@ def forward(p: dict[str, np.ndarray], around: np.ndarray, words: np.ndarray, sha
     logits = (hidden @ p["out"]).reshape(-1, digits, DIGIT)
     for k in range(digits):
         logits[:, k] += p[LEVELS[k]][words >> 4 * (digits - k)] if k else p[LEVELS[0]][0]
-    logits -= logits.max(axis=2, keepdims=True)
+    np.clip(logits, -60, 60, out=logits)  # so that sums of exponentials stay within range
     chosen = logits.reshape(-1)[np.arange(own.size) * DIGIT + own.reshape(-1)].reshape(own.shape)
     np.exp(logits, out=logits)
-    total = logits.sum(axis=2, keepdims=True)
+    total = (logits.reshape(-1, DIGIT) @ np.ones(DIGIT, np.float32)).reshape(-1, digits, 1)
     if shares:
         logits /= total
     return hidden, logits, own, (chosen - np.log(total[:, :, 0])).sum(axis=1)
