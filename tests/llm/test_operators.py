@@ -328,6 +328,39 @@ def test_bands_reject_what_is_unlike_its_language(spark):
     assert got[98]["base_failed"] and got[97]["base_failed"] and got[97]["perplexity"] == 1.0
 
 
+def test_the_model_is_of_real_characters(spark):
+    """Words that differ only in capitals, marks or letters of other scripts differ; before, their classes were the same."""
+    rnd = random.Random(5)
+    syllables = ["ba", "ne", "ro", "\u4e2d", "\u00e9t", "\U0001f600"]
+    def prose(n=70): return " ".join("".join(rnd.choice(syllables) for _ in range(rnd.randint(1, 3))) + rnd.choice(["", "", "."]) for _ in range(n))
+    texts = [prose() for _ in range(40)]
+    odd = [texts[0].upper(), texts[0].replace(" ", "@ "), texts[0].replace("\u4e2d", "\u56fd"), texts[0].replace(" ", "% "), "too short", None]
+    docs = table(spark, [(i, t, "en") for i, t in enumerate(texts)] + [(100 + i, t, "en") for i, t in enumerate(odd)])
+    got = {r["doc_id"]: r for r in quality.quality(docs).collect()}
+    assert len({round(got[i]["perplexity"], 6) for i in (0, 100, 101, 102, 103)}) == 5
+    assert not got[103]["kept"] and not got[103]["base_failed"] and all(got[i]["kept"] for i in range(40))
+    # Counted in Spark over the reference texts, as fitted to plain counts of them.
+    reference = [t for t in [*texts, *odd[:3]] if quality.is_reference(t)]
+    assert len(reference) == 43 and not quality.is_reference(odd[3])
+    plain: dict = {}
+    for t in reference:
+        units = np.frombuffer(("   " + t).encode("utf-16-le"), np.uint16).tolist()
+        for k in range(len(units) - 3):
+            key = sum(u << 16 * (3 - j) for j, u in enumerate(units[k:k + 4]))
+            plain[key] = plain.get(key, 0) + 1
+    want = quality.fit(np.array(list(plain), np.uint64), np.array(list(plain.values())), 16)
+    model = quality.language_model(docs)
+    keys = np.sort(np.array(list(plain), np.uint64))
+    asked = np.concatenate((keys, keys ^ np.uint64(1), keys ^ np.uint64(1 << 60)))
+    assert np.allclose(model.probability(asked), want.probability(asked), rtol=1e-5)
+    # A model that holds fewer n-grams is still a distribution.
+    small = quality.language_model(docs, kept=40)
+    assert 0 < len(small.levels[-1].keys) <= 40
+    for context in (0x0020_0062_0061, 0x0061_006E_0065, 0x4E2D_4E2D_4E2D):
+        every = np.uint64(context << 16) | np.arange(1 << 16, dtype=np.uint64)
+        assert abs(small.probability(every).sum() - 1) < 1e-4 and abs(model.probability(every).sum() - 1) < 1e-4
+
+
 # -- packing
 
 @pytest.mark.parametrize("capacity", [40, 300])
