@@ -7,6 +7,10 @@ multiplied through many ``count(distinct)`` branches.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,10 +87,38 @@ def value_frequencies(df: DataFrame, family: str | None = None) -> dict[str, Dat
     return out
 
 
+# Cells that a task folds at a time before they travel.
+FOLDED_CELLS = 1 << 21
+
+
+def folded_cells(batches: Iterator[pa.RecordBatch], most: int = FOLDED_CELLS) -> Iterator[pa.RecordBatch]:
+    """(ord, a, b, n): equal cells (ord, a, b) of about ``most`` in a row put together, in memory that does not grow."""
+    def fold() -> Iterator[pa.RecordBatch]:
+        ord_, a, b = (np.concatenate(part) for part in zip(*held))
+        at = np.argsort(a)
+        ord_, a, b = ord_[at], a[at], b[at]
+        first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (ord_[1:] != ord_[:-1]))))
+        columns = [ord_[first], a[first], b[first], np.diff(first, append=len(a))]
+        for start in range(0, len(first), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(c[start:start + (1 << 16)]) for c in columns], ["ord", "a", "b", "n"])
+
+    held: list[tuple[np.ndarray, ...]] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns))
+        if sum(len(part[0]) for part in held) >= most:
+            yield from fold()
+            held = []
+    if held:
+        yield from fold()
+
+
 def hashed_counts(df: DataFrame) -> DataFrame:
     """(ord, non_null, unique_count) of every column and, at ord -1, the number of rows, in one scan.
 
-    Values go by two 64-bit hashes, so that long texts are not shuffled to be counted.
+    Values go by two 64-bit hashes, so that long texts are not shuffled to be counted.  Before
+    they travel, equal ones are put together in pieces of the scan and not in a table of all of its
+    task's distinct values, which grows with the rows of a task.
     """
     cells = [F.struct(F.lit(-1).alias("ord"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))]
     for i, field in enumerate(df.schema.fields):
@@ -97,7 +129,8 @@ def hashed_counts(df: DataFrame) -> DataFrame:
         cells.append(F.when(value.isNotNull(), F.struct(
             F.lit(i).alias("ord"), F.xxhash64(value).alias("a"), F.xxhash64(F.lit(1), value).alias("b"))))
     values = df.select(F.explode(F.array(*cells)).alias("v")).filter("v is not null").select("v.*")
-    return values.groupBy("ord", "a", "b").agg(F.count(F.lit(1)).alias("n")).groupBy("ord").agg(
+    folded = values.mapInArrow(folded_cells, "ord int, a long, b long, n long").repartition("ord", "a", "b")
+    return folded.groupBy("ord", "a", "b").agg(F.sum("n").alias("n")).groupBy("ord").agg(
         F.sum("n").alias("non_null"), F.count(F.lit(1)).alias("unique_count"))
 
 

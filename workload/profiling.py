@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vouch.functions import fixed
 from vouch.operators import privacy, profile, roles
 from vouch.plans import planner
+from vouch.session import tasks_for
 from vouch.sources.tables import normalise, safe_projection
 from workload.registry import query, r, rounded, table, union, union_sql
 from workload.tables import (
@@ -139,8 +140,12 @@ _PROFILE_SQL = union_sql(
 
 def lake_catalogue(spark: SparkSession, folder: str) -> DataFrame:
     """Catalogue of all driver tables with roles."""
-    return shared(spark, folder, "lake-catalogue", lambda: roles.with_roles(union(
-        _named(name, profile.profile_columns(df)) for name, df in lake(spark, folder).items())))
+    tables = lake(spark, folder)
+    # Counts from the footers; a row has several values, most of which are met before.
+    largest = union(df.agg(F.count(F.lit(1)).alias("rows")) for df in tables.values()).agg(F.max("rows")).first()[0]
+    with tasks_for(spark, largest):
+        return shared(spark, folder, "lake-catalogue", lambda: roles.with_roles(union(
+            _named(name, profile.profile_columns(df)) for name, df in tables.items())))
 
 
 @query("profile_columns", f"""
