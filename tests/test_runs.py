@@ -285,3 +285,59 @@ def test_records_over_many_blocks(spark, tmp_path):
     (tmp_path / "open.csv").write_text('a,b\n1,"x\n2,y\n')
     with pytest.raises(ValueError, match="never closed"):
         read_table(spark, str(tmp_path / "open.csv"))
+
+
+def test_cells_of_a_scan_are_folded_in_pieces(spark):
+    """A task held all its distinct values before; now it passes on what it has after so many cells."""
+    import numpy as np
+    import pyarrow as pa
+
+    from vouch.operators import profile
+
+    read = []
+
+    def batches():
+        rng = np.random.default_rng(3)
+        for i in range(40):
+            read.append(i)
+            cells = [rng.integers(0, 3, 100).astype(np.int32), rng.integers(-4, 4, 100), rng.integers(0, 2, 100)]
+            seen.extend(zip(*(c.tolist() for c in cells)))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], ["ord", "a", "b"])
+
+    seen: list = []
+    found: dict = {}
+    ahead = []
+    for piece in profile.folded_cells(batches(), most=500):
+        ahead.append(len(read))
+        for o, a, b, n in zip(*(c.to_pylist() for c in piece.columns)):
+            found[o, a, b] = found.get((o, a, b), 0) + n
+    assert found == {cell: seen.count(cell) for cell in set(seen)}
+    assert ahead == list(range(5, 41, 5))
+    df = spark.createDataFrame([(i % 7 or None, float(i % 3), f"t{i}") for i in range(500)], "a int, b double, c string")
+    got = {r["ord"]: (r["non_null"], r["unique_count"]) for r in profile.hashed_counts(df).collect()}
+    assert got == {-1: (500, 1), 0: (428, 6), 1: (500, 3), 2: (500, 500)}
+
+
+def test_written_tables_get_tasks_by_their_rows(spark):
+    from vouch.session import TASK_ROWS, tasks_for
+
+    name = "spark.sql.shuffle.partitions"
+    given = spark.conf.get(name)
+    with tasks_for(spark, 9 * TASK_ROWS + 1):
+        assert spark.conf.get(name) == "10"
+    with tasks_for(spark, 1):
+        assert spark.conf.get(name) == given
+    assert spark.conf.get(name) == given
+
+
+def test_runs_are_correlated_without_a_join_and_keep_empty_pairs(spark):
+    """The pairs of a run came by a join of two shuffled tables; rows without both values count for none."""
+    from vouch.operators.correlation import correlations
+
+    rows = [("a", float(i), 2.0 * i, None) for i in range(5)] + [(None, 1.0, None, 3.0), (None, 2.0, 1.0, 4.0)] + [("c", None, None, None)]
+    df = spark.createDataFrame(rows, "run string, x double, y double, z double")
+    made = correlations(df, [("x", "y"), ("x", "z")], ["run"])
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["run"], r["second"]): (r["sample_size"], r["correlation"], r["status"]) for r in made.collect()}
+    assert {k: v[0] for k, v in got.items()} == {("a", "y"): 5, ("a", "z"): 0, (None, "y"): 1, (None, "z"): 2, ("c", "y"): 0, ("c", "z"): 0}
+    assert abs(got["a", "y"][1] - 1) < 1e-9 and got["a", "z"][2] == "insufficient_data" and abs(got[None, "z"][1] - 1) < 1e-9
