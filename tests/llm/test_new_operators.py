@@ -254,3 +254,23 @@ def test_queries_return_a_row_for_every_document(spark):
     got = queries()["op13_token_alignment"](spark, folder)
     assert plain(got, *got.columns) == sorted(plain_alignment(rows), key=str)
     assert got.select(F.sum("n_best")).first()[0] > 0
+
+
+def test_bpe_looks_up_a_word_once():
+    """Words that the texts of a slice repeat are looked up once and copied as arrays."""
+    from vouch.llm.bpe import Encoder, vocabulary_path
+
+    class Counted(dict):
+        asked = 0
+
+        def __getitem__(self, word):
+            Counted.asked += 1
+            return super().__getitem__(word)
+
+    encoder = Encoder(vocabulary_path())
+    encoder.words = Counted()
+    texts = ["Some words, café and don't\x00 again <|endoftext|>"] * 500 + [None, "", " a\x1cb\n", "漢字 İx"]
+    want = [np.array(encoder.whole.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert encoder.encode_texts(texts[:-2]) == want[:-2]  # no separators, split by the compute library
+    assert encoder.encode_texts(texts) == want
+    assert Counted.asked < 100

@@ -18,6 +18,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from vouch.llm.common import documents, id_text, map_batches
@@ -29,7 +30,7 @@ LONG, LEAF = 256, 128
 # Distinct pieces kept per task, an upper bound on memory and no limit on the text.
 KEPT = 600_000
 # Bytes of text split into words at a time.
-SLICE = 2 << 20
+SLICE = 8 << 20
 
 # Below U+0250 the letters, numbers and case pairs are the same in every Unicode version
 # and no combining mark occurs, so pre-tokens can be found without the library.  U+0130
@@ -39,6 +40,8 @@ _LETTERS = "".join(chr(c) for c in range(0x250) if unicodedata.category(chr(c))[
 _NUMBERS = "".join(chr(c) for c in range(0x250) if unicodedata.category(chr(c))[0] == "N")
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"  # fixed values of the vocabulary's pattern
 PRE_TOKEN = re.compile(f"{CONTRACTIONS}|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}]+")
+# The same over many words at once, one a line.
+PRE_TOKENS = re.compile(f"\n|{CONTRACTIONS}|[{_LETTERS}]+|[{_NUMBERS}]|[^\n{_LETTERS}{_NUMBERS}]+")
 SEPARATORS = re.compile("[\x1c-\x1f]")  # white space to str.split, but not to the pattern
 WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
@@ -50,6 +53,19 @@ def byte_symbols() -> dict[int, str]:
     return {b: chr(b) if b in shown else chr(next(spare)) for b in range(256)}
 
 
+def texts_of(values: pa.Array) -> list[str]:
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
+def gathered(found: list[bytes], at: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The ids of ``found[i]`` for every i of ``at``, side by side, and where each begins, with the end."""
+    ids = np.frombuffer(b"".join(found), "<u4")
+    sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+    firsts, taken = np.cumsum(sizes) - sizes, sizes[at]
+    stops = np.concatenate(([0], np.cumsum(taken)))
+    return ids[np.arange(stops[-1]) + np.repeat(firsts[at] - stops[:-1], taken)].tobytes(), stops
+
+
 class Encoder:
     """Encodes texts exactly as the tokenizers library does with the same file, without special tokens added."""
 
@@ -97,7 +113,11 @@ class Encoder:
         if len(self.pieces) > KEPT:
             self.pieces.clear()
         new = set().union(*texts).difference(self.words)
-        taken = {word: self.pre_tokens(word) for word in new}
+        plain = [word for word in new if (word.isascii() or PLAIN.fullmatch(word)) and not ("<" in word and self.special)]
+        self.learn_plain(plain)
+        if len(plain) == len(new):
+            return
+        taken = {word: self.pre_tokens(word) for word in new.difference(plain)}
         missing = {p for parts in taken.values() for p in parts if isinstance(p, str)}.difference(self.pieces)
         self.encode_pieces(missing)
         pieces = self.pieces
@@ -107,6 +127,21 @@ class Encoder:
             else:
                 self.words[word] = b"".join([pieces[p] if isinstance(p, str) else np.uint32(p).tobytes() for p in parts])
 
+    def learn_plain(self, words: list[str]) -> None:
+        """``learn`` for words that need no library to be taken apart: they are, all together."""
+        if not words:
+            return
+        parts = pa.array(PRE_TOKENS.findall("\n".join([*words, ""]).lower()), pa.large_string()).dictionary_encode()
+        distinct, at = texts_of(parts.dictionary), np.asarray(parts.indices)
+        end = distinct.index("\n")
+        ends = np.flatnonzero(at == end)
+        # Printable ASCII characters stand for themselves.
+        distinct = [p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(self.symbols) for p in distinct]
+        self.encode_pieces(set(distinct[:end] + distinct[end + 1:]).difference(self.pieces))
+        data, stops = gathered([b"" if i == end else self.pieces[p] for i, p in enumerate(distinct)], at)
+        cuts = (4 * stops[ends]).tolist()
+        self.words.update(zip(words, [data[a:b] for a, b in zip([0, *cuts], cuts)]))
+
     def pre_tokens(self, word: str) -> list[str | int]:
         """Pre-tokens of a word in byte symbols, and ids of special tokens written out in it."""
         if self.special_pattern is not None and "<" in word and self.special_pattern.search(word):
@@ -189,12 +224,25 @@ class Encoder:
         """Ids of a text whose words were learned, as little-endian unsigned 32-bit integers."""
         return b"".join(map(self.words.__getitem__, words))
 
-    def encode_texts(self, texts: Iterable[str]) -> list[bytes]:
+    def encode_texts(self, texts: pa.Array | Iterable[str | None]) -> list[bytes]:
+        """Ids of each text; null counts as empty.  A word is looked up once, however often the texts have it."""
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()), "")
         gc.disable()  # many small objects and no cycles: collections would only walk them again and again
         try:
-            split = [self.split(t) for t in texts]
-            self.learn(split)
-            return [self.encode(words) for words in split]
+            # The compute library splits where str.split does, so separators that are no white space here go another way.
+            if pc.any(pc.match_substring_regex(texts, "[\\x1c-\\x1f]")).as_py():
+                split = pa.array([self.split(t) for t in texts.to_pylist()], pa.large_list(pa.large_string()))
+            else:
+                split = pc.utf8_split_whitespace(texts)
+            flat = split.flatten().dictionary_encode()
+            ends = np.asarray(split.offsets)
+            words = texts_of(flat.dictionary)
+            if "" in words:  # at the ends of a text
+                self.words[""] = b""
+            self.learn([words])
+            data, stops = gathered([self.words[w] for w in words], np.asarray(flat.indices))
+            cuts = (4 * stops[ends - ends[0]]).tolist()
+            return [data[a:b] for a, b in zip(cuts, cuts[1:])]
         finally:
             gc.enable()
 
@@ -219,7 +267,7 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         if not kept:
             kept.append(Encoder(vocabulary_path(vocabulary)))
-        ids = kept[0].encode_texts(batch.column("text").to_pylist())
+        ids = kept[0].encode_texts(batch.column("text"))
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array([kept[0].decode(i) for i in ids], pa.string())],
             ["doc_id", "ids", "decoded"])
@@ -233,7 +281,7 @@ def encoded_digests(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         if not kept:
             kept.append(Encoder(vocabulary_path(vocabulary)))
-        ids = kept[0].encode_texts(batch.column("text").to_pylist())
+        ids = kept[0].encode_texts(batch.column("text"))
         yield pa.RecordBatch.from_arrays([
             batch.column("doc_id"), pa.array([len(i) // 4 for i in ids], pa.int64()),
             pa.array([hashlib.sha256(i).hexdigest() for i in ids]),

@@ -36,7 +36,7 @@ def _pieces(docs: DataFrame, capacity: int, vocabulary: str, end_id: int, with_i
         if not kept:
             kept.append(Encoder(vocabulary_path(vocabulary)))
         rows: list[tuple] = []
-        for doc_id, ids in zip(batch.column("doc_id").to_pylist(), kept[0].encode_texts(batch.column("text").to_pylist())):
+        for doc_id, ids in zip(batch.column("doc_id").to_pylist(), kept[0].encode_texts(batch.column("text"))):
             ids += end
             for number, at in enumerate(range(0, len(ids), 4 * capacity)):
                 part = ids[at:at + 4 * capacity]
