@@ -194,7 +194,8 @@ def explain_ranked(
     local = explain_local(ranked, by).select(
         *keys, F.col("explanation").alias("_local"), F.col("status").alias("_local_status"),
         F.col("unsupported_numbers").alias("_local_numbers"))
-    joined = null_safe(ranked, local, keys, "left")
+    # Texts are wider than Spark guesses from the size of their files, so they are not for broadcast.
+    joined = null_safe(ranked, local.hint("merge"), keys, "left")
     if candidates is None or limit == 0:
         use = F.lit(False)
         joined = joined.withColumn("_offered_text", F.lit(None).cast("string"))
