@@ -29,8 +29,8 @@ VOCABULARY = "word_bpe_49k.json"
 LONG, LEAF = 256, 128
 # Distinct pieces kept per task, an upper bound on memory and no limit on the text.
 KEPT = 600_000
-# Bytes of text split into words at a time.
-SLICE = 8 << 20
+# Bytes of text split into words at a time, and new words taken apart at a time.
+SLICE, BLOCK = 2 << 20, 50_000
 
 # Below U+0250 the letters, numbers and case pairs are the same in every Unicode version
 # and no combining mark occurs, so pre-tokens can be found without the library.  U+0130
@@ -114,7 +114,8 @@ class Encoder:
             self.pieces.clear()
         new = set().union(*texts).difference(self.words)
         plain = [word for word in new if (word.isascii() or PLAIN.fullmatch(word)) and not ("<" in word and self.special)]
-        self.learn_plain(plain)
+        for start in range(0, len(plain), BLOCK):
+            self.learn_plain(plain[start:start + BLOCK])
         if len(plain) == len(new):
             return
         taken = {word: self.pre_tokens(word) for word in new.difference(plain)}
@@ -129,8 +130,6 @@ class Encoder:
 
     def learn_plain(self, words: list[str]) -> None:
         """``learn`` for words that need no library to be taken apart: they are, all together."""
-        if not words:
-            return
         parts = pa.array(PRE_TOKENS.findall("\n".join([*words, ""]).lower()), pa.large_string()).dictionary_encode()
         distinct, at = texts_of(parts.dictionary), np.asarray(parts.indices)
         end = distinct.index("\n")
@@ -273,7 +272,7 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame
             ["doc_id", "ids", "decoded"])
 
     kept: list[Encoder] = []  # one for each task
-    return map_batches(id_text(docs), work, "doc_id long, ids binary, decoded string", SLICE)
+    return map_batches(id_text(docs), work, "doc_id long, ids binary, decoded string", SLICE, kept)
 
 
 def encoded_digests(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -289,7 +288,7 @@ def encoded_digests(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         ], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kept: list[Encoder] = []
-    return map_batches(id_text(docs), work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", SLICE)
+    return map_batches(id_text(docs), work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", SLICE, kept)
 
 
 @query("op3_bpe")

@@ -49,7 +49,7 @@ def _pieces(docs: DataFrame, capacity: int, vocabulary: str, end_id: int, with_i
 
     kept: list[Encoder] = []
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
-    return map_batches(id_text(docs), work, schema, SLICE)
+    return map_batches(id_text(docs), work, schema, SLICE, kept)
 
 
 def price(values: np.ndarray, capacity: int) -> np.ndarray:
