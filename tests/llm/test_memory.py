@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pyarrow as pa
 
-from vouch.llm import bpe, common
+from vouch.llm import bpe, common, language
 
 
 class Caught:
@@ -52,3 +52,15 @@ def test_new_words_are_learned_in_blocks(monkeypatch):
     want = [np.array(encoder.whole.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     assert encoder.encode_texts(texts) == want
     assert max(sizes) <= 7 and sum(sizes) == 23
+
+
+def test_language_slices_are_bounded(spark, monkeypatch):
+    """A word has a score for each language, so fewer bytes are labelled at a time than elsewhere."""
+    sizes, words_of = [], language.words_of
+    monkeypatch.setattr(language, "words_of", lambda texts, alphabet: (sizes.append(sum(map(len, texts))), words_of(texts, alphabet))[1])
+    monkeypatch.setattr(language, "map_batches", lambda rows, *args: common.map_batches(Caught(), *args))
+    model = language.Model(["en"], np.zeros((language.BUCKETS, 1), np.float32), np.ones((language.SCRIPTS, 1), bool))
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    texts = ["some words " * 10_000] * 30
+    out = list(language.label_spans(docs, model).run(iter([batch(texts)])))
+    assert sum(b.num_rows for b in out) == 30 and max(sizes) <= 1 << 20

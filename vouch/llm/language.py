@@ -11,10 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vouch.llm.common import documents, map_batches, text_or_empty
+from vouch.llm.common import documents, give_back, map_batches, text_or_empty
 from workload.registry import query
 
 BUCKETS = 1 << 16
+# Bytes of text labelled at a time: a word takes some hundred bytes of scores.
+SLICE = 1 << 20
 # Log-likelihood that a change of language inside a text costs.
 SWITCH = 25.0
 # A language is a candidate for a script that holds this share of its training letters.
@@ -100,7 +102,7 @@ def count_features(docs: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alphabet, totals = Alphabet(), {}
         for batch in batches:
-            step = max(1, batch.num_rows * (4 << 20) // max(batch.nbytes, 1))
+            step = max(1, batch.num_rows * SLICE // max(batch.nbytes, 1))
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 by_lang: dict[str, list[str]] = {}
@@ -114,6 +116,7 @@ def count_features(docs: DataFrame) -> DataFrame:
         for lang, total in totals.items():
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(total[at])], ["lang", "feature", "n"])
+        give_back()
 
     rows = docs.select(F.col("lang").cast("string").alias("lang"), text_or_empty().alias("text")).filter("lang is not null")
     return rows.mapInArrow(work, "lang string, feature long, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
@@ -240,7 +243,7 @@ def label_spans(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFr
 
     kept: list[Alphabet] = []
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return map_batches(rows, work, "doc_id long, lang_pred string, score double, spans array<struct<start:long,end:long,lang:string>>")
+    return map_batches(rows, work, "doc_id long, lang_pred string, score double, spans array<struct<start:long,end:long,lang:string>>", SLICE, kept)
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.3, switch: float = SWITCH) -> DataFrame:
@@ -259,7 +262,7 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.3, switch: f
 
     kept: list[Alphabet] = []
     rows = docs.withColumn("text", F.col("text").cast("string"))
-    return map_batches(rows, work, rows.schema)
+    return map_batches(rows, work, rows.schema, SLICE, kept)
 
 
 def held_out():
