@@ -35,7 +35,7 @@ CHUNK, FAN = 32 << 10, 8
 # Words remembered per task, an upper bound on memory and no limit on the text.
 KEPT = 250_000
 # Bytes of text aligned at a time, and bytes of new words encoded at a time.
-SLICE, JOINED = 1 << 20, 128 << 10
+SLICE, JOINED = 512 << 10, 64 << 10
 # Pairs of a group that are written out before they are counted; larger groups are counted by distinct ids.
 PAIRS_OUT = 4096
 # Rows of the most frequent pairs that are broadcast; the others are joined by shuffle.
@@ -417,7 +417,7 @@ def long_texts(docs: DataFrame, chunk: int, byte_vocabulary: str, piece_vocabula
     offsets = ("low", "a0", "a1", "b0", "b1")
     made = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("chunk", pa.int64()), ("data", pa.binary()), *[(c, pa.int64()) for c in offsets]])
     cuts = map_batches(docs.withColumn("row", F.monotonically_increasing_id()), cut,
-                       "row long, doc_id long, chunk long, data binary, " + ", ".join(f"{c} long" for c in offsets))
+                       "row long, doc_id long, chunk long, data binary, " + ", ".join(f"{c} long" for c in offsets), kept=kept)
     cuts = materialise(cuts, "alignment-ranges", "zstd")
     last = cuts.agg(F.max("chunk")).first()[0]
 
@@ -434,7 +434,7 @@ def long_texts(docs: DataFrame, chunk: int, byte_vocabulary: str, piece_vocabula
                 + [pa.array([v], pa.binary()) for v in packed(part)],
                 ["row", "doc_id", "chunk", "fits", "cut", *PARTS])
 
-    parts = map_batches(cuts.repartition(partitions(spark), "row", "chunk"), encode, FRAGMENT_SCHEMA)
+    parts = map_batches(cuts.repartition(partitions(spark), "row", "chunk"), encode, FRAGMENT_SCHEMA, kept=kept)
 
     def fold(found: pd.DataFrame) -> pd.DataFrame:
         found = found.sort_values("chunk")
@@ -478,7 +478,7 @@ def aligned(docs: DataFrame, chunk: int = CHUNK, byte_vocabulary: str = BYTE_VOC
 
     texts = id_text(docs)
     is_long = F.octet_length("text") >= chunk
-    short = map_batches(texts.filter(~is_long), work, SCHEMA, SLICE).withColumn("row", F.monotonically_increasing_id() * 2)
+    short = map_batches(texts.filter(~is_long), work, SCHEMA, SLICE, kept).withColumn("row", F.monotonically_increasing_id() * 2)
     longer = long_texts(texts.filter(is_long), chunk, byte_vocabulary, piece_vocabulary).withColumn("row", F.col("row") * 2 + 1)
     return materialise(short.unionByName(longer), "alignment", "zstd")
 
